@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engrama.llm import packing, splitting
+from engrama.llm import leakage, packing, reading, splitting
 from engrama.tables import table
 
 #: Parameter: file of a public tokenizer, present on every executor.
@@ -39,7 +39,36 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, d), _capacity(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_pack, p7_fill)}
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and item that leaked into it, with the words covered."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold test passages, with these cut out."""
+    docs = table(spark, d, "documents")
+    return leakage.without_spans(docs, p8_leaks(spark, d))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every text."""
+    docs = table(spark, d, "documents")
+    return reading.reading_levels(docs, reading.fit(docs, table(spark, d, "reading_labels")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every document of at least 60 words."""
+    return p9_levels(spark, d).where("n_words >= 60").select("doc_id", "reading_level")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_pieces, p7_pack, p7_fill, p8_found, p8_leaks, p8_clean, p9_found, p9_levels)
+}
 
 SQL = {
     "p1_found": """
