@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engrama.llm import leakage, packing, reading, splitting
+from engrama.llm import leakage, neighbours, packing, reading, splitting
 from engrama.tables import table
 
 #: Parameter: file of a public tokenizer, present on every executor.
@@ -23,6 +24,17 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(table(spark, d, "parsed_chunks"), table(spark, d, "size_limits"))
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar other nodes of every usable current embedding."""
+    found = neighbours.nearest(table(spark, d, "vectors"), 10)
+    return found.select("node_id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of at least 0.80 in which one is among the ten nearest of the other."""
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "vectors"), 10), 0.80)
+
+
 def _capacity(spark: SparkSession, d: str) -> packing.Capacity:
     row = table(spark, d, "size_limits").where("purpose = 'fill'").agg({"max_tokens": "min"}).first()
     tokens = int(row[0])
@@ -67,10 +79,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p7_pack, p7_fill, p8_found, p8_leaks, p8_clean, p9_found, p9_levels)
+    for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p7_pack, p7_fill, p8_found, p8_leaks, p8_clean, p9_found, p9_levels)
 }
 
 SQL = {
+    "p4_found": """
+WITH ranked AS (
+  SELECT node_id, embedding, row_number() OVER (PARTITION BY doc_id ORDER BY stored_at DESC, embedding DESC) AS rn FROM vectors
+),
+pts AS (
+  SELECT node_id, CAST(embedding AS DOUBLE[]) AS e FROM ranked
+  WHERE rn = 1 AND len(embedding) = 384 AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0
+),
+sims AS (SELECT a.node_id AS a, b.node_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM pts a JOIN pts b ON a.node_id <> b.node_id),
+top AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rk FROM sims)
+SELECT DISTINCT least(a, b) AS node_id_a, greatest(a, b) AS node_id_b FROM top WHERE rk <= 10 AND s >= 0.8""",
     "p1_found": """
 SELECT DISTINCT c.chunk_id FROM parsed_chunks c JOIN size_limits s ON s.purpose = 'split' AND s.category = c.category
 WHERE greatest(1, length(c.content) // 4) > s.max_tokens""",
