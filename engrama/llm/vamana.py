@@ -1,8 +1,8 @@
 """A robust-pruned directed graph over the unit vectors of one shard.
 
 Points enter in growing batches.  A greedy beam search from fixed entry points
-proposes the neighbours of each new point: the best points it met and those it
-walked over.  Relaxed distance pruning keeps a proposal only if no kept one is
+proposes the neighbours of each new point: the best points it met, those it walked
+over and the nearest ones of its own batch.  Relaxed distance pruning keeps a proposal only if no kept one is
 closer to it, by the factor ``alpha``, than the new point is; so the edges stay
 diverse and lead out of dense groups.  Edges are added in both directions, and
 a point with more than ``degree`` of them is pruned again.
@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE = 32
+DEGREE = 64
 BUILD_BEAM = 40
 SEARCH_BEAM = 64
-ALPHA = 1.05
+ALPHA = 1.03
 ENTRIES = 64
 PROPOSALS = 96
+PEERS = 8
 BATCH = 512
 NONE = np.float32(-9.0)
 
@@ -97,8 +98,9 @@ class Graph:
     def _insert(self, new: np.ndarray, entries: np.ndarray) -> None:
         n, x = self.n, self.points
         ids, sims, walked, walked_sims = self._beam(x[new], np.tile(entries, (len(new), 1)), BUILD_BEAM)
-        ids = np.concatenate([ids, *walked], axis=1)
-        sims = np.concatenate([sims, *walked_sims], axis=1)
+        peers, peer_sims = self._peers(new)
+        ids = np.concatenate([ids, *walked, peers], axis=1)
+        sims = np.concatenate([sims, *walked_sims, peer_sims], axis=1)
         order = np.argsort(ids, axis=1, kind="stable")
         ids, sims = (np.take_along_axis(a, order, 1) for a in (ids, sims))
         again = np.zeros(ids.shape, bool)
@@ -125,6 +127,13 @@ class Graph:
             s[near >= n] = NONE
             self.edges[ends[part]] = self._prune(near, s)
 
+    def _peers(self, new: np.ndarray):
+        """The nearest points of the same batch, which no search can meet yet."""
+        s = self.points[new] @ self.points[new].T
+        np.fill_diagonal(s, NONE)
+        best = np.argpartition(-s, min(PEERS, len(new)) - 1, axis=1)[:, :PEERS]
+        return new[best], np.take_along_axis(s, best, 1)
+
     def _prune(self, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """At most ``DEGREE`` diverse neighbours out of each row of proposals."""
         order = np.argsort(-sims, axis=1, kind="stable")[:, :PROPOSALS]
