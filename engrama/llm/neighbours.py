@@ -38,7 +38,7 @@ from engrama.staging import stage
 DIM = 384
 SHARD = 4096
 MAX_SHARD = 3 * SHARD
-SAMPLE = 16_384
+SAMPLE = 8_192
 PROBES = 3
 MARGIN = 0.15
 SALTS = 16
@@ -81,12 +81,14 @@ def usable_points(vectors: DataFrame) -> DataFrame:
 
 
 def fit_centroids(points: DataFrame, n_shards: int) -> np.ndarray:
-    """Spherical k-means on at most ``SAMPLE`` vectors, those of the smallest hashes.
+    """Spherical k-means on about ``SAMPLE`` vectors, those of the smallest hashes.
 
     It starts from sampled vectors, so dense regions get more centroids.
     """
-    rows = points.orderBy(F.xxhash64("node_id"), "node_id").limit(SAMPLE).select("vector").collect()
-    x = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float32).reshape(-1, DIM)
+    total = points.select("node_id").count()
+    low = F.pmod(F.xxhash64("node_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, total)))
+    rows = points.where(low).select("node_id", "vector").orderBy("node_id").collect()
+    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float32).reshape(-1, DIM)
     centroids = x[np.random.default_rng(7).permutation(len(x))[:n_shards]].copy()
     for _ in range(12):
         near = (x @ centroids.T).argmax(axis=1)

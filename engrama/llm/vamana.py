@@ -21,6 +21,7 @@ ALPHA = 1.03
 ENTRIES = 64
 PROPOSALS = 96
 PEERS = 8
+STRIDE = 512
 BATCH = 512
 NONE = np.float32(-9.0)
 
@@ -49,8 +50,8 @@ class Graph:
     def _beam(self, queries: np.ndarray, entries: np.ndarray, beam: int, width: int = 4):
         n, b = self.n, len(queries)
         rows = np.arange(b)
-        seen = np.zeros((b, n + 1), bool)
-        seen[:, n] = True
+        seen = np.full((b, n + 1), -1, np.int32)
+        seen[:, n] = 0
         ids = np.full((b, beam), n, np.int32)
         sims = np.full((b, beam), NONE)
         closed = np.ones((b, beam), bool)
@@ -74,15 +75,22 @@ class Graph:
 
     def _unseen(self, seen: np.ndarray, row: np.ndarray, point: np.ndarray):
         """Distinct pairs that were not seen before, by row; they count as seen afterwards."""
-        new = ~seen[row, point]
-        key = np.unique(row[new].astype(np.int64) * (self.n + 1) + point[new])
-        row, point = key // (self.n + 1), key % (self.n + 1)
-        seen[row, point] = True
-        return row, point
+        at = row * (self.n + 1) + point
+        flat = seen.reshape(-1)
+        new = flat[at] < 0
+        row, point, at = row[new], point[new], at[new]
+        mark = np.arange(len(at), dtype=np.int32)
+        flat[at] = mark  # of equal pairs the last one stays
+        first = flat[at] == mark
+        return row[first], point[first]
 
     def _merge(self, queries, ids, sims, closed, row, point):
         b, beam = ids.shape
-        s = np.einsum("ij,ij->i", self.points[point], queries[row])
+        s = np.empty(len(row), np.float32)
+        for i in range(0, len(row), STRIDE):  # pieces that stay in the processor's cache
+            part = slice(i, i + STRIDE)
+            near = self.points.take(point[part], axis=0)
+            np.einsum("ij,ij->i", near, queries.take(row[part], axis=0), out=s[part])
         count = np.bincount(row, minlength=b)
         place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         more = np.full((b, count.max()), self.n, np.int32)
