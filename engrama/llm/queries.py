@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engrama.llm import leakage, neighbours, packing, reading, splitting
+from engrama.llm import handwritten, leakage, neighbours, packing, reading, splitting
 from engrama.tables import table
 
 #: Parameter: file of a public tokenizer, present on every executor.
@@ -35,6 +35,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "vectors"), 10), 0.80)
 
 
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    """Why each current code file is, or is not, hand-written."""
+    return handwritten.not_handwritten(table(spark, d, "crawl_results"), table(spark, d, "nodes"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Code files that nobody in the project wrote by hand."""
+    return p6_files(spark, d).where("generated or minified or data or vendored").select("file_id")
+
+
 def _capacity(spark: SparkSession, d: str) -> packing.Capacity:
     row = table(spark, d, "size_limits").where("purpose = 'fill'").agg({"max_tokens": "min"}).first()
     tokens = int(row[0])
@@ -79,7 +89,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p7_pack, p7_fill, p8_found, p8_leaks, p8_clean, p9_found, p9_levels)
+    for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p6_found, p6_files, p7_pack, p7_fill, p8_found, p8_leaks, p8_clean, p9_found, p9_levels)
 }
 
 SQL = {
