@@ -9,7 +9,7 @@ found, and boilerplate, much shorter than a gram, is not.  A place reserved for
 third parties (``THIRD_PARTY``) or a distribution's notice also tells a copy.
 
 Generated files, minified files and data are told by the file itself: a header
-in which a tool claims the file, code that repeats one counted line, long lines
+in which a tool claims the file, code made of a few lines that repeat with other numbers, long lines
 without blanks, or text that is mostly numbers or encoded bytes.
 
 All fingerprints stay distributed.  They are counted per (fingerprint,
@@ -114,8 +114,8 @@ def is_generated(text: str, lines: list[str]) -> bool:
     if len(lines) < REPEATED_LINES:
         return False
     shapes = Counter(re.sub(r"\d+", "0", x) for x in lines if any(c.isdigit() for c in x))
-    n = shapes.most_common(1)[0][1] if shapes else 0
-    return n >= REPEATED_LINES and n >= REPEATED_SHARE * len(lines)
+    counted = sum(n for n in shapes.values() if n >= REPEATED_LINES)
+    return counted > 0 and counted >= REPEATED_SHARE * len(lines)
 
 
 def is_minified(code: str, lines: list[str]) -> bool:
