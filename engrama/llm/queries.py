@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engrama.llm import handwritten, leakage, neighbours, packing, reading, splitting
+from engrama.llm import credentials, handwritten, leakage, neighbours, packing, reading, splitting
 from engrama.tables import table
 
 #: Parameter: file of a public tokenizer, present on every executor.
@@ -35,6 +35,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "vectors"), 10), 0.80)
 
 
+def p5_credentials(spark: SparkSession, d: str) -> DataFrame:
+    """Place and score of every credential; the value itself is not given out."""
+    found = credentials.find_credentials(table(spark, d, "nodes"))
+    return found.groupBy("node_id", "line_no").agg(F.round(F.max("score"), 3).alias("score"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines on which a credential begins."""
+    return credentials.find_credentials(table(spark, d, "nodes")).select("node_id", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Contents that hold credentials, with these redacted."""
+    nodes = table(spark, d, "nodes")
+    return credentials.redact(nodes, credentials.find_credentials(nodes))
+
+
 def p6_files(spark: SparkSession, d: str) -> DataFrame:
     """Why each current code file is, or is not, hand-written."""
     return handwritten.not_handwritten(table(spark, d, "crawl_results"), table(spark, d, "nodes"))
@@ -89,7 +106,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p6_found, p6_files, p7_pack, p7_fill, p8_found, p8_leaks, p8_clean, p9_found, p9_levels)
+    for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p5_found, p5_credentials, p5_redacted, p6_found, p6_files, p7_pack, p7_fill, p8_found, p8_leaks, p8_clean, p9_found, p9_levels)
 }
 
 SQL = {
