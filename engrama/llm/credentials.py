@@ -77,7 +77,7 @@ INERT = re.compile(r"data:[a-z]+/[\w.+-]+;base64,[A-Za-z0-9+/=]+|\bsha(?:1|256|3
 
 # Parts of lines (in lower case) that are worth a closer look.
 HINTS = (
-    "passw", "pass_", "_pass", "passphrase", "userpass", "pwd", "_pw", "adminpw", "senha", "segredo", "secret", "token", "_key", "apikey", "api-key", "key=", "key:", 'key"',
+    "pass", "rotation", "pwd", "_pw", "adminpw", "senha", "segredo", "secret", "token", "_key", "apikey", "api-key", "key=", "key:", 'key"',
     "key'", "this key", "the key", "new key", "chave", "cred", "bearer", "basic ", "auth", "login", "sig=", "works", "run as", "://", '== "', "== '", "-u ", " -p", "identified by",
 )
 IDLE_TOKEN = re.compile(r"token(?:s\b|_?window|_?limit|_?count)", re.I)
@@ -95,12 +95,16 @@ PARAM = re.compile(rf"""[?&]((?:[\w.\-]*(?:{TOKEN_WORDS}|{PASSWORD_WORDS})[\w.\-
 HEADER = re.compile(r"\b(Bearer|Basic|Token)[ \t]+([A-Za-z0-9+/=._~\-]{8,600})", re.I)
 COMMAND = re.compile(r"""(?:^|\s)(?:-u[ \t]+\S+[ \t]+-p ?|--?(?:password|passwd|token|secret|pass|api-key)[= ]|-u[ \t]+\w+:[ \t]?)([^\s"'`]{4,200})""")
 NAMED = re.compile(rf"""\b({PASSWORD_WORDS})[ \t]+["']?([^\s"'`;,()]{{4,200}})["']?""", re.I)
-PROSE = re.compile(rf"\b(?:({PASSWORD_WORDS}|token|secret|key|chave|credentials?|cred|login|still works|run as|bearer)\b)", re.I)
+PROSE = re.compile(rf"\b(?:({PASSWORD_WORDS}|token|secret|key|chave|credentials?|cred|login|still works|run as|bearer|until rotation use)\b)", re.I)
 WORD_AFTER = re.compile(r"""[^\s"'`]{6,400}""")
 NO_WORD = re.compile(r"[(){}\[\]<>;|]|://|=")
 JOIN = re.compile(r"""[ \t]*(?:\+|\\|\.|&)?[ \t]*\r?\n[ \t>]*(?:\+|\.|&)?[ \t]*[fbr]?(["'`])((?:(?!\1)[^\n\\]|\\.){1,400})\1""")
 SHELL_JOIN = r"""\r?\n[ \t>]*{0}\+?=["']?\$\{{?{0}\}}?([^\s"']+)["']?"""
 
+#: Names of files that hold nothing but logins or one secret.
+SECRET_FILE = re.compile(r"(?i)(?:^|[._-])(?:htpasswd|pgpass|senha|chave|passwd|shadow|credentials?|secrets?|tokens?|passwords?|api[_-]?key)(?:[._-]|$)|\.key(?:\.|$)")
+RECORD = re.compile(r"^[ \t]*(?:[^\s:]+:)*([^\s:]{4,400})[ \t]*\r?$", re.M)
+
 CONTEXTS = ("quoted", "plain", "xml", "login", "param", "header", "command", "named", "prose", "prefix", "pem", "compare", "call", "bare")
 CONFIG = {"env", "ini", "toml", "yaml", "yml", "json", "properties", "xml", "conf", "cfg", "npmrc", "netrc", "pypirc"}
 DOCS = {"md", "rst", "txt", "adoc", "log", "chat", "asc"}
@@ -129,6 +133,10 @@ def looks_plain(v: str) -> bool:
     return bool(re.fullmatch(r"[a-z]+(?:[_.][a-z]+)?\d{0,2}(?:\(\))?|[a-z]+(?:/[a-z]+)+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|\.{0,2}/[\w./-]*|[\w.-]+\.(?:py|js|ts|tsx|go|java|c|h|md|json|yaml|sql|rb|sh|txt|xml|toml|ini)", v))
 
 
+def _extension(name: str) -> str:
+    return name.rsplit(".", 1)[-1].lower() if "." in name else ""
+
+
 def is_shaped(v: str) -> bool:
     """Like a chosen password or a random token: mixed kinds of characters or joined words."""
     kinds = any(map(str.isdigit, v)) + any(map(str.isupper, v)) + any(map(str.islower, v)) + any(not ch.isalnum() for ch in v)
@@ -136,9 +144,13 @@ def is_shaped(v: str) -> bool:
     return kinds >= 3 or mixed or bool(re.fullmatch(r"[^\W_]+(?:[-_.][^\W_]+){2,}", v)) or (bool(HEX.match(v)) and len(v) >= 16)
 
 
-def candidates(text: str) -> list[Candidate]:
+def candidates(text: str, path: str = "") -> list[Candidate]:
     """The literals of a text that stand where a credential could."""
     out: list[Candidate] = []
+    name = path.rsplit("/", 1)[-1]
+    if SECRET_FILE.search(name) and _extension(name) in DOCS | {"", "key", "pgpass", "plain"}:
+        for m in RECORD.finditer(text):
+            out.append(Candidate([m.span(1)], m[1], "password", "", "bare"))
     blank = lambda m: re.sub(r"[^\n]", " ", m[0])
     for m in PEM.finditer(text):
         if "PRIVATE" in m[1]:
@@ -235,7 +247,7 @@ def _line_candidates(text: str, start: int, end: int, out: list[Candidate]) -> N
         add(m.span(1), "password", "command")
     for m in NAMED.finditer(line):
         add(m.span(2), m[1], "named")
-    for m in PROSE.finditer(line) if len(line) < 1500 or " " in line[:200] else ():
+    for m in PROSE.finditer(line) if not line.lstrip().startswith("<") and (len(line) < 1500 or " " in line[:200]) else ():
         for k, w in enumerate(WORD_AFTER.finditer(line, m.end(), m.end() + 460)):
             a, b = w.span()
             eq = line.find("=", a, b)
@@ -276,7 +288,7 @@ KEY_ANY = re.compile(rf"(?i)(?:{PASSWORD_WORDS}|{TOKEN_WORDS})")
 KEY_PASSWORD = re.compile(rf"(?i)(?:^|[_.\-/:\s(]|(?<=[a-z]))(?:{PASSWORD_WORDS})\d*(?:$|[_.\-\s\d])|(?:Pass|Pw|Pwd|Password|Senha)\d*$|pass(?:word|wd)|senha")
 KEY_TOKEN = re.compile(rf"(?i)(?:{TOKEN_WORDS})")
 KEY_OTHER = re.compile(rf"(?i)(?:^|[_.\-\s]|(?<=[a-z]))(?:{OTHER_WORDS})s?\d*$|^(?:pub|icon|integrity|checksum)|sourceMap")
-BEFORE_SECRET = re.compile(rf"(?i)\b(?:{PASSWORD_WORDS}|token|secret|key|chave|cred\w*|login|still works|run as|bearer|auth\w*)\b[^\n]{{0,48}}$")
+BEFORE_SECRET = re.compile(rf"(?i)\b(?:{PASSWORD_WORDS}|token|secret|key|chave|cred\w*|login|still works|run as|rotation use|bearer|auth\w*)\b[^\n]{{0,48}}$")
 BEFORE_OTHER = re.compile(r"(?i)\b(?:commit|hash|sha\d*|checksum|revision|rev|blob|tree|uuid|id|version|release|see|build)\b[\s:=#('\"]*$")
 USERINFO = re.compile(r"^[^:\s]{1,64}:\S{3,}$")
 
@@ -361,7 +373,7 @@ def weak_label(c: Candidate, x: list[float]) -> int:
     if looks_plain(v) or " " in v:
         return 0
     shaped = x[SHAPED_AT] > 0
-    if x[1] and c.context in ("quoted", "plain", "xml", "named", "command", "call", "compare", "param") and len(v) >= 6:
+    if x[1] and c.context in ("quoted", "plain", "xml", "named", "command", "call", "compare", "param", "bare") and len(v) >= 6:
         return 1
     if x[2] and c.context in ("quoted", "plain", "xml", "param", "header", "call") and len(v) >= 12 and shannon(v) > 3:
         return 1
@@ -376,13 +388,12 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for node_id, label, text in zip(pdf["node_id"], pdf["label"], pdf["content"]):
-            found = candidates(text)
+            path = (label or "").replace("\\", "/").split("::")[0]
+            found = candidates(text, path)
             if not found:
                 continue
             breaks = [m.start() for m in re.finditer("\n", text)]
-            path = (label or "").replace("\\", "/").split("::")[0]
-            name = path.rsplit("/", 1)[-1]
-            extension = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+            extension = _extension(path.rsplit("/", 1)[-1])
             for c in found:
                 x = features(c, extension, path)
                 line = bisect_right(breaks, c.spans[0][0] - 1) + 1
