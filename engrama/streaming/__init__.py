@@ -1,0 +1 @@
+"""Streams of file changes and of maintenance runs."""
