@@ -22,7 +22,8 @@ def days_between(now: Column, ts: Column) -> Column:
 def recency(ts: Column, now: Column) -> Column:
     """Decays by half each week down to a floor; null is the floor and the future is now."""
     days = F.greatest(days_between(now, ts), F.lit(0.0))
-    return F.coalesce(F.greatest(F.exp(-F.lit(math.log(2) / HALF_LIFE_DAYS) * days), F.lit(RECENCY_FLOOR)), F.lit(RECENCY_FLOOR))
+    decay = F.greatest(F.exp(-F.lit(math.log(2) / HALF_LIFE_DAYS) * days), F.lit(RECENCY_FLOOR))
+    return F.when(ts.isNull() | now.isNull(), F.lit(RECENCY_FLOOR)).otherwise(decay)
 
 
 def centrality(in_degree: Column) -> Column:

@@ -97,10 +97,12 @@ def hierarchy(links: DataFrame) -> DataFrame:
     done = levels[0]
     for level in levels[1:-1]:
         done = done.unionByName(level)
-    looped = linked.join(done.select(F.col("node_id").alias("item")), "item", "left_anti")
+    open_links = stage(linked.join(done.select(F.col("node_id").alias("item")), "item", "left_anti").select("holder", "item"), "open")
+    looped = open_links.join(open_links.select(F.col("item").alias("holder")).distinct(), "holder", "left_semi")
     pointers = stage(looped.groupBy(F.col("item").alias("node_id")).agg(F.min("holder").alias("next")), "loops")
+    if len(levels) > 1:
+        unstage(levels[-1])  # the empty one
     if pointers.isEmpty():
-        unstage(levels[-1])
         return done
     bad = loop_minimum(pointers).select(
         "node_id",

@@ -260,7 +260,7 @@ def similar_projects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recency_sql(c: str) -> str:
-    return f"coalesce(greatest(exp(-ln(2.0) / 7.0 * greatest((epoch_us({T}) - epoch_us({c})) / 8.64e10, 0.0)), 0.01), 0.01)"
+    return f"CASE WHEN {c} IS NULL THEN 0.01 ELSE greatest(exp(-ln(2.0) / 7.0 * greatest((epoch_us({T}) - epoch_us({c})) / 8.64e10, 0.0)), 0.01) END"
 
 
 _HYBRID = f"""mg AS (SELECT coalesce(v.node_id, t.id) AS node_id, coalesce(v.vector_score, 0.0) AS v, coalesce(t.bm25_score, 0.0) AS f
