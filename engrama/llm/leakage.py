@@ -14,7 +14,7 @@ Defined cases
 -------------
 * null or empty texts and items neither leak nor hold anything.
 * an item of fewer words than a run must be held as a whole.
-* an item counts once per document, with its best chain of runs; copies of a
+* an item counts once per document, with the best choice of runs; copies of a
   document are cases of their own; repeated rows of an item count once.
 * empty tables give an empty result; further columns are ignored.
 """
@@ -24,10 +24,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,38 +184,52 @@ class ItemIndex:
             n = self.length[item]
             if len({p + k for p, _, m in found for k in range(m)}) < SHARE * n:
                 continue
-            covered, chain = best_chain(found)
+            covered = covered_words(found, n, min(RUN_WORDS, n))
             if covered >= SHARE * n:
-                out.append((item, covered, n, [(place[a][0], place[b][1]) for a, b in chain]))
+                spans = sorted({(place[a][0], place[a + m - 1][1]) for _, a, m in found})
+                out.append((item, covered, n, spans))
         return out
 
 
-def best_chain(runs: list[list[int]]) -> tuple[int, list[tuple[int, int]]]:
-    """Most words covered by runs (position, place, length) in the order of both sides.
+def covered_words(runs: list[list[int]], n: int, least: int) -> int:
+    """Most words of an item of ``n`` words covered by runs of at least ``least``, in the order of both sides.
 
-    Runs that overlap in the item lose the overlap from their beginning; what
-    is left counts only while it is still a run.
+    ``runs`` are (position, place, length) of matching stretches.  For each place
+    of the text and each prefix of the item, ``best`` is the most covered so far
+    and ``run`` the most with a run that ends just there.
     """
-    runs = sorted(runs, key=lambda r: (r[1], r[0]))
-    best: list[tuple[int, int]] = []
-    for j, (pos, at, n) in enumerate(runs):
-        top, before = n, -1
-        for i in range(j):
-            p, a, m = runs[i]
-            cut = max(0, p + m - pos, a + m - at)
-            if p < pos and n - cut >= RUN_WORDS and best[i][0] + n - cut > top:
-                top, before = best[i][0] + n - cut, i
-        best.append((top, before))
-    j = max(range(len(runs)), key=lambda k: best[k][0])
-    covered, chain = best[j][0], []
-    while j >= 0:
-        chain.append((runs[j][1], runs[j][1] + runs[j][2] - 1))
-        j = best[j][1]
-    return covered, chain[::-1]
+    matched: dict[int, list[int]] = defaultdict(list)
+    for pos, at, size in runs:
+        for k in range(size):
+            matched[at + k].append(pos + k)
+    places = sorted(matched)
+    best = [np.zeros(n + 1, np.int64)]
+    run = np.zeros(n + 1, np.int64)
+    length = np.zeros(n + 1, np.int64)
+    for i, at in enumerate(places):
+        here = np.zeros(n + 1, bool)
+        here[np.array(matched[at]) + 1] = True
+        if i == 0 or places[i - 1] != at - 1:
+            run, length = np.zeros_like(run), np.zeros_like(length)
+        before = np.zeros_like(length)
+        before[1:] = length[:-1]
+        length = np.where(here, before + 1, 0)
+        longer = np.zeros_like(run)
+        longer[1:] = run[:-1] + 1
+        run = np.where(length > least, longer, 0)
+        if i + 1 >= least:
+            fresh = np.zeros_like(run)
+            fresh[least:] = best[i + 1 - least][: n + 1 - least] + least
+            run = np.where(length >= least, np.maximum(run, fresh), run)
+        best.append(np.maximum.accumulate(np.maximum(best[-1], run)))
+    return int(best[-1][-1])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document and leaked item: ``HIT_SCHEMA``; spans are character offsets."""
+    """One row per document and leaked item: ``HIT_SCHEMA``.
+
+    ``spans`` are the character offsets of all stretches the text shares with the item.
+    """
     bound_batches(docs.sparkSession)
     clean = items.where("text is not null and item_id is not null").select("item_id", "text").distinct()
     words = clean.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0

@@ -89,6 +89,8 @@ def fit_centroids(points: DataFrame, n_shards: int) -> np.ndarray:
     low = F.pmod(F.xxhash64("node_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, total)))
     rows = points.where(low).select("node_id", "vector").orderBy("node_id").collect()
     x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float32).reshape(-1, DIM)
+    if not len(x):
+        return np.zeros((1, DIM), np.float32)
     centroids = x[np.random.default_rng(7).permutation(len(x))[:n_shards]].copy()
     for _ in range(12):
         near = (x @ centroids.T).argmax(axis=1)
