@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrama.functions import scoring, text
-from engrama.operators import audit, chunking, delta, embed, facade, facts, graph, maintenance, search, summarise
+from engrama.operators import audit, batch_search, chunking, delta, embed, facade, facts, graph, maintenance, search, summarise
 from engrama.operators import relational as R
 from engrama.plans import base as B
 from engrama.plans.base import AN, AP, CC, CE, CF, CN, CP, CV, FA, T
@@ -680,3 +680,17 @@ def changed_files(spark: SparkSession, d: str) -> DataFrame:
     end = F.when(F.col("path") % 3 == 0, "\ndef added(): pass").otherwise("\n# a remark")
     new = f.where("path % 3 < 2").select("path", F.concat("content", end).alias("content"), F.lit("root").alias("community_id"))
     return delta.changed_files(old, new).select("path", "changed")
+
+
+def query_set(spark: SparkSession, d: str, n: int = 100) -> list[tuple[int, str, list[float]]]:
+    """The first ``n`` usable vectors by node, each with the first two words of its node's label or summary."""
+    v = B.vectors(spark, d).where("size(embedding) = 384").select("node_id", "embedding")
+    words = B.nodes(spark, d).select(F.col("id").alias("node_id"), F.coalesce("summary", "label").alias("t"))
+    rows = v.join(words, "node_id").orderBy("node_id").limit(n).collect()  # the query set: at most n rows
+    return [(r["node_id"], " ".join(batch_search.phrase_words(r["t"])[:2]), list(r["embedding"])) for r in rows]
+
+
+@query()
+def hybrid_search_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred hybrid queries in one plan."""
+    return batch_search.hybrid_search_batch(B.nodes(spark, d), B.edges(spark, d), B.vectors(spark, d), query_set(spark, d), B.now())
