@@ -49,7 +49,7 @@ SMOOTH = 0.02
 ANCHOR = 20.0
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 NOT_PROSE = re.compile(
-    r"```.*?(?:```|\Z)|`[^`\n]*`|https?://\S+|\S*[_/\\{}<>=|]\S*|\S+\.\S+\(|^#{1,6} [^\n]*|^\|[^\n]*|^[ \t]*(?:Q|A|user|agent|reviewer|assistant|system):",
+    r"```.*?(?:```|\Z)|`[^`\n]*`|^#{1,6} [^\n]*|^\|[^\n]*|^[ \t]*(?:Q|A|user|agent|reviewer|assistant|system):|(?<!\S)[^\s_/\\{}<>=|`]*[_/\\{}<>=|]\S*|(?<!\S)[^\s.(]+\.[^\s(]+\(",
     re.S | re.M,
 )
 LIST_MARK = re.compile(r"^[ \t]*(?:[-*>+]|\d+[.)])[ \t]+", re.M)
@@ -68,17 +68,17 @@ class Model:
 def prose_units(text: str) -> Counter:
     """Words and pairs of neighbouring words of the prose, with their counts."""
     text = LIST_MARK.sub("", NOT_PROSE.sub(" ", text))
-    w = [x.lower() for x in WORD.findall(text)]
-    return Counter(w) + Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
+    w = WORD.findall(text.lower())
+    found = Counter(w)
+    found.update(map(" ".join, zip(w, w[1:])))
+    return found
 
 
 def latent_level(ease: np.ndarray, n: np.ndarray, rounds: int = 20) -> np.ndarray:
     """Weights exp(theta) of the levels, summing to one, for words with counts ``n``."""
     q = np.full(LEVELS, 1.0 / LEVELS)
     for _ in range(rounds):
-        r = ease * q
-        r /= r.sum(axis=1, keepdims=True)
-        q = n @ r + SMOOTH
+        q = q * ((n / (ease @ q)) @ ease) + SMOOTH
         q /= q.sum()
     return q
 
@@ -131,13 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     e, n = ease[j], n.astype(float)
                     anchor = (v + SMOOTH) / (v + SMOOTH).sum()
                     q = anchor
+                    weight = anchor * max(ANCHOR, 0.5 * n.sum())
                     for _ in range(3):
-                        r = e * q
-                        r /= r.sum(axis=1, keepdims=True)
-                        q = n @ r + anchor * max(ANCHOR, 0.5 * n.sum())
+                        q = q * ((n / (e @ q)) @ e) + weight
                         q /= q.sum()
-                    r = e * q
-                    total[j] += r / r.sum(axis=1, keepdims=True) * n[:, None]
+                    total[j] += e * q * (n / (e @ q))[:, None]
             at = np.flatnonzero(total.any(axis=1))
             yield pd.DataFrame(total[at], columns=[f"n{k}" for k in range(1, LEVELS + 1)]).assign(word=at)
 
@@ -160,10 +158,12 @@ def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             level, mean, size = [], [], []
             for text in pdf["text"]:
-                at = [(m.words[w], n) for w, n in prose_units(text).items() if w in m.words]
-                if at:
-                    j, n = np.array(at).T
-                    q = latent_level(m.ease[j], n.astype(float))
+                units = prose_units(text)
+                known = [w for w in units if w in m.words]
+                if known:
+                    j = np.fromiter(map(m.words.__getitem__, known), np.int64, len(known))
+                    n = np.fromiter(map(units.__getitem__, known), np.float64, len(known))
+                    q = latent_level(m.ease[j], n)
                     level.append(1 + int(q.argmax()))
                     mean.append(round(float(q @ steps), 3))
                 else:
