@@ -16,6 +16,14 @@ COLUMNS = [x.strip().split()[0] for x in CHUNK_SCHEMA.split(", ")]
 MARKDOWN = {"md", "mdx", "rst", "adoc", "txt"}
 SCRIPT = {"js", "ts", "tsx", "jsx", "mjs", "cjs"}
 CONFIG = {"json", "yaml", "yml", "toml", "env", "ini", "cfg", "xml"}
+BRACED = {
+    "go": re.compile(r"^(?:func\s+(?:\(\s*\w+\s+\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<f>\w+)|type\s+(?P<c>\w+)\s+(?:struct|interface))", re.M),
+    "rs": re.compile(r"^(?P<in>[ \t]*)(?:pub(?:\([^)]*\))?\s+)?(?:(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<f>\w+)|(?:struct|enum|trait|union)\s+(?P<c>\w+))", re.M),
+    "java": re.compile(r"^(?P<in>[ \t]*)(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:(?:class|interface|enum|record)\s+(?P<c>\w+)|[\w<>\[\], ?]+\s+(?P<f>\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w, ]+)?(?=\{))", re.M),
+    "c": re.compile(r"^(?:(?:struct|enum|union)\s+(?P<c>\w+)\s*(?=\{)|(?:[\w*]+[ \t*]+)+(?P<f>\w+)\s*\([^;{}]*\)\s*(?=\{))", re.M),
+}
+BRACED |= {"h": BRACED["c"], "cpp": BRACED["c"], "hpp": BRACED["c"], "cs": BRACED["java"], "kt": BRACED["java"]}
+CALL = re.compile(r"\b([A-Za-z_][\w.]*)\s*\(")
 DECLARED = re.compile(r"^(?:export\s+(?:default\s+)?)?(?:(class)\s+(\w+)|(?:async\s+)?function\s*\*?\s*(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>)", re.M)
 
 
@@ -120,6 +128,53 @@ def script_chunks(text: str, max_tokens: int) -> list[tuple] | None:
     return out
 
 
+def closing(text: str, start: int, after: int) -> int:
+    """Where the declaration at ``start`` ends: behind its closing brace, or its line if it has none."""
+    opened = text.find("{", after)
+    line = text.find("\n", after)
+    line = len(text) if line < 0 else line
+    stop = text.find(";", after, line)
+    if opened < 0 or (opened > line and text[after:opened].strip()) or (0 <= stop < opened):
+        return line
+    depth = 0
+    for i in range(opened, len(text)):
+        depth += (text[i] == "{") - (text[i] == "}")
+        if depth == 0:
+            return i + 1
+    return len(text)
+
+
+def braced_chunks(text: str, pattern: re.Pattern, max_tokens: int) -> list[tuple] | None:
+    """Types and functions of a language with braces, then what is outside of them as the module."""
+    found = list(pattern.finditer(text))
+    if not found:
+        return None
+    out: list[tuple] = []
+    outside, last, owner = [], 0, ("", 0)
+    for m in found:
+        end = closing(text, m.start(), m.end())
+        g = m.groupdict()
+        name, kind = (g["c"], "class") if g.get("c") else (g["f"], "function")
+        if name in ("if", "for", "while", "switch", "return", "else", "catch"):
+            continue
+        holder = g.get("owner") or (owner[0] if m.start() < owner[1] else "")
+        if kind == "class":
+            owner = (name, end)
+        elif holder:
+            name, kind = f"{holder}.{name}", "method"
+        first = text.count("\n", 0, m.start()) + 1
+        body = text[m.start() : end]
+        calls = sorted({c for c in CALL.findall(body[len(m[0]) :]) if c not in ("if", "for", "while", "switch", "return", "func", "match")}) if kind != "class" else []
+        out += sized(kind, name, first, first + body.count("\n"), body, calls, max_tokens)
+        if m.start() >= last:
+            outside.append(text[last : m.start()])
+            last = end
+    rest = "".join([*outside, text[last:]]).strip()
+    if rest:
+        out.append(("module", "<module>", 1, text.count("\n") + 1, rest, []))
+    return out
+
+
 def markdown_chunks(text: str, max_tokens: int) -> list[tuple]:
     """A preamble and one section per header; the whole document without any."""
     lines = text.splitlines(keepends=True)
@@ -154,6 +209,8 @@ def chunk_text(path: str, text: str, max_tokens: int = MAX_CHUNK_TOKENS) -> list
         got = python_chunks(text, max_tokens)
     elif ext in SCRIPT:
         got = script_chunks(text, max_tokens)
+    elif ext in BRACED:
+        got = braced_chunks(text, BRACED[ext], max_tokens)
     elif ext in MARKDOWN:
         got = markdown_chunks(text, max_tokens)
     elif ext in CONFIG:

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engrama.functions.text import basename
 from engrama.operators import audit, chunking, delta, embed, facts, graph, relational, search
 from engrama.sources import crawl as crawling
 from engrama.sources import snapshots
@@ -142,6 +141,14 @@ def mine(spark: SparkSession, root: str, project: str, tables: dict[str, DataFra
     return done, report
 
 
+def on_planning(projects: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None, commits: DataFrame, wings: DataFrame, fact_rows: DataFrame, project: str, task: str, now: Column, embedder: Callable = embed.hashed_embedding, top_k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What a plan starts from: the project's wake-up row and the best results for the task."""
+    awake = wake_up(projects, nodes, edges, commits, wings, fact_rows).where(F.col("project_uuid") == project)
+    scope = search.scoped_projects(projects, wings, project)
+    results = search.hybrid_search(nodes, edges, vectors, task, embedder(task), now, project, scope, top_k=top_k)
+    return awake, search.enriched(results, nodes)
+
+
 def on_execution(results: DataFrame, nodes: DataFrame, max_results: int = 5) -> DataFrame:
     """What a step of work gets: reranked results with their labels."""
     return search.enriched(search.rerank(results, max_results), nodes)
@@ -154,7 +161,3 @@ def on_done(draft: dict, commits: DataFrame, nodes: DataFrame, project: str, now
         commits, nodes = commit_memory(commits, nodes, project, draft["phase"], draft["technical_changes"], draft["updated_pointers"], now, draft.get("node_ids"), True, verdict["partial_audit"])
     return commits, nodes, verdict
 
-
-def is_listed_name(path: Column) -> Column:
-    """The folder name a path registers under."""
-    return basename(path)

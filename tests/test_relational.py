@@ -1,5 +1,6 @@
 from datetime import datetime as D
 
+import pytest
 from conftest import rows
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from engrama.operators import audit, delta, facade, graph, maintenance, search
 from engrama.operators import relational as R
 from engrama.schemas import SCHEMAS, conform, split_valid
+from engrama.sources import access as A
 from engrama.sources import snapshots as S
 
 NOW = F.lit(D(2024, 6, 1))
@@ -236,6 +238,24 @@ def test_vectors_upsert_metadata_and_routing(spark):
     assert rows(r, "doc_id", "collection") == [("a", "episodic_memory"), ("b", "main")]
 
 
+def test_access_and_synchronisation(spark):
+    n = nodes(spark, {"id": 1, "content": "alpha beta"}, {"id": 2, "content": "gamma", "project_uuid": "q"}, {"id": 3})
+    assert rows(A.read_sql(spark, "select id from n where project_uuid = ? order by id", {"n": n}, ["p"])) == [(1,), (3,)]
+    assert rows(A.read_sql(spark, "with x as (select * from n) select count(*) as c from x where id > :low", {"n": n}, {"low": 1})) == [(2,)]
+    with pytest.raises(ValueError):
+        A.read_sql(spark, "drop table n", {})
+    v = spark.createDataFrame([("node_9", [1.0], 9, "p"), ("node_8", [1.0], 8, "q"), ("node_2", [1.0], None, "q")], "doc_id string, embedding array<float>, node_id long, project_uuid string")
+    assert rows(A.stored_node_ids(v)) == [(2,), (8,), (9,)]
+    assert rows(A.synced_vectors(n, v, "p"), "doc_id") == [("node_1",), ("node_2",), ("node_8",)]
+    assert A.is_available(v) and not A.is_available(None) and not A.is_available(n)
+    assert A.delete_edge(edges(spark, [(1, 2), (2, 1)]), 1, 2).count() == 1
+    e, w = edges(spark, [(1, 3)]), spark.createDataFrame([], SCHEMAS["reference_wings"])
+    p = spark.createDataFrame([("p", "alpha", "x", "PUBLIC", None, D(2024, 1, 1), D(2024, 1, 1))], SCHEMAS["projects"])
+    vec = A.synced_vectors(n, v, "p").where("doc_id = 'node_1'")
+    awake, best = facade.on_planning(p, n, e, vec, spark.createDataFrame([], SCHEMAS["commit_log"]), w, spark.createDataFrame([], SCHEMAS["semantic_facts"]), "p", "alpha beta", NOW)
+    assert awake.count() == 1 and best.orderBy(F.desc("score_final")).first().node_id == 1
+
+
 def test_constraints_split_rows(spark):
     m = spark.createDataFrame([(1, s, "x", "b", "c", None) for s in ("user", "session", "agent", "org", "project", None)], SCHEMAS["user_core_memory"])
     ok, bad = split_valid(m, "user_core_memory")

@@ -89,6 +89,19 @@ def test_other_chunks():
     assert [n for _, n, *_ in big] == ["a.yaml[0]", "a.yaml[1]", "a.yaml[2]"]
 
 
+def test_languages_with_braces():
+    go = 'package x\n\ntype S struct {\n\tA int\n}\n\nfunc (s *S) Run(n int) error {\n\tif n > 0 {\n\t\treturn help(n)\n\t}\n\treturn nil\n}\n\nfunc help(n int) error { return nil }\n'
+    got = chunking.chunk_text("a.go", go)
+    assert [(k, n) for k, n, *_ in got] == [("class", "S"), ("method", "S.Run"), ("function", "help"), ("module", "<module>")] and got[1][5] == ["help"]
+    rust = "use a::b;\n\npub struct P { x: i32 }\n\npub fn run(n: u8) -> u8 {\n    go(n)\n}\n\nstruct Unit;\n"
+    assert [(k, n) for k, n, *_ in chunking.chunk_text("a.rs", rust)] == [("class", "P"), ("function", "run"), ("class", "Unit"), ("module", "<module>")]
+    java = "package x;\n\npublic class A {\n    public int f(int a) {\n        return g(a);\n    }\n}\n"
+    assert [(k, n) for k, n, *_ in chunking.chunk_text("A.java", java)] == [("class", "A"), ("method", "A.f"), ("module", "<module>")]
+    c = "#include <a.h>\nstatic int f(int a) {\n  for (;;) { g(a); }\n}\n"
+    assert [(k, n) for k, n, *_ in chunking.chunk_text("a.c", c)] == [("function", "f"), ("module", "<module>")]
+    assert chunking.chunk_text("a.go", "package x")[0][0] == "raw"
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=300))
 def test_blocks_hold_every_line(source):
