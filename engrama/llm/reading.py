@@ -20,7 +20,9 @@ Defined cases
   the most frequent level of the ratings, and 3 where nothing is rated.
 * votes that are null or outside 1..5 don't count; repeated rows of a document
   and rater count as they come; a document's votes weigh by their share.
-* equal weights: the lower level.  Copies of a text get the same level.
+* a text of several levels has the one of most of its sentences: weights of
+  words are divided by the level's usual words per sentence, which does not
+  depend on where this text's own marks stand.  Equal weights: the lower level.  Copies of a text get the same level.
 * code, tables, headings, list marks, speakers and addresses are no prose.
 * further columns are ignored.
 """
@@ -52,6 +54,7 @@ NOT_PROSE = re.compile(
     r"```.*?(?:```|\Z)|`[^`\n]*`|^#{1,6} [^\n]*|^\|[^\n]*|^[ \t]*(?:Q|A|user|agent|reviewer|assistant|system):|(?<!\S)[^\s_/\\{}<>=|`]*[_/\\{}<>=|]\S*|(?<!\S)[^\s.(]+\.[^\s(]+\(",
     re.S | re.M,
 )
+SENTENCE_END = re.compile(r"[.!?:;]+(?=\s|$)")
 LIST_MARK = re.compile(r"^[ \t]*(?:[-*>+]|\d+[.)])[ \t]+", re.M)
 VOTES = ", ".join(f"v{k} double" for k in range(1, LEVELS + 1))
 SUMS = ", ".join(f"n{k} double" for k in range(1, LEVELS + 1))
@@ -62,12 +65,23 @@ LEVEL_SCHEMA = "doc_id long, reading_level int, mean_level double, n_words int"
 class Model:
     words: dict[str, int]
     ease: np.ndarray  # exp(-delta), one row per word, one column per level
+    pace: np.ndarray  # usual words per sentence of each level
     usual: int
 
 
+def prose(text: str) -> str:
+    return LIST_MARK.sub("", NOT_PROSE.sub(" ", text))
+
+
+def words_per_sentence(text: str) -> float:
+    """Words of the prose by the marks that end its sentences."""
+    text = prose(text)
+    return len(WORD.findall(text)) / max(1, len(SENTENCE_END.findall(text)))
+
+
 def prose_units(text: str) -> Counter:
     """Words and pairs of neighbouring words of the prose, with their counts."""
-    text = LIST_MARK.sub("", NOT_PROSE.sub(" ", text))
+    text = prose(text)
     w = WORD.findall(text.lower())
     found = Counter(w)
     found.update(map(" ".join, zip(w, w[1:])))
@@ -94,7 +108,8 @@ def rated_sample(labels: DataFrame) -> DataFrame:
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [prose_units(t) for t in pdf["text"]]
-        yield pdf.drop(columns="text").assign(words=[list(c) for c in found], counts=[list(c.values()) for c in found])
+        paces = [words_per_sentence(t) for t in pdf["text"]]
+        yield pdf.drop(columns="text").assign(pace=paces, words=[list(c) for c in found], counts=[list(c.values()) for c in found])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -104,17 +119,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     votes = [f"v{k}" for k in range(1, LEVELS + 1)]
     rated = stage(rated_sample(labels), "rated")
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id")
-    sample = stage(texts.select("text", *votes).mapInPandas(_units, f"{VOTES}, words array<string>, counts array<int>"), "units")
-    known = (
+    sample = stage(texts.select("text", *votes).mapInPandas(_units, f"{VOTES}, pace double, words array<string>, counts array<int>"), "units")
+    paces = usual_paces(sample)
+    known = stage(
         sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
+        .where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(MAX_WORDS),
+        "words",
     )
-    words = {r["word"]: i for i, r in enumerate(known)}
+    words = {r["word"]: i for i, r in enumerate(known.orderBy(F.desc("n"), "word").collect())}
     shares = rated.agg(*(F.sum(v) for v in votes)).first()
     usual = 3 if shares[0] is None else 1 + int(np.argmax(np.array(shares, float)))
     ease = np.full((len(words), LEVELS), 1.0)
     if not words:
-        return Model(words, ease, usual)
+        return Model(words, ease, paces, usual)
     numbers = spark.sparkContext.broadcast(words)
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(ease)
@@ -144,7 +161,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for r in sums.collect():  # at most MAX_WORDS rows
             counts[r["word"]] += r[1:]
         ease = counts / counts.sum(axis=0)
-    return Model(words, ease, usual)
+    return Model(words, ease, paces, usual)
+
+
+def usual_paces(sample: DataFrame) -> np.ndarray:
+    """Median words per sentence of the texts rated with each level; levels without any lie in between."""
+    votes = [f"v{k}" for k in range(1, LEVELS + 1)]
+    top = F.array_position(F.array(*votes), F.greatest(*votes)).cast("int")
+    rows = sample.where("pace > 0").groupBy(top.alias("level")).agg(F.percentile_approx("pace", 0.5).alias("pace")).collect()  # a row per level
+    known = {r["level"]: r["pace"] for r in rows}
+    at = sorted(known)
+    return np.interp(np.arange(1, LEVELS + 1), at, [known[k] for k in at]) if at else np.ones(LEVELS)
 
 
 def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
@@ -163,7 +190,8 @@ def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
                 if known:
                     j = np.fromiter(map(m.words.__getitem__, known), np.int64, len(known))
                     n = np.fromiter(map(units.__getitem__, known), np.float64, len(known))
-                    q = latent_level(m.ease[j], n)
+                    q = latent_level(m.ease[j], n) / m.pace
+                    q /= q.sum()
                     level.append(1 + int(q.argmax()))
                     mean.append(round(float(q @ steps), 3))
                 else:
