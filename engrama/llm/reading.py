@@ -50,12 +50,11 @@ ROUNDS = 6
 SMOOTH = 0.02
 ANCHOR = 20.0
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-NOT_PROSE = re.compile(
-    r"```.*?(?:```|\Z)|`[^`\n]*`|^#{1,6} [^\n]*|^\|[^\n]*|^[ \t]*(?:Q|A|user|agent|reviewer|assistant|system):|(?<!\S)[^\s_/\\{}<>=|`]*[_/\\{}<>=|]\S*|(?<!\S)[^\s.(]+\.[^\s(]+\(",
-    re.S | re.M,
-)
+CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
+#: Headings and table rows as a whole; speakers and list marks at the beginning of a line.
+LINE_MARK = re.compile(r"^(?:#{1,6} [^\n]*|\|[^\n]*|[ \t]*(?:Q|A|user|agent|reviewer|assistant|system):|[ \t]*(?:[-*>+]|\d+[.)])[ \t]+)", re.M)
+SYMBOL = re.compile(r"[_/\\{}<>=|]")
 SENTENCE_END = re.compile(r"[.!?:;]+(?=\s|$)")
-LIST_MARK = re.compile(r"^[ \t]*(?:[-*>+]|\d+[.)])[ \t]+", re.M)
 VOTES = ", ".join(f"v{k} double" for k in range(1, LEVELS + 1))
 SUMS = ", ".join(f"n{k} double" for k in range(1, LEVELS + 1))
 LEVEL_SCHEMA = "doc_id long, reading_level int, mean_level double, n_words int"
@@ -70,7 +69,13 @@ class Model:
 
 
 def prose(text: str) -> str:
-    return LIST_MARK.sub("", NOT_PROSE.sub(" ", text))
+    """The text without code, headings, tables, marks of lists and speakers, paths and addresses."""
+    if "`" in text:
+        text = CODE.sub(" ", text)
+    text = LINE_MARK.sub(" ", text)
+    if "(" in text or SYMBOL.search(text):
+        text = " ".join([t for t in text.split() if not SYMBOL.search(t) and not ("(" in t and "." in t)])
+    return text
 
 
 def words_per_sentence(text: str) -> float:
@@ -92,8 +97,11 @@ def latent_level(ease: np.ndarray, n: np.ndarray, rounds: int = 20) -> np.ndarra
     """Weights exp(theta) of the levels, summing to one, for words with counts ``n``."""
     q = np.full(LEVELS, 1.0 / LEVELS)
     for _ in range(rounds):
-        q = q * ((n / (ease @ q)) @ ease) + SMOOTH
-        q /= q.sum()
+        new = q * ((n / (ease @ q)) @ ease) + SMOOTH
+        new /= new.sum()
+        if np.abs(new - q).max() < 1e-4:
+            return new
+        q = new
     return q
 
 
@@ -133,18 +141,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not words:
         return Model(words, ease, paces, usual)
     numbers = spark.sparkContext.broadcast(words)
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = numbers.value
+        for pdf in batches:
+            kept = [[(number[w], n) for w, n in zip(ws, ns) if w in number] for ws, ns in zip(pdf["words"], pdf["counts"])]
+            yield pdf[votes].assign(words=[[w for w, _ in k] for k in kept], counts=[[n for _, n in k] for k in kept])
+
+    sample = stage(sample.select(*votes, "words", "counts").mapInPandas(numbered, f"{VOTES}, words array<int>, counts array<int>"), "numbered")
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(ease)
 
         def expected(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            ease, number = now.value, numbers.value
+            ease = now.value
             total = np.zeros_like(ease)
             for pdf in batches:
-                for v, ws, ns in zip(pdf[votes].to_numpy(), pdf["words"], pdf["counts"]):
-                    at = [(number[w], n) for w, n in zip(ws, ns) if w in number]
-                    if not at:
+                for v, j, n in zip(pdf[votes].to_numpy(), pdf["words"], pdf["counts"]):
+                    if not len(j):
                         continue
-                    j, n = np.array(at).T
                     e, n = ease[j], n.astype(float)
                     anchor = (v + SMOOTH) / (v + SMOOTH).sum()
                     q = anchor
