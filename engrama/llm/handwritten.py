@@ -68,6 +68,10 @@ TOOL = re.compile(
     r"|\bgerado automaticamente\b|\bgerado por\b.{0,40}n[aã]o (?:edite|editar)|\bmanual changes will be overwritten\b|\bchanges are lost on the next build\b",
     re.I,
 )
+#: What each alternative of ``TOOL`` and of ``NOTICE`` holds, for a first look.
+TOOL_WORDS = ("generated", "made", "produced", "gerado", "overwritten", "are lost")
+NOTICE_WORDS = ("upstream", "@licen", "copied from", "vendored", "copyright")
+DIGITS = re.compile(r"\d+")
 DENIED = re.compile(r"\b(?:not|never|n[aã]o foi) (?:auto|machine|automatically|generated|gerado)|edit freely", re.I)
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
 COMMENT = re.compile(r'/\*.*?\*/|"""(?:.|\n)*?"""|\'\'\'(?:.|\n)*?\'\'\'|^[ \t]*(?://|#(?!include|define|if|endif|else|pragma)|--)[^\n]*$', re.S | re.M)
@@ -93,8 +97,8 @@ def fingerprints(code: str) -> np.ndarray:
     n = len(words)
     if n < GRAM:
         return np.zeros(0, np.int64)
-    number: dict[str, int] = {}
-    t = np.fromiter((number.get(w) or number.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words), np.uint64, n)
+    number = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+    t = np.fromiter(map(number.__getitem__, words), np.uint64, n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(t * _powers(n, BASE), out=sums[1:])
     grams = (sums[GRAM:] - sums[:-GRAM]) * _powers(n - GRAM + 1, pow(BASE, -1, 1 << 64))
@@ -109,11 +113,12 @@ def fingerprints(code: str) -> np.ndarray:
 
 def is_generated(text: str, lines: list[str]) -> bool:
     head = text[:HEAD_CHARS]
-    if TOOL.search(head) and not DENIED.search(head):
+    low = head.lower()
+    if any(w in low for w in TOOL_WORDS) and TOOL.search(head) and not DENIED.search(head):
         return True
     if len(lines) < REPEATED_LINES:
         return False
-    shapes = Counter(re.sub(r"\d+", "0", x) for x in lines if any(c.isdigit() for c in x))
+    shapes = Counter(x for x in DIGITS.sub("0", "\n".join(lines)).split("\n") if "0" in x)
     counted = sum(n for n in shapes.values() if n >= REPEATED_LINES)
     return counted > 0 and counted >= REPEATED_SHARE * len(lines)
 
@@ -121,11 +126,11 @@ def is_generated(text: str, lines: list[str]) -> bool:
 def is_minified(code: str, lines: list[str]) -> bool:
     size = sum(map(len, lines))
     packed = sum(len(x) for x in lines if len(x) > LONG_LINE)
-    return size > LONG_LINE and packed >= 0.6 * size and sum(c.isspace() for c in code) < 0.1 * len(code)
+    return size > LONG_LINE and packed >= 0.6 * size and len(code) - len("".join(code.split())) < 0.1 * len(code)
 
 
 def is_data(code: str) -> bool:
-    solid = re.sub(r"\s+", "", code)
+    solid = "".join(code.split())
     if len(solid) < 400:
         return False
     if sum(map(len, ENCODED.findall(solid))) >= 0.6 * len(solid) or sum(map(len, ENCODED.findall(code))) >= 0.6 * len(code):
@@ -136,9 +141,14 @@ def is_data(code: str) -> bool:
 
 def traits(text: str) -> tuple[bool, bool, bool, bool, np.ndarray]:
     """(generated, minified, data, notice of a distribution, fingerprints)."""
-    code = COMMENT.sub(" ", PEM.sub(" ", text))
+    code = COMMENT.sub(" ", PEM.sub(" ", text) if "-----BEGIN" in text else text)
     lines = [x for x in (y.strip() for y in code.splitlines()) if x]
-    return is_generated(text, lines), is_minified(code, lines), is_data(code), bool(NOTICE.search(text[:HEAD_CHARS])), fingerprints(code)
+    return is_generated(text, lines), is_minified(code, lines), is_data(code), is_notice(text[:HEAD_CHARS]), fingerprints(code)
+
+
+def is_notice(head: str) -> bool:
+    low = head.lower()
+    return any(w in low for w in NOTICE_WORDS) and bool(NOTICE.search(head))
 
 
 def _trait_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
