@@ -195,7 +195,7 @@ def not_handwritten(crawl: DataFrame, nodes: DataFrame) -> DataFrame:
     current = texts.groupBy("node_id").agg(F.max(F.struct("loaded_at", "content")).alias("row")).select("node_id", "row.content")
     traits_of = stage(files.join(current.mapInPandas(_trait_batches, TRAIT_SCHEMA), "node_id", "left"), "traits")
 
-    prints = traits_of.select("file_id", "repo", F.explode("prints").alias("print"))
+    prints = traits_of.select("file_id", F.xxhash64("repo").alias("repo"), F.explode("prints").alias("print"))
     recurring = (
         prints.select("print", "repo").distinct().groupBy("print").agg(F.count(F.lit(1)).alias("n_repos"))
         .where(F.col("n_repos") >= MIN_REPOS)
