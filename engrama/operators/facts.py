@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from engrama.operators.relational import current
 from engrama.schemas import SCHEMAS, SCOPES, is_valid
+from engrama.sources.snapshots import with_ids
+from engrama.staging import stage
 
 FACTS = SCHEMAS["semantic_facts"]
 
@@ -23,15 +25,11 @@ def insert_facts(facts: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     Rows with an unknown scope, or a blank id or statement, are refused by
     ``ValueError`` before anything is added.
     """
-    from pyspark.sql import Window
-
     trimmed = new.select("scope_type", F.trim("scope_id").alias("scope_id"), F.trim("fact_statement").alias("fact_statement"))
     if not trimmed.where(~is_valid("semantic_facts")).isEmpty():
         raise ValueError(f"a fact needs a scope of {SCOPES}, an id and a statement")
-    top = facts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rank = F.row_number().over(Window.orderBy("scope_type", "scope_id", "fact_statement"))
-    add = trimmed.select(
-        (rank + F.lit(top)).cast("long").alias("id"), "scope_type", "scope_id", "fact_statement", now.alias("t_valid"), F.lit(None).cast("timestamp").alias("t_invalid"),
+    add = with_ids(trimmed, facts, ["scope_type", "scope_id", "fact_statement"]).select(
+        "id", "scope_type", "scope_id", "fact_statement", now.alias("t_valid"), F.lit(None).cast("timestamp").alias("t_invalid"),
         F.lit(1.0).alias("utility_alpha"), F.lit(1.0).alias("utility_beta"), now.alias("created_at"),
     )
     return facts.unionByName(add)
@@ -138,19 +136,13 @@ def decide_facts(facts: DataFrame, new: DataFrame, decide: Callable[[list[tuple[
         return pd.DataFrame(rows, columns=["scope_type", "scope_id", "seq", "action", "target_id", "new_id", "statement", "fallback"]).astype({"target_id": "Int64", "new_id": "Int64"})
 
     schema = "scope_type string, scope_id string, seq long, action string, target_id long, new_id long, statement string, fallback boolean"
-    from engrama.staging import stage
-
     log = stage(old.unionByName(add).groupBy("scope_type", "scope_id").applyInPandas(run, schema), "decisions")
     at = F.lit(now)
-    from pyspark.sql import Window
-
-    top = facts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     made = log.where("new_id is not null")
     replaced = log.where("target_id < 0").select("scope_type", "scope_id", F.col("target_id").alias("new_id"), F.lit(True).alias("_over")).distinct()
     made = made.join(replaced, ["scope_type", "scope_id", "new_id"], "left")
-    rank = F.row_number().over(Window.orderBy("scope_type", "scope_id", "seq"))
-    fresh = made.select(
-        (rank + F.lit(top)).cast("long").alias("id"), "scope_type", "scope_id", F.col("statement").alias("fact_statement"), at.alias("t_valid"),
+    fresh = with_ids(made, facts, ["scope_type", "scope_id", "seq"]).select(
+        "id", "scope_type", "scope_id", F.col("statement").alias("fact_statement"), at.alias("t_valid"),
         F.when(F.col("_over"), at).cast("timestamp").alias("t_invalid"), F.lit(1.0).alias("utility_alpha"), F.lit(1.0).alias("utility_beta"), at.alias("created_at"),
     )
     kept = invalidate_facts(active, log.where("target_id > 0").select(F.col("target_id").alias("id")), at)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engrama.functions.scoring import days_between
 from engrama.operators import delta, graph
+from engrama.sources.snapshots import with_ids
 from engrama.staging import stage
 
 DECAY_DAYS, ARCHIVE_DAYS = 30, 60
@@ -50,11 +51,10 @@ def insight_nodes(nodes: DataFrame, summaries: DataFrame) -> DataFrame:
     label = F.concat(F.lit("community_"), F.col("anchor_id").cast("string"), F.lit("_summary"))
     new = summaries.join(anchors, "anchor_id").select("project_uuid", label.alias("label"), "summary")
     old = nodes.where("type = 'insight'").groupBy("project_uuid", "label").agg(F.min("id").alias("_old"))
-    top = nodes.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    j = new.join(old, ["project_uuid", "label"], "left")
-    rank = F.row_number().over(Window.partitionBy(F.col("_old").isNull()).orderBy("label"))
-    made = j.select(F.coalesce("_old", (rank + F.lit(top)).cast("long")).alias("id"), "project_uuid", "label", "summary", F.lit("INSIGHT").alias("node_type"), F.lit("insight").alias("type"), F.lit("ACTIVE").alias("status"))
-    made = stage(made, "insights")
+    j = stage(new.join(old, ["project_uuid", "label"], "left"), "insights")
+    fresh = with_ids(j.where("_old is null"), nodes, ["label"]).select("id", "project_uuid", "label", "summary")
+    kept = j.where("_old is not null").select(F.col("_old").alias("id"), "project_uuid", "label", "summary")
+    made = stage(kept.unionByName(fresh), "insights").select("*", F.lit("INSIGHT").alias("node_type"), F.lit("insight").alias("type"), F.lit("ACTIVE").alias("status"))
     return nodes.join(made.select("id"), "id", "left_anti").select(*nodes.columns).unionByName(made, allowMissingColumns=True)
 
 

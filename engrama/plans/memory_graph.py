@@ -11,7 +11,7 @@ from engrama.operators import relational as R
 from engrama.plans import base as B
 from engrama.plans.base import AN, AP, CC, CE, CF, CN, CP, CV, FA, T
 from engrama.schemas import NODE_TYPES, split_valid
-from engrama.sources import crawl, snapshots
+from engrama.sources import access, crawl, snapshots
 from engrama.sources.ignore import IgnoreRules
 from engrama.staging import stage
 from engrama.streaming import watch
@@ -694,3 +694,91 @@ def query_set(spark: SparkSession, d: str, n: int = 100) -> list[tuple[int, str,
 def hybrid_search_batch(spark: SparkSession, d: str) -> DataFrame:
     """A hundred hybrid queries in one plan."""
     return batch_search.hybrid_search_batch(B.nodes(spark, d), B.edges(spark, d), B.vectors(spark, d), query_set(spark, d), B.now())
+
+
+# --- further writes and scalars --------------------------------------------------------
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 'new_' || id ELSE file_hash END AS file_hash FROM cn", CN)
+def hashes_after_update(spark: SparkSession, d: str) -> DataFrame:
+    n = B.nodes(spark, d).select("id", "file_hash")
+    u = n.where("id % 7 = 0").select("id", F.concat(F.lit("new_"), F.col("id").cast("string")).alias("file_hash"))
+    return delta.with_new_hashes(n, u).select("id", "file_hash")
+
+
+@query("SELECT id FROM cn WHERE NOT coalesce(project_uuid = " + AP + " AND (label = 'lib/common.py' OR starts_with(label, 'lib/common.py::')) AND (file_hash IS NULL OR file_hash <> 'h'), false)", CN, CP)
+def nodes_without_obsolete(spark: SparkSession, d: str) -> DataFrame:
+    return delta.without_obsolete(B.nodes(spark, d), B.anchor_project(spark, d), "lib/common.py", "h").select("id")
+
+
+@query("SELECT doc_id FROM cv WHERE node_id % 5 <> 0", CV)
+def vectors_after_delete(spark: SparkSession, d: str) -> DataFrame:
+    v = B.vectors(spark, d).select("doc_id", "node_id")
+    return access.delete_vectors(v, v.where("node_id % 5 = 0")).select("doc_id")
+
+
+@query("SELECT DISTINCT node_id FROM cv WHERE node_id IS NOT NULL", CV)
+def stored_node_ids(spark: SparkSession, d: str) -> DataFrame:
+    return access.stored_node_ids(B.vectors(spark, d))
+
+
+@query("SELECT id, CASE WHEN id % 11 = 0 THEN '2025-06-01' ELSE strftime(last_commit_at AT TIME ZONE 'UTC', '%Y-%m-%d') END AS day FROM cn", CN)
+def touched_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = B.nodes(spark, d)
+    return delta.touched(n, n.where("id % 11 = 0").select("id"), "last_commit_at", B.now()).select("id", F.date_format("last_commit_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2025-06-01' ELSE t_invalid END IS NULL AS active FROM fa", FA)
+def facts_after_invalidation(spark: SparkSession, d: str) -> DataFrame:
+    f = B.facts(spark, d)
+    return facts.invalidate_facts(f, f.where("id % 3 = 0").select("id"), B.now()).select("id", F.col("t_invalid").isNull().alias("active"))
+
+
+@query("SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY uuid) AS id, uuid AS scope_id FROM cp", CP)
+def inserted_facts(spark: SparkSession, d: str) -> DataFrame:
+    new = B.projects(spark, d).select(F.lit("org").alias("scope_type"), F.col("uuid").alias("scope_id"), F.lit("is registered").alias("fact_statement"))
+    return facts.insert_facts(B.facts(spark, d), new, B.now()).where("scope_type = 'org'").select("id", "scope_id")
+
+
+@query("SELECT file_id, regexp_extract(path, '[^/]*$') AS name, project_uuid IS NOT NULL AND regexp_matches(lower(project_uuid), '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') AS is_uuid FROM cf", CF)
+def path_names(spark: SparkSession, d: str) -> DataFrame:
+    return B.files(spark, d).select("file_id", text.basename(F.col("relative_path")).alias("name"), F.coalesce(text.is_uuid(F.col("project_uuid")), F.lit(False)).alias("is_uuid"))
+
+
+@query("SELECT p.uuid, coalesce(w.wing, p.primary_wing) AS primary_wing FROM cp p LEFT JOIN (" + _wing_sql()[0] + ") w ON w.project_uuid = p.uuid", CN, CP, _wing_sql()[1])
+def categorised_projects(spark: SparkSession, d: str) -> DataFrame:
+    return facade.categorised(B.projects(spark, d), B.nodes(spark, d)).select("uuid", "primary_wing")
+
+
+@query("SELECT uuid AS project_uuid FROM cp WHERE primary_wing IN (SELECT primary_wing FROM cp WHERE uuid = " + AP + " UNION ALL SELECT max(primary_wing) FROM cp)", CP)
+def scope_with_references(spark: SparkSession, d: str) -> DataFrame:
+    p, a = B.projects(spark, d), B.anchor_project(spark, d)
+    wings = p.agg(F.max("primary_wing").alias("wing_name")).select(F.lit(a).alias("project_uuid"), "wing_name")
+    return search.scoped_projects(p, wings, a, include_references=True).select("project_uuid")
+
+
+@query("SELECT doc_id FROM cv WHERE node_id IS NOT NULL AND node_id IN (SELECT id FROM cn) UNION SELECT 'node_' || id FROM cn WHERE status = 'ACTIVE' AND regexp_matches(content, '[\\p{L}\\p{N}]') AND id NOT IN (SELECT node_id FROM cv WHERE node_id IS NOT NULL)", CN, CV)
+def synced_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return access.synced_vectors(B.nodes(spark, d), B.vectors(spark, d)).select("doc_id")
+
+
+@query(
+    "SELECT id, CASE WHEN k = 4 THEN NULL ELSE id END AS got FROM (SELECT event_id AS id, event_id % 5 AS k FROM events)"
+)
+def json_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies with an object bare, fenced, embedded, nested, and without one."""
+    body = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"))
+    k = F.col("event_id") % 5
+    reply = (
+        F.when(k == 0, F.concat(body, F.lit("}"))).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("}\n```"))).when(k == 2, F.concat(F.lit("so: "), body, F.lit("}.")))
+        .when(k == 3, F.concat(body, F.lit(', "x": {"y": 1}}'))).otherwise(F.lit("no object"))
+    )
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), text.json_object(reply).alias("j"))
+    return e.select("id", F.get_json_object("j", "$.id").cast("long").alias("got"))
+
+
+@query("SELECT dir AS id, string_agg(content, chr(10) ORDER BY source_file, chunk_id) AS text FROM (SELECT *, regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS dir FROM cc WHERE content IS NOT NULL) GROUP BY 1", CC)
+def community_texts(spark: SparkSession, d: str) -> DataFrame:
+    c = B.chunks(spark, d).where("content is not null")
+    key = F.concat("source_file", F.lit("\u0001"), F.format_string("%020d", "chunk_id"))
+    return summarise.community_text(c.select(key.alias("path"), "content", F.regexp_extract("source_file", "^(.*)/[^/]*$", 1).alias("community_id")))

@@ -28,7 +28,3 @@ SPARK = _session()  # columns such as a fixed clock are made while tests are col
 @pytest.fixture(scope="session")
 def spark():
     return SPARK
-
-
-def rows(df, *cols):
-    return sorted((tuple(r[c] for c in (cols or df.columns)) for r in df.collect()), key=repr)

@@ -1,6 +1,6 @@
 import random
 
-from conftest import rows
+from helpers import rows
 
 from engrama.operators import hierarchy as H
 

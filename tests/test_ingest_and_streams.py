@@ -1,7 +1,7 @@
 import datetime
 import json
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from engrama.operators import facade

@@ -1,6 +1,6 @@
 from datetime import datetime as D
 
-from conftest import rows
+from helpers import rows
 
 from engrama.operators import orphans as O
 
