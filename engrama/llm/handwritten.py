@@ -4,8 +4,8 @@ Vendored copies: every file's code (comments aside) becomes a stream of tokens;
 hashes of ``GRAM`` consecutive tokens are thinned by winnowing (the smallest
 hash of each ``WINDOW`` neighbours).  A fingerprint recurs if it occurs in at
 least ``MIN_REPOS`` repositories, and a file is a copy if at least
-``COPY_SHARE`` of its fingerprints recur; so a lightly patched copy is still
-found, and boilerplate, much shorter than a gram, is not.  A place reserved for
+``COPY_SHARE`` of its fingerprints, and ``MIN_SHARED`` of them, recur; so a lightly
+patched copy is still found, and boilerplate, much shorter than a gram, is not.  A place reserved for
 third parties (``THIRD_PARTY``) or a distribution's notice also tells a copy.
 
 Generated files, minified files and data are told by the file itself: a header
@@ -47,6 +47,7 @@ GRAM = 60
 WINDOW = 8
 MIN_REPOS = 3
 COPY_SHARE = 0.4
+MIN_SHARED = 4
 REPEATED_SHARE = 0.5
 REPEATED_LINES = 8
 LONG_LINE = 300
@@ -204,6 +205,7 @@ def not_handwritten(crawl: DataFrame, nodes: DataFrame) -> DataFrame:
     salted = prints.select("file_id", "print", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int").alias("salt"))
     shared = salted.join(recurring, ["print", "salt"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_shared"))
     share = F.coalesce(F.col("n_shared") / F.size("prints"), F.lit(0.0))
+    share = F.when(F.size("prints") > 0, share).otherwise(F.lit(0.0))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     no_text = F.col("is_data").isNull()
     path = F.coalesce("path", F.lit(""))
@@ -212,6 +214,6 @@ def not_handwritten(crawl: DataFrame, nodes: DataFrame) -> DataFrame:
         (yes("is_generated") | (no_text & path.rlike(TOOL_PATH))).alias("generated"),
         yes("is_minified").alias("minified"),
         yes("is_data").alias("data"),
-        (yes("is_notice") | path.rlike(THIRD_PARTY) | (share >= COPY_SHARE)).alias("vendored"),
+        (yes("is_notice") | path.rlike(THIRD_PARTY) | ((share >= COPY_SHARE) & (F.coalesce("n_shared", F.lit(0)) >= MIN_SHARED))).alias("vendored"),
         F.round(share, 4).alias("copied_share"),
     )
