@@ -7,8 +7,8 @@ those of vectors whose second- or third-nearest centroid it is by less than
 ``MARGIN``.  The answers of all shards are merged per query.
 
 A shard has about ``SHARD`` vectors whatever the collection, so the cost per
-vector does not grow with it; a shard that came out too large is cut into
-sub-shards by a hash, and its queries go to each of them.  Exact copies of a
+vector does not grow with it; a shard that came out too large is cut by a hash
+into parts, each asked by all of the shard's queries, in blocks of bounded size.  Exact copies of a
 vector form one point of the graph: a third of all rows being one vector
 neither crowds a shard nor fills the beam, and its copies come back afterwards.
 
@@ -102,7 +102,11 @@ def fit_centroids(points: DataFrame, n_shards: int) -> np.ndarray:
 
 
 def _router(centroids, pieces=None):
-    """Rows (shard, part, own, node_id, vector); without ``pieces`` only the own shard."""
+    """Rows (shard, piece, own, asks, node_id, vector); without ``pieces`` only the own shard.
+
+    A piece of a shard is one of its parts, whose vectors it holds (``own``), and
+    one block of the queries that are put to it (``asks``).
+    """
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centroids.value
@@ -119,14 +123,18 @@ def _router(centroids, pieces=None):
             best = np.take_along_axis(sims, order, 1)
             row, rank = np.nonzero(best >= best[:, :1] - MARGIN)
             shard = order[row, rank]
-            n_parts = pieces.value[shard]
-            at = np.repeat(np.arange(len(row)), n_parts)
-            part = np.arange(len(at)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
-            row, shard = row[at], shard[at]
-            own = (rank[at] == 0) & ((ids[row] * 2654435761 >> 7) % n_parts[at] == part)
+            n_parts, n_blocks = (v[shard] for v in pieces.value)
+            copies = n_parts * n_blocks
+            at = np.repeat(np.arange(len(row)), copies)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+            mixed = ids[row] * 2654435761 >> 7
+            own = (rank[at] == 0) & (mixed[at] % n_parts[at] == piece % n_parts[at])
+            asks = mixed[at] // 97 % n_blocks[at] == piece // n_parts[at]
+            kept = own | asks
+            row, shard, piece, own, asks = row[at][kept], shard[at][kept], piece[kept], own[kept], asks[kept]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(own), pa.array(ids[row]), batch.column("vector").take(pa.array(row))],
-                ["shard", "part", "own", "node_id", "vector"],
+                [pa.array(shard.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(own), pa.array(asks), pa.array(ids[row]), batch.column("vector").take(pa.array(row))],
+                ["shard", "piece", "own", "asks", "node_id", "vector"],
             )
 
     return route
@@ -137,14 +145,15 @@ def _shard_search(k: int):
         ids = table.column("node_id").to_numpy()
         own = table.column("own").to_numpy()
         order = np.lexsort((ids, ~own))  # own vectors first, by id
-        ids, own = ids[order], own[order]
+        ids, own, asks = ids[order], own[order], table.column("asks").to_numpy()[order]
         x = _matrix(table.column("vector"))[order]
         n = int(own.sum())
         out_q, out_i, out_s = [], [], []
         if n:
             graph = Graph(x[:n])
-            for i in range(0, len(x), BATCH):
-                q = np.arange(i, min(i + BATCH, len(x)))
+            asking = np.flatnonzero(asks)
+            for i in range(0, len(asking), BATCH):
+                q = asking[i : i + BATCH]
                 at, sims = graph.search(x[q], np.where(own[q], q, n))
                 sims = np.where((at == q[:, None]) | (at >= n), -9, sims)
                 best = np.lexsort((ids[np.minimum(at, n - 1)], -sims), axis=1)[:, :k]
@@ -187,10 +196,12 @@ def nearest(vectors: DataFrame, k: int = 10) -> DataFrame:
     counts = np.zeros(n_shards, np.int64)
     for r in unique.select("node_id", "vector").mapInArrow(_router(centroids), "shard int").groupBy("shard").count().collect():
         counts[r["shard"]] = r["count"]  # one row per shard
-    parts = np.where(counts > MAX_SHARD, -(-counts // SHARD), 1)
-    pieces = spark.sparkContext.broadcast(parts)
-    routed = unique.select("node_id", "vector").mapInArrow(_router(centroids, pieces), "shard int, part int, own boolean, node_id long, vector binary")
-    found = routed.groupBy("shard", "part").applyInArrow(_shard_search(k), FOUND_SCHEMA)
+    large = counts > MAX_SHARD
+    parts = np.where(large, -(-counts // SHARD), 1)
+    blocks = np.where(large, -(-counts // (4 * SHARD)), 1)
+    pieces = spark.sparkContext.broadcast((parts, blocks))
+    routed = unique.select("node_id", "vector").mapInArrow(_router(centroids, pieces), "shard int, piece int, own boolean, asks boolean, node_id long, vector binary")
+    found = routed.groupBy("shard", "piece").applyInArrow(_shard_search(k), FOUND_SCHEMA)
     best = _best(found, k)
     return _with_copies(best, members, k) if has_copies else best
 

@@ -62,6 +62,19 @@ def test_recall_over_shards_and_hot_shards(spark, monkeypatch):
     assert np.mean([np.mean([near[i, j] >= tenth[i] - 1e-3 for j in got[i]]) for i in range(800)]) > 0.9
 
 
+def test_shards_far_too_large_are_cut_into_parts_and_blocks(spark, monkeypatch):
+    x = clustered(1200, 6)
+    monkeypatch.setattr(N, "SHARD", 60)
+    monkeypatch.setattr(N, "MAX_SHARD", 100)
+    fitted = N.fit_centroids
+    monkeypatch.setattr(N, "fit_centroids", lambda points, n: np.concatenate([fitted(points, 2), np.zeros((n - 2, 384), np.float32)]))
+    found = N.nearest(vectors(spark, [(i, v, T) for i, v in enumerate(x)]), 10).toPandas()
+    got = found.groupby("node_id").neighbour_id.apply(set)
+    assert len(got) == 1200 and (found.groupby("node_id").size() == 10).all()
+    truth = brute(x, 10)
+    assert sum(len(got[i] & set(truth[i])) for i in range(1200)) / 12000 > 0.95
+
+
 def test_operator_cases(spark):
     e = np.eye(384)
     later = T + datetime.timedelta(1)
