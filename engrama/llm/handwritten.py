@@ -9,8 +9,9 @@ patched copy is still found, and boilerplate, much shorter than a gram, is not.
 third parties (``THIRD_PARTY``) or a distribution's notice also tells a copy.
 
 Generated files, minified files and data are told by the file itself: a header
-in which a tool claims the file, code made of a few lines that repeat with other numbers, long lines
-without blanks, or text that is mostly numbers or encoded bytes.
+in which a tool claims the file, code made of a few lines that repeat with other numbers, strings or hex
+values, long lines without blanks, text that is mostly numbers or encoded bytes, or code whose tokens
+are nearly all literals: strings, numbers, and the keys and INSERT heads of records.
 
 All fingerprints stay distributed.  They are counted per (fingerprint,
 repository) with partial sums first, and the recurring ones are matched per
@@ -50,6 +51,7 @@ COPY_SHARE = 0.4
 MIN_SHARED = 4
 REPEATED_SHARE = 0.5
 REPEATED_LINES = 8
+LITERAL_SHARE = 0.8
 LONG_LINE = 300
 SALTS = 8
 TRAIT_SCHEMA = "node_id long, is_generated boolean, is_minified boolean, is_data boolean, is_notice boolean, prints array<long>"
@@ -72,12 +74,18 @@ TOOL = re.compile(
 #: What each alternative of ``TOOL`` and of ``NOTICE`` holds, for a first look.
 TOOL_WORDS = ("generated", "made", "produced", "gerado", "overwritten", "are lost")
 NOTICE_WORDS = ("upstream", "@licen", "copied from", "vendored", "copyright")
-DIGITS = re.compile(r"\d+")
+STRING = re.compile(r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'""")
+#: Digits, and hex values that stand outside of strings.
+DIGITS = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|(?=[a-fA-F]*\d)[0-9a-fA-F]{6,})\b|\d+")
 DENIED = re.compile(r"\b(?:not|never|n[aã]o foi) (?:auto|machine|automatically|generated|gerado)|edit freely", re.I)
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
 COMMENT = re.compile(r'/\*.*?\*/|"""(?:.|\n)*?"""|\'\'\'(?:.|\n)*?\'\'\'|^[ \t]*(?://|#(?!include|define|if|endif|else|pragma)|--)[^\n]*$', re.S | re.M)
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]|[^\W\d_]+")
 NUMBERS = re.compile(r"0[xX][0-9a-fA-F]+|-?\d+\.?\d*(?:[eE][-+]?\d+)?[fFlLuU]?")
+LITERAL = re.compile(STRING.pattern + r"""|`(?:[^`\\]|\\.)*`|(?<![\w.])[-+]?\d[\w.]*|\b(?i:true|false|null|none|nil)\b""")
+#: What frames the values of a record: a bare key before a value, or the head of an INSERT with its columns.
+FRAME = re.compile(r"""[A-Za-z_$][\w$-]*(?=\s*(?::|=>)\s*[\0\[{])|\binsert\s+(?:or\s+\w+\s+|ignore\s+)?into\s+[\w.\0\[\]]+\s*(?:\([^()]*\)\s*)?values\b""", re.I)
+NAME = re.compile(r"[^\W\d]\w*")
 ENCODED = re.compile(r"[A-Za-z0-9+/=]{40,}")
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -119,7 +127,8 @@ def is_generated(text: str, lines: list[str]) -> bool:
         return True
     if len(lines) < REPEATED_LINES:
         return False
-    shapes = Counter(x for x in DIGITS.sub("0", "\n".join(lines)).split("\n") if "0" in x)
+    code = STRING.sub(lambda m: '"0"' if DIGITS.search(m[0]) else '""', "\n".join(lines))
+    shapes = Counter(x for x in DIGITS.sub("0", code).split("\n") if "0" in x)
     counted = sum(n for n in shapes.values() if n >= REPEATED_LINES)
     return counted > 0 and counted >= REPEATED_SHARE * len(lines)
 
@@ -137,7 +146,17 @@ def is_data(code: str) -> bool:
     if sum(map(len, ENCODED.findall(solid))) >= 0.6 * len(solid) or sum(map(len, ENCODED.findall(code))) >= 0.6 * len(code):
         return True
     rest = NUMBERS.sub("", code)
-    return len(re.sub(r"[\s,;:\[\](){}]+", "", rest)) <= 0.2 * len(solid)
+    if len(re.sub(r"[\s,;:\[\](){}]+", "", rest)) <= 0.2 * len(solid):
+        return True
+    n, other = literals(code)
+    return n >= REPEATED_LINES and n >= LITERAL_SHARE * (n + other)
+
+
+def literals(code: str) -> tuple[int, int]:
+    """Tokens that are literals or frame the values of records, and names outside of them."""
+    rest, values = LITERAL.subn("\0", code)
+    rest, frames = FRAME.subn(" ", rest)
+    return values + frames, len(NAME.findall(rest))
 
 
 def traits(text: str) -> tuple[bool, bool, bool, bool, np.ndarray]:

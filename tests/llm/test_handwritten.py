@@ -57,3 +57,24 @@ def test_fingerprints_survive_layout_and_short_texts():
     c = code(random.Random(5))
     assert set(H.fingerprints(c)) == set(H.fingerprints(c.replace("    ", "\t").replace("\n", "\r\n")))
     assert len(H.fingerprints("a b c")) == 0 and len(H.fingerprints("")) == 0
+
+
+def test_records_written_as_code_are_data():
+    rng = random.Random(8)
+    row = lambda: f'{{"id": {rng.randrange(10**6)}, "tag": "{rng.choice(["frame", "edge", "scope"])}", "w": {rng.random():.4f}, "k": "{rng.getrandbits(32):08x}"}}'
+    rows = [row() for _ in range(40)]
+    inserts = "\n".join(f"INSERT INTO {rng.choice(['edge', 'frame', 'node'])}_rows VALUES ({i}, '{rng.getrandbits(48):012x}', {rng.random():.6f});" for i in range(30))
+    bare = "export const rows = [" + ",\n".join(f"{{id: {i}, tag: 'x y', on: true}}" for i in range(40)) + "];"
+    pretty = "ROWS = [\n" + ",\n".join(r.replace("{", " {\n  ").replace(", ", ",\n  ").replace("}", "\n }") for r in rows) + "\n]\n"
+    columns = inserts.replace(" VALUES", " (id, k, w) VALUES")
+    for text in ("ROWS = [" + ", ".join(rows) + "]\n", "module.exports = [" + ", ".join(rows) + "];", pretty, inserts, columns, bare):
+        assert H.traits(text)[2], text[:120]
+    selects = "\n".join(f"INSERT INTO a_rows SELECT id, k FROM b_rows WHERE kind = '{k}' AND id > {k * 7};" for k in "abcdefghijkl")
+    for text in (code(rng, 40), selects, "\n".join(f'    assert parse("{w}", {i}) == render({w}, "{i}")' for i, w in enumerate(["frame", "edge", "scope"] * 9))):
+        assert not H.traits(text)[2], text[:120]
+
+
+def test_lines_that_repeat_with_other_strings_and_hex_are_generated():
+    rng = random.Random(9)
+    text = "\n".join(f"add_row('{rng.choice(['frame', 'edge'])}', '{rng.getrandbits(48):012x}', {i}, 0x{rng.getrandbits(32):08x});" for i in range(12))
+    assert H.traits(text)[0]
