@@ -1,16 +1,18 @@
 """Hybrid search for a whole set of queries in one plan.
 
-The query set is held by every task (its size is checked; a larger one is
-searched in blocks), vectors stream past it once, and each task keeps only its
-best rows per query.  Phrases meet the text by an equi-join on their first
-word, so a text is looked at only for queries that could match it.
+The query set is held by every task (a larger one is searched in blocks, of
+which the driver too holds one at a time), vectors stream past each block once,
+and each task keeps only its best rows per query.  Equal phrases are searched
+once; they meet the text by an equi-join on their first word, so a text is
+looked at only for phrases that could match it.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from engrama.staging import stage
 
 #: Queries whose vectors one task holds at a time (about 3 MB per thousand at 384 numbers).
 BLOCK = 4096
+#: Scores that a task computes at a time (8 MB each for them, their keys and their order).
+CELLS = 1 << 20
 
 
 def phrase_words(phrase: str | None) -> list[str]:
@@ -31,12 +35,11 @@ def phrase_words(phrase: str | None) -> list[str]:
     return re.findall(r"[^\W_]+", folded)
 
 
-def vector_search_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], top_k: int) -> DataFrame:
+def vector_search_batch(vectors: DataFrame, queries: Iterable[tuple[int, list[float]]], top_k: int) -> DataFrame:
     """(query_id, node_id, vector_score): exact cosine, the best ``top_k`` nodes of each query."""
     spark = vectors.sparkSession
-    parts = None
-    for at in range(0, len(queries), BLOCK):
-        block = queries[at : at + BLOCK]
+    parts, queries = None, iter(queries)
+    while block := list(islice(queries, BLOCK)):
         q = np.array([v for _, v in block], np.float64)
         size = np.linalg.norm(q, axis=1, keepdims=True)
         held = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), np.divide(q, size, out=np.zeros_like(q), where=size > 0)))
@@ -56,16 +59,26 @@ def _scanner(held, dim: int, top_k: int):
         ids, q = held.value
         best_s = np.zeros((len(ids), 0))
         best_n = np.zeros((len(ids), 0), np.int64)
+        step = max(1, CELLS // len(ids))
         for batch in batches:
-            x = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(-1, dim)
-            size = np.linalg.norm(x, axis=1)
-            ok = size > 0
-            node = batch.column("node_id").to_numpy(zero_copy_only=False)[ok]
-            s = np.round(np.maximum(q @ (x[ok] / size[ok, None]).T, 0.0) + 1e-12, 4)
-            s = np.concatenate([best_s, s], axis=1)
-            n = np.concatenate([best_n, np.broadcast_to(node, (len(ids), len(node)))], axis=1)
-            order = np.lexsort((n, -s), axis=1)[:, :top_k]
-            best_s, best_n = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
+            vectors = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(-1, dim)
+            nodes = batch.column("node_id").to_numpy(zero_copy_only=False)
+            for at in range(0, len(nodes), step):
+                x, node = vectors[at : at + step], nodes[at : at + step]
+                size = np.linalg.norm(x, axis=1)
+                ok = np.flatnonzero((size > 0) & np.isfinite(size))
+                ok = ok[np.argsort(node[ok], kind="stable")]
+                node = node[ok]
+                s = np.round(np.maximum(q @ (x[ok] / size[ok, None]).T, 0.0) + 1e-12, 4)
+                if s.shape[1] > top_k:  # scores have four places: as a number with the node's rank, their order is exact
+                    key = np.arange(len(node)) - np.rint(s * 1e4).astype(np.int64) * len(node)
+                    part = np.argpartition(key, top_k - 1, axis=1)[:, :top_k]
+                    s, n = np.take_along_axis(s, part, 1), node[part]
+                else:
+                    n = np.broadcast_to(node, s.shape)
+                s, n = np.concatenate([best_s, s], axis=1), np.concatenate([best_n, n], axis=1)
+                order = np.lexsort((n, -s), axis=1)[:, :top_k]
+                best_s, best_n = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
         k = best_s.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(best_n.ravel()), pa.array(best_s.ravel())], ["query_id", "node_id", "vector_score"])
 
@@ -75,26 +88,35 @@ def _scanner(held, dim: int, top_k: int):
 def text_search_batch(tokens: DataFrame, phrases: list[tuple[int, str]], limit: int = 20) -> DataFrame:
     """(query_id, node_id, text_score) of every phrase, as ``text_search`` gives it for one."""
     spark = tokens.sparkSession
-    rows = [(i, w[0], " ".join(w)) for i, p in phrases if (w := phrase_words(p))]
-    q = spark.createDataFrame(rows, "query_id long, word string, phrase string")
+    rows = [(i, " ".join(w)) for i, p in phrases if (w := phrase_words(p))]
+    asked = spark.createDataFrame(rows, "query_id long, phrase string")
+    q = spark.createDataFrame([(p.split()[0], p) for p in sorted({p for _, p in rows})], "word string, phrase string")
     mean = mean_length(tokens)
     words = F.array_distinct(F.filter(F.split(F.concat("n_label", "n_tags", "n_summary"), " "), lambda x: x != ""))
     each = tokens.select("id", "n_label", "n_tags", "n_summary", "n_length", F.explode(words).alias("word"))
     hit = F.concat(F.lit("(?= "), F.col("phrase"), F.lit(" )"))
     count = F.regexp_count("n_label", hit) + F.regexp_count("n_tags", hit) + F.regexp_count("n_summary", hit)
     m = each.join(q, "word").withColumn("hits", count).where("hits > 0")
-    raw = m.select("query_id", F.col("id").alias("node_id"), scoring.saturation(F.col("hits"), F.col("n_length"), F.lit(mean or 1.0)).alias("raw"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("raw"), F.asc("node_id"))
+    raw = m.select("phrase", F.col("id").alias("node_id"), scoring.saturation(F.col("hits"), F.col("n_length"), F.lit(mean or 1.0)).alias("raw"))
+    w = Window.partitionBy("phrase").orderBy(F.desc("raw"), F.asc("node_id"))
     top = raw.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
-    best = F.max("raw").over(Window.partitionBy("query_id"))
-    return top.select("query_id", "node_id", F.round(F.col("raw") / best, 4).alias("text_score"))
+    best = F.max("raw").over(Window.partitionBy("phrase"))
+    scored = top.select("phrase", "node_id", F.round(F.col("raw") / best, 4).alias("text_score"))
+    return asked.join(scored, "phrase").select("query_id", "node_id", "text_score")
 
 
-def hybrid_search_batch(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, queries: list[tuple[int, str, list[float]]], now: Column, top_k: int = 10) -> DataFrame:
+def hybrid_search_batch(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, queries: Iterable[tuple[int, str, list[float]]], now: Column, top_k: int = 10) -> DataFrame:
     """(query_id, node_id, score_final): the ranking of ``hybrid_search`` for each (id, phrase, vector)."""
-    v = vector_search_batch(vectors, [(i, e) for i, _, e in queries], 3 * top_k)
+    phrases: list[tuple[int, str]] = []
+
+    def embeddings() -> Iterator[tuple[int, list[float]]]:
+        for i, p, e in queries:
+            phrases.append((i, p))
+            yield i, e
+
+    v = vector_search_batch(vectors, embeddings(), 3 * top_k)  # reads all queries
     tokens = stage(token_frame(nodes.select("id", "label", "tags", "summary")).select("id", "n_label", "n_tags", "n_summary", "n_length"), "tokens")
-    t = text_search_batch(tokens, [(i, p) for i, p, _ in queries])
+    t = text_search_batch(tokens, phrases)
     m = v.join(t, ["query_id", "node_id"], "full").select("query_id", "node_id", F.coalesce("vector_score", F.lit(0.0)).alias("v"), F.coalesce("text_score", F.lit(0.0)).alias("t"))
     m = stage(m, "merged")  # at most 3 k + 20 rows per query
     degree = in_degree(edges.join(m.select(F.col("node_id").alias("target_id")).distinct(), "target_id", "left_semi")).withColumnRenamed("id", "node_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -682,17 +684,26 @@ def changed_files(spark: SparkSession, d: str) -> DataFrame:
     return delta.changed_files(old, new).select("path", "changed")
 
 
-def query_set(spark: SparkSession, d: str, n: int = 100) -> list[tuple[int, str, list[float]]]:
-    """The first ``n`` usable vectors by node, each with the first two words of its node's label or summary."""
-    v = B.vectors(spark, d).where("size(embedding) = 384").select("node_id", "embedding")
+#: The query set: the nodes whose id this number divides.
+QUERY_STEP = 50
+
+
+def query_set(spark: SparkSession, d: str) -> Iterator[tuple[int, str, list[float]]]:
+    """All usable vectors of every ``QUERY_STEP``-th node id, each with the first two words of its node's label or summary.
+
+    They come one partition at a time, so that the driver never holds all of them.
+    """
+    usable = (F.size("embedding") == 384) & ~F.exists("embedding", lambda x: x.isNull()) & F.exists("embedding", lambda x: x != 0)
+    v = B.vectors(spark, d).where((F.col("node_id") % QUERY_STEP == 0) & usable).select("node_id", "embedding")
     words = B.nodes(spark, d).select(F.col("id").alias("node_id"), F.coalesce("summary", "label").alias("t"))
-    rows = v.join(words, "node_id").orderBy("node_id").limit(n).collect()  # the query set: at most n rows
-    return [(r["node_id"], " ".join(batch_search.phrase_words(r["t"])[:2]), list(r["embedding"])) for r in rows]
+    rows = stage(v.join(words, "node_id", "left"), "queries")
+    for r in rows.toLocalIterator():
+        yield r["node_id"], " ".join(batch_search.phrase_words(r["t"])[:2]), list(r["embedding"])
 
 
 @query()
 def hybrid_search_batch(spark: SparkSession, d: str) -> DataFrame:
-    """A hundred hybrid queries in one plan."""
+    """The hybrid queries of a whole query set in one plan."""
     return batch_search.hybrid_search_batch(B.nodes(spark, d), B.edges(spark, d), B.vectors(spark, d), query_set(spark, d), B.now())
 
 
