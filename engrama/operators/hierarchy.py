@@ -17,6 +17,8 @@ Defined cases
 * on or below a loop: depth -1, root the smallest id of the loop (with several
   holders on loops: of the loop found by following the smallest holder), path
   null.  A self-reference is a loop of one.
+* descendants: on or below a loop, and under several holders, too; every id
+  above counts once, with its shortest distance; no id is its own descendant.
 * further columns of the input are ignored, whatever their names.
 """
 
@@ -147,9 +149,44 @@ def ancestor_pairs(tree: DataFrame) -> DataFrame:
     )
 
 
-def descendant_counts(tree: DataFrame) -> DataFrame:
-    """(node_id, n_descendants), zero for leaves; partial sums precede the shuffle."""
-    below = ancestor_pairs(tree).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+def descendant_pairs(links: DataFrame, tree: DataFrame) -> DataFrame:
+    """(ancestor_id, node_id, distance) for every node of ``tree`` and each other id above it.
+
+    ``tree`` is all or some rows of ``hierarchy(links)``.  A node whose path is the
+    only way up takes its pairs from the path.  For all others (on or below a
+    loop, with several holders, or below an id with several) frontier joins climb
+    ``links`` from holder to holder; a pair seen before is not followed again, so
+    loops end, every holder counts, and the distance is the shortest one.  No id
+    is its own ancestor.
+    """
+    several = links.groupBy(F.col("item").alias("ancestor_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ancestor_id")
+    on_path = tree.where("depth >= 0").select("node_id", F.explode("path").alias("ancestor_id"))
+    odd = tree.where("depth < 0").select("node_id").unionByName(on_path.join(several, "ancestor_id", "left_semi").select("node_id").distinct())
+    odd = stage(odd, "odd")
+    if odd.isEmpty():
+        return ancestor_pairs(tree)
+    direct = ancestor_pairs(tree.join(odd, "node_id", "left_anti"))
+    up = links.select(F.col("item").alias("at"), F.col("holder").alias("ancestor_id"))
+    level = stage(up.withColumnRenamed("at", "node_id").join(odd, "node_id", "left_semi").where("ancestor_id <> node_id").distinct().withColumn("distance", F.lit(1)), "pairs")
+    climbed, n_parts = level, 1
+    while not level.isEmpty():
+        further = level.select("node_id", F.col("ancestor_id").alias("at"), "distance").join(up, "at").where("ancestor_id <> node_id")
+        further = further.select("node_id", "ancestor_id", (F.col("distance") + 1).alias("distance")).distinct()
+        level = stage(further.join(climbed.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti").select("ancestor_id", "node_id", "distance"), "pairs")
+        climbed = climbed.unionByName(level)
+        n_parts += 1
+        if n_parts == 16:  # short plans, however long a loop is
+            climbed, n_parts = stage(climbed, "pairs"), 1
+    return direct.unionByName(climbed)
+
+
+def descendant_counts(tree: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(node_id, n_descendants), zero for leaves; partial sums precede the shuffle.
+
+    With ``links`` every way up counts (see ``descendant_pairs``), else the paths alone.
+    """
+    pairs = ancestor_pairs(tree) if links is None else descendant_pairs(links, tree)
+    below = pairs.groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
     return tree.select("node_id").join(below, "node_id", "left").select(
         "node_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_descendants")
     )

@@ -25,13 +25,33 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d).where("depth >= 0").select("node_id", H.path_text(F.col("path")).alias("path"))
 
 
+def _linked_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    links = stage(H.containment_links(table(spark, d, "edges")), "links")
+    return links, stage(H.hierarchy(links), "tree")
+
+
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of a node and one below it, with their distance."""
-    return H.ancestor_pairs(_tree(spark, d))
+    """Every pair of a node of a tree and one below it, with their distance: as its SQL twin, without loops."""
+    links, tree = _linked_tree(spark, d)
+    return H.descendant_pairs(links, tree.where("depth >= 0"))
 
 
 def p2_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
-    return H.descendant_counts(stage(_tree(spark, d).where("depth >= 0"), "tree"))
+    """Descendants of every id in a tree: as its SQL twin, without loops."""
+    links, tree = _linked_tree(spark, d)
+    return H.descendant_counts(tree.where("depth >= 0"), links)
+
+
+def p2_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of an id and another one below it, on and below loops too, with their shortest distance."""
+    links, tree = _linked_tree(spark, d)
+    return H.descendant_pairs(links, tree)
+
+
+def p2_all_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Descendants of every id of a containment edge, on and below loops too."""
+    links, tree = _linked_tree(spark, d)
+    return H.descendant_counts(tree, links)
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +68,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return O.orphan_report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_descendant_counts, p3_found, p3_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_descendant_counts, p2_all_descendants, p2_all_descendant_counts, p3_found, p3_report)}
 
 _LINKS = """
 links AS (

@@ -68,3 +68,41 @@ def test_random_forests_against_walking_up(spark):
     for i in range(2, 400):
         links.append((rng.randrange(1, i) if rng.random() < 0.9 else rng.randrange(1, 400), i))
     assert {(r.node_id, r.root_id, r.depth) for r in tree(spark, links).collect()} == brute(links)
+
+
+def closure(links):
+    """Shortest distance of every id above another one, by breadth-first search."""
+    up = {}
+    for h, i in links:
+        up.setdefault(i, set()).add(h)
+    out = set()
+    for x in up:
+        seen, level, k = {x}, {x}, 0
+        while level:
+            k += 1
+            level = {h for y in level for h in up.get(y, ())} - seen
+            seen |= level
+            out |= {(h, x, k) for h in level}
+    return out
+
+
+def whole(spark, links):
+    l = spark.createDataFrame(links, "holder long, item long").distinct()
+    t = H.hierarchy(l)
+    pairs = [tuple(r) for r in H.descendant_pairs(l, t).collect()]
+    return pairs, {r.node_id: r.n_descendants for r in H.descendant_counts(t, l).collect()}
+
+
+def test_descendants_below_loops_and_under_every_holder(spark):
+    links = [(5, 5), (5, 6), (8, 7), (7, 9), (9, 8), (9, 20), (20, 21), (20, 22), (1, 2), (2, 3), (1, 4), (30, 31), (1, 31), (31, 32), (2, 32), (40, 7)]
+    pairs, counts = whole(spark, links)
+    assert len(pairs) == len(set(pairs)) and set(pairs) == closure(links)
+    assert {(20, 21, 1), (20, 22, 1), (9, 21, 2), (5, 6, 1), (30, 32, 2), (1, 32, 2), (40, 21, 4)} <= set(pairs)
+    assert counts == {i: sum(a == i for a, _, _ in pairs) for i in {x for l in links for x in l}} and counts[20] == 2 and counts[9] == 5
+
+
+def test_random_graphs_against_breadth_first_search(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(1, 60), i) for i in range(2, 90) for _ in range(1 + (rng.random() < 0.1))] + [(100 + i, 100 + (i + 1) % 20) for i in range(20)]
+    pairs, _ = whole(spark, links)
+    assert len(pairs) == len(set(pairs)) and set(pairs) == closure(links)
