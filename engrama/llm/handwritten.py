@@ -78,6 +78,8 @@ STRING = re.compile(r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'""")
 #: Digits, and hex values that stand outside of strings.
 DIGITS = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|(?=[a-fA-F]*\d)[0-9a-fA-F]{6,})\b|\d+")
 DENIED = re.compile(r"\b(?:not|never|n[aã]o foi) (?:auto|machine|automatically|generated|gerado)|edit freely", re.I)
+#: What tells that a comment among code speaks of the file, not of the code next to it.
+WHOLE_FILE = re.compile(r"\bdo not (?:edit|modify)|n[aã]o (?:edite|editar)|@generated\b|<auto-generated>|\b(?:this|auto-?generated|machine-?generated) (?:source )?(?:file|module)\b|\beste arquivo\b|\boverwritten\b|\bnext build\b", re.I)
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
 COMMENT = re.compile(r'/\*.*?\*/|"""(?:.|\n)*?"""|\'\'\'(?:.|\n)*?\'\'\'|^[ \t]*(?://|#(?!include|define|if|endif|else|pragma)|--)[^\n]*$', re.S | re.M)
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]|[^\W\d_]+")
@@ -89,7 +91,13 @@ NAME = re.compile(r"[^\W\d]\w*")
 ENCODED = re.compile(r"[A-Za-z0-9+/=]{40,}")
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
-HEAD_CHARS = 1500
+#: Comments at the margin (group 1), and all that may look like one: strings, here-documents, comments of a block.
+MARGIN = re.compile(
+    r"""^((?:/\*.*?\*/|<!--.*?-->|[rRuU]?\"\"\".*?\"\"\"|[rRuU]?'{3}.*?'{3}|(?:(?://|\#(?!include|define|if|endif|else|pragma)|--|;|%)[^\n]*(?:\n|\Z))+))"""
+    r"""|\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"""
+    r"""|<<-?[ \t]*['\"]?([A-Za-z_]\w*)['\"]?[^\n]*\n.*?^[ \t]*\2[ \t]*$|/\*.*?\*/|^[ \t]+(?://|\#|--)[^\n]*|(?<=[\s;{}])(?://|\#\s)[^\n]*""",
+    re.S | re.M,
+)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -120,10 +128,25 @@ def fingerprints(code: str) -> np.ndarray:
     return np.unique(grams).view(np.int64)
 
 
+def marked(text: str, low: str, words: tuple[str, ...], mark: re.Pattern, whole_file: re.Pattern | None = None, denied: re.Pattern | None = None) -> bool:
+    """Whether a comment at the margin, anywhere in the text, holds the mark.
+
+    Below the first and above the last code, the comment must name the whole file, if there is a pattern for that.
+    """
+    if not any(w in low for w in words) or not mark.search(text):
+        return False
+    opening, at = True, 0
+    for m in MARGIN.finditer(text):
+        opening = opening and not text[at : m.start()].strip() and m[1] is not None
+        at = m.end()
+        if m[1] and mark.search(m[1]) and not (denied and denied.search(m[1])):
+            if whole_file is None or opening or whole_file.search(m[1]) or not text[at:].strip():
+                return True
+    return False
+
+
 def is_generated(text: str, lines: list[str]) -> bool:
-    head = text[:HEAD_CHARS]
-    low = head.lower()
-    if any(w in low for w in TOOL_WORDS) and TOOL.search(head) and not DENIED.search(head):
+    if marked(text, text.lower(), TOOL_WORDS, TOOL, WHOLE_FILE, DENIED):
         return True
     if len(lines) < REPEATED_LINES:
         return False
@@ -163,12 +186,11 @@ def traits(text: str) -> tuple[bool, bool, bool, bool, np.ndarray]:
     """(generated, minified, data, notice of a distribution, fingerprints)."""
     code = COMMENT.sub(" ", PEM.sub(" ", text) if "-----BEGIN" in text else text)
     lines = [x for x in (y.strip() for y in code.splitlines()) if x]
-    return is_generated(text, lines), is_minified(code, lines), is_data(code), is_notice(text[:HEAD_CHARS]), fingerprints(code)
+    return is_generated(text, lines), is_minified(code, lines), is_data(code), is_notice(text), fingerprints(code)
 
 
-def is_notice(head: str) -> bool:
-    low = head.lower()
-    return any(w in low for w in NOTICE_WORDS) and bool(NOTICE.search(head))
+def is_notice(text: str) -> bool:
+    return marked(text, text.lower(), NOTICE_WORDS, NOTICE)
 
 
 def _trait_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

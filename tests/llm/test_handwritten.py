@@ -78,3 +78,17 @@ def test_lines_that_repeat_with_other_strings_and_hex_are_generated():
     rng = random.Random(9)
     text = "\n".join(f"add_row('{rng.choice(['frame', 'edge'])}', '{rng.getrandbits(48):012x}', {i}, 0x{rng.getrandbits(32):08x});" for i in range(12))
     assert H.traits(text)[0]
+
+
+def test_marks_count_on_comments_anywhere_but_not_in_strings_or_prose():
+    rng = random.Random(10)
+    licence = "".join(f"# Permission is granted to use part {i} of this software for any purpose.\n" for i in range(60))
+    body = code(rng, 30)
+    generated = lambda t: H.traits(t)[0]
+    assert len(licence) > 3000 and generated(licence + "\n# Code generated by stubs 1.2. DO NOT EDIT.\n" + body) and generated(body + "\n# Code generated by stubs 1.2. DO NOT EDIT.\n")
+    assert generated("/*\n" + licence.replace("#", " *") + " * @generated\n */\n" + body) and generated("import os\n" + body + "\n# This file was automatically generated.\n" + body)
+    assert H.traits(body + "\n# copied from the zlib distribution; patches go upstream\n")[3]
+    mark = "# Code generated by stubs 1.2. DO NOT EDIT."
+    for text in (f'{body}\nHEAD = "{mark}"\n', f'{body}\nHEAD = """\n{mark}\n"""\n', f"const t = `\n// {mark[2:]}\n`;\nuse(t);\n", f"cat > out.py <<'EOF'\n{mark}\nEOF\necho done\n", f"{body}\n# The ids here are automatically generated.\ndef ids():\n    return 1\n", f"def f():\n    {mark[:24]} the compiler 1.2\n    return 1\n"):
+        assert not generated(text), text[-200:]
+    assert not H.traits(f'{body}\nNOTICE = "copied from the zlib distribution"\n')[3]
