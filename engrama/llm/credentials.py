@@ -75,11 +75,18 @@ HEX = re.compile(r"^[0-9a-f]+$", re.I)
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+?)-----(.*?)(-----END [A-Z0-9 ]+-----|\Z)", re.S)
 INERT = re.compile(r"data:[a-z]+/[\w.+-]+;base64,[A-Za-z0-9+/=]+|\bsha(?:1|256|384|512)[-:][A-Za-z0-9+/=]{20,}|sourceMapp?i?n?g?(?:URL)?[:=] ?\S+|\bssh-(?:rsa|ed25519|dss) [A-Za-z0-9+/=]+|ecdsa-sha2-\S+ [A-Za-z0-9+/=]+")
 
-# Parts of lines (in lower case) that are worth a closer look.
-HINTS = (
-    "pass", "rotation", "pwd", "_pw", "adminpw", "senha", "segredo", "secret", "token", "_key", "apikey", "api-key", "key=", "key:", 'key"',
-    "key'", "this key", "the key", "new key", "chave", "cred", "bearer", "basic ", "auth", "login", "sig=", "works", "run as", "://", '== "', "== '", "-u ", " -p", "identified by",
-)
+# Forms of logins, headers, commands, comparisons and prose that are worth a closer look, in lower case.
+FORMS = ("rotation", "basic ", "basic\t", "login", "works", "run as", "://", '== "', "== '", "-u ", "-u\t", " -p", "\t-p")
+
+
+def _stems(*words: str) -> tuple[str, ...]:
+    """The literal beginnings of key words, and ``key`` for all that end so, without those that hold another one."""
+    found = {"key" if w.endswith("key") else re.split(r"[(\[?]", w)[0] for x in words for w in re.sub(r"\(\?:[^)]*\)", "(", x).split("|")}
+    return tuple(sorted(w for w in found if not any(o != w and o in w for o in found)))
+
+
+#: Parts of lines that are worth a closer look: whatever the key words can match, and the forms.
+HINTS = (*_stems(PASSWORD_WORDS, TOKEN_WORDS), *FORMS)
 IDLE_TOKEN = re.compile(r"token(?:s\b|_?window|_?limit|_?count)", re.I)
 LONG_TOKEN = re.compile(r"[A-Za-z0-9_\-.]{18,}")
 QUOTED = re.compile(r"""(["'`])((?:(?!\1)[^\n\\]|\\.){4,600})\1""")
@@ -98,6 +105,7 @@ NAMED = re.compile(rf"""\b({PASSWORD_WORDS})[ \t]+["']?([^\s"'`;,()]{{4,200}})["
 PROSE = re.compile(rf"\b(?:({PASSWORD_WORDS}|token|secret|key|chave|credentials?|cred|login|still works|run as|bearer|until rotation use)\b)", re.I)
 WORD_AFTER = re.compile(r"""[^\s"'`]{6,400}""")
 NO_WORD = re.compile(r"[(){}\[\]<>;|]|://|=")
+STATEMENT = re.compile(r"\w\([^()]*\)|\)[{;,.]|\{\w+:|[;}]\w+[.=(]")
 JOIN = re.compile(r"""[ \t]*(?:\+|\\|\.|&)?[ \t]*\r?\n[ \t>]*(?:\+|\.|&)?[ \t]*[fbr]?(["'`])((?:(?!\1)[^\n\\]|\\.){1,400})\1""")
 SHELL_JOIN = r"""\r?\n[ \t>]*{0}\+?=["']?\$\{{?{0}\}}?([^\s"']+)["']?"""
 
@@ -171,10 +179,14 @@ def candidates(text: str, path: str = "") -> list[Candidate]:
     return _distinct(out)
 
 
-def _hinted_lines(text: str) -> list[tuple[int, int]]:
+def _lowered(text: str) -> str:
+    """In lower case, but for the few letters that change their length."""
     low = text.lower()
-    if len(low) != len(text):  # a few letters change their length
-        low = text
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in zip(text, map(str.lower, text)))
+
+
+def _hinted_lines(text: str) -> list[tuple[int, int]]:
+    low = _lowered(text)
     starts: dict[int, int] = {}
     for hint in HINTS:
         at = low.find(hint)
@@ -251,7 +263,7 @@ def _line_candidates(text: str, start: int, end: int, out: list[Candidate]) -> N
         for k, w in enumerate(WORD_AFTER.finditer(line, m.end(), m.end() + 460)):
             a, b = w.span()
             eq = line.find("=", a, b)
-            if 0 < eq < b - 6:
+            if 0 < eq < b - 6 and not STATEMENT.search(line, eq, b):
                 add((eq + 1, b), line[a:eq], "plain")
             while b > a and line[b - 1] in ".,;:)]}":
                 b -= 1

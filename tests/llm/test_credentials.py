@@ -72,3 +72,10 @@ def test_cases(spark):
     got = {(r.node_id, r.line_no) for r in C.find_credentials(odd).collect()}
     assert got == {(3, 1), (None, 1), (5, 20001)}
     assert C.find_credentials(odd.limit(0)).count() == 0 and C.redact(odd.limit(0), C.find_credentials(odd.limit(0))).count() == 0
+
+
+def test_every_key_word_lets_its_line_through():
+    for line in ('signingKey = "Ab9kQ2zLmN4pQ7rStUvWx1"', 'encryptionKey := "Ab9kQ2zLmN4pQ7rStUvWx1"', "privateKey = 'Ab9kQ2zLmN4pQ7rStUvWx1'", 'key = "Ab9kQ2zLmN4pQ7rStUvWx1"', 'pw = "Walnut-dorzan-77"', '  "pw": "Walnut-dorzan-77",', 'sig: "Ab9kQ2zLmN4pQ7rStUvWx1"', 'supplied = "Walnut-dorzan-77"'):
+        assert lines_of("x = 1\n" + line) == {2}, line
+    assert lines_of("# \u0130zmir\nDB_PASSWORD=Walnut-dorzan-77\nMY_KEY='Ab9kQ2zLmN4pQ7rStUvWx1'\n", "a.env") == {2, 3}
+    assert lines_of('count = "Ab9kQ2zLmN4pQ7rStUvWx1"') == set()
