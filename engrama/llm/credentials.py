@@ -89,29 +89,30 @@ def _stems(*words: str) -> tuple[str, ...]:
 HINTS = (*_stems(PASSWORD_WORDS, TOKEN_WORDS), *FORMS)
 IDLE_TOKEN = re.compile(r"token(?:s\b|_?window|_?limit|_?count)", re.I)
 LONG_TOKEN = re.compile(r"[A-Za-z0-9_\-.]{18,}")
-QUOTED = re.compile(r"""(["'`])((?:(?!\1)[^\n\\]|\\.){4,600})\1""")
+QUOTED = re.compile(r"""(["'`])((?:(?!\1)[^\n\\]|\\.){4,})\1""")
 KEY_BEFORE = re.compile(r"""([\w.$\-]+)["'\])]*\s*(=>|:=|={1,3}|!==?|:|,|\|\||\?\?|\()\s*[(\[]*\s*[fbr]?$""")
 DEFINED = re.compile(r"#define[ \t]+(\w+)[ \t]+$")
 NAMED_BEFORE = re.compile(rf"(?i)\b({PASSWORD_WORDS})[ \t]+$")
-DEFAULT = re.compile(r"\$\{(\w+):?-([^}\s\"']{4,200})\}")
-PLAIN = re.compile(r"""^[ \t>*\-]*(?:export[ \t]+|set[ \t]+|-[ \t]+|#define[ \t]+)?["']?([A-Za-z_/][\w.\-/:@]*?)["']?[ \t]*(?:=|:[ \t]+|:(?=[^\s/:]))[ \t]*([^\s"'`<>;,(){}]{4,400})[ \t]*;?\r?$""")
-REGISTRY = re.compile(r"""_(?:authToken|auth|password)=([^\s"'$]{6,400})""")
-XML = re.compile(r"""<([\w.\-]+)>([^<>\s]{4,400})</\1>|key="([^"]*)"\s+value="([^"]{4,400})\"""")
-LOGIN = re.compile(r"""\b[a-z][\w+.\-]*://([^\s/:@"'`]*):([^\s/"'`<>]{3,200}?)@(?=[\w\[{$])""", re.I)
-PARAM = re.compile(rf"""[?&]((?:[\w.\-]*(?:{TOKEN_WORDS}|{PASSWORD_WORDS})[\w.\-]*))=([^&\s"'`<>]{{6,400}})""", re.I)
-HEADER = re.compile(r"\b(Bearer|Basic|Token)[ \t]+([A-Za-z0-9+/=._~\-]{8,600})", re.I)
-COMMAND = re.compile(r"""(?:^|\s)(?:-u[ \t]+\S+[ \t]+-p ?|--?(?:password|passwd|token|secret|pass|api-key)[= ]|-u[ \t]+\w+:[ \t]?)([^\s"'`]{4,200})""")
-NAMED = re.compile(rf"""\b({PASSWORD_WORDS})[ \t]+["']?([^\s"'`;,()]{{4,200}})["']?""", re.I)
+DEFAULT = re.compile(r"\$\{(\w+):?-([^}\s\"']{4,})\}")
+PLAIN = re.compile(r"""^[ \t>*\-]*(?:export[ \t]+|set[ \t]+|-[ \t]+|#define[ \t]+)?["']?([A-Za-z_/][\w.\-/:@]*?)["']?[ \t]*(?:=|:[ \t]+|:(?=[^\s/:]))[ \t]*([^\s"'`<>;,(){}]{4,})[ \t]*;?\r?$""")
+REGISTRY = re.compile(r"""_(?:authToken|auth|password)=([^\s"'$]{6,})""")
+XML = re.compile(r"""<([\w.\-]+)>([^<>\s]{4,})</\1>|key="([^"]*)"\s+value="([^"]{4,})\"""")
+LOGIN = re.compile(r"""\b[a-z][\w+.\-]*://([^\s/:@"'`]*):([^\s/"'`<>]{3,}?)@(?=[\w\[{$])""", re.I)
+PARAM = re.compile(rf"""[?&]((?:[\w.\-]*(?:{TOKEN_WORDS}|{PASSWORD_WORDS})[\w.\-]*))=([^&\s"'`<>]{{6,}})""", re.I)
+HEADER = re.compile(r"\b(Bearer|Basic|Token)[ \t]+([A-Za-z0-9+/=._~\-]{8,})", re.I)
+COMMAND = re.compile(r"""(?:^|\s)(?:-u[ \t]+\S+[ \t]+-p ?|--?(?:password|passwd|token|secret|pass|api-key)[= ]|-u[ \t]+\w+:[ \t]?)([^\s"'`]{4,})""")
+NAMED = re.compile(rf"""\b({PASSWORD_WORDS})[ \t]+["']?([^\s"'`;,()]{{4,}})["']?""", re.I)
 PROSE = re.compile(rf"\b(?:({PASSWORD_WORDS}|token|secret|key|chave|credentials?|cred|login|still works|run as|bearer|until rotation use)\b)", re.I)
-WORD_AFTER = re.compile(r"""[^\s"'`]{6,400}""")
+WORD_AFTER = re.compile(r"""[^\s"'`]{6,}""")
 NO_WORD = re.compile(r"[(){}\[\]<>;|]|://|=")
 STATEMENT = re.compile(r"\w\([^()]*\)|\)[{;,.]|\{\w+:|[;}]\w+[.=(]")
-JOIN = re.compile(r"""[ \t]*(?:\+|\\|\.|&)?[ \t]*\r?\n[ \t>]*(?:\+|\.|&)?[ \t]*[fbr]?(["'`])((?:(?!\1)[^\n\\]|\\.){1,400})\1""")
+STOP = re.compile(r"""[\s"'`]""")
+JOIN = re.compile(r"""[ \t]*(?:\+|\\|\.|&)?[ \t]*\r?\n[ \t>]*(?:\+|\.|&)?[ \t]*[fbr]?(["'`])((?:(?!\1)[^\n\\]|\\.){1,})\1""")
 SHELL_JOIN = r"""\r?\n[ \t>]*{0}\+?=["']?\$\{{?{0}\}}?([^\s"']+)["']?"""
 
 #: Names of files that hold nothing but logins or one secret.
 SECRET_FILE = re.compile(r"(?i)(?:^|[._-])(?:htpasswd|pgpass|senha|chave|passwd|shadow|credentials?|secrets?|tokens?|passwords?|api[_-]?key)(?:[._-]|$)|\.key(?:\.|$)")
-RECORD = re.compile(r"^[ \t]*(?:[^\s:]+:)*([^\s:]{4,400})[ \t]*\r?$", re.M)
+RECORD = re.compile(r"^[ \t]*(?:[^\s:]+:)*([^\s:]{4,})[ \t]*\r?$", re.M)
 
 CONTEXTS = ("quoted", "plain", "xml", "login", "param", "header", "command", "named", "prose", "prefix", "pem", "compare", "call", "bare")
 CONFIG = {"env", "ini", "toml", "yaml", "yml", "json", "properties", "xml", "conf", "cfg", "npmrc", "netrc", "pypirc"}
@@ -173,9 +174,13 @@ def candidates(text: str, path: str = "") -> list[Candidate]:
     for start, end in _hinted_lines(text):
         if end - start <= 4000:
             _line_candidates(text, start, end, out)
-        else:  # a long line is read in overlapping pieces
+        else:  # a long line is read in overlapping pieces, each to the end of its last literal
+            done = start
             for a in range(start, end, 3000):
-                _line_candidates(text, a, min(end, a + 4000), out)
+                b = STOP.search(text, min(end, a + 4000), end)
+                if (b := b.end() if b else end) > done:
+                    _line_candidates(text, a, b, out)
+                    done = b
     return _distinct(out)
 
 
@@ -240,7 +245,7 @@ def _line_candidates(text: str, start: int, end: int, out: list[Candidate]) -> N
         add(m.span(2), m[1], "quoted")
     tail = re.search(r"([\w.$\-]+)\s*[:=]+\s*[\(\[]?\s*\\?\r?$", line)
     if tail:
-        n = re.compile(r"""\s*(["'`])((?:(?!\1)[^\n\\]|\\.){4,400})\1""").match(text, end)
+        n = re.compile(r"""\s*(["'`])((?:(?!\1)[^\n\\]|\\.){4,})\1""").match(text, end)
         if n:
             c = Candidate([n.span(2)], n[2], tail[1], line[-60:], "quoted")
             out.append(c)
@@ -260,8 +265,10 @@ def _line_candidates(text: str, start: int, end: int, out: list[Candidate]) -> N
     for m in NAMED.finditer(line):
         add(m.span(2), m[1], "named")
     for m in PROSE.finditer(line) if not line.lstrip().startswith("<") and (len(line) < 1500 or " " in line[:200]) else ():
-        for k, w in enumerate(WORD_AFTER.finditer(line, m.end(), m.end() + 460)):
+        for k, w in enumerate(WORD_AFTER.finditer(line, m.end())):
             a, b = w.span()
+            if a >= m.end() + 460:
+                break
             eq = line.find("=", a, b)
             if 0 < eq < b - 6 and not STATEMENT.search(line, eq, b):
                 add((eq + 1, b), line[a:eq], "plain")
@@ -533,11 +540,9 @@ def redact(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def redacted(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with each span replaced; a key block keeps its frame and its lines."""
+    """The text with each span replaced, overlapping ones as one; a key block keeps its frame and its lines."""
     out, at = [], 0
-    for a, b in sorted(spans):
-        if a < at:
-            continue
+    for a, b in _united(spans):
         part = text[a:b]
         out.append(text[at:a])
         m = PEM.fullmatch(part)
@@ -549,3 +554,14 @@ def redacted(text: str, spans: list[tuple[int, int]]) -> str:
         at = b
     out.append(text[at:])
     return "".join(out)
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap united."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out

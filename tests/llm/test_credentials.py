@@ -79,3 +79,20 @@ def test_every_key_word_lets_its_line_through():
         assert lines_of("x = 1\n" + line) == {2}, line
     assert lines_of("# \u0130zmir\nDB_PASSWORD=Walnut-dorzan-77\nMY_KEY='Ab9kQ2zLmN4pQ7rStUvWx1'\n", "a.env") == {2, 3}
     assert lines_of('count = "Ab9kQ2zLmN4pQ7rStUvWx1"') == set()
+
+
+def test_long_values_are_whole():
+    rng = random.Random(4)
+    long = made(rng, 5000)
+    values = lambda line: {c.value for c in C.candidates(line, "a.py")}
+    for n in (300, 684, 1600, 5000):
+        v = long[:n]
+        for line in (f"ENCRYPTION_KEY={v}", f'"privateKey": "{v}",', f"<secret>{v}</secret>", f"GET /x?token={v}&b=1", f"postgresql://svc:{v}@db.example.org/x", f"Authorization: Bearer {v}", f"the password is {v}", f"run --token={v}", f"_authToken={v}", 'x = "a"; ' * 900 + f'token = "{v}";'):
+            assert v in values(line), (n, line[:60])
+    assert long[:2000] in values(f'token = "{long[:900]}" +\n  "{long[900:2000]}"')
+
+
+def test_overlapping_spans_are_redacted_to_their_union():
+    text = "Bearer " + "abcdefghij" * 90 + " end"
+    assert C.redacted(text, [(7, 607), (7, 907)]) == "Bearer REDACTED end" == C.redacted(text, [(7, 607), (600, 907)])
+    assert C.redacted("abcdef", [(0, 2), (2, 4)]) == "REDACTEDREDACTEDef"
