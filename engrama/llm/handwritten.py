@@ -4,8 +4,9 @@ Vendored copies: every file's code (comments aside) becomes a stream of tokens;
 hashes of ``GRAM`` consecutive tokens are thinned by winnowing (the smallest
 hash of each ``WINDOW`` neighbours).  A fingerprint recurs if it occurs in at
 least ``MIN_REPOS`` repositories, and a file is a copy if at least
-``COPY_SHARE`` of its fingerprints, and ``MIN_SHARED`` of them, recur; so a lightly
-patched copy is still found, and boilerplate, much shorter than a gram, is not.  A place reserved for
+``COPY_SHARE`` of its fingerprints, and ``MIN_SHARED`` of them, or all of them
+recur; code shorter than a gram, but of ``SHORT`` tokens, is one fingerprint.  So a lightly
+patched copy is still found, and boilerplate inside other code, much shorter than a gram, is not.  A place reserved for
 third parties (``THIRD_PARTY``) or a distribution's notice also tells a copy.
 
 Generated files, minified files and data are told by the file itself: a header
@@ -22,7 +23,7 @@ Defined cases
 * files crawled again: the latest ``crawled_at`` of a ``file_id`` counts (ties:
   the greatest path); a node loaded again: its greatest (loaded_at, content).
 * a file without text is judged by its path alone; an empty text is
-  hand-written, and so is one with fewer tokens than a gram, unless its path
+  hand-written, and so is one with fewer than ``SHORT`` tokens, unless its path
   or header says otherwise.
 * a repository is a ``project_uuid`` without case and outer blanks; a blank or
   null one counts as one repository of its own.
@@ -49,6 +50,8 @@ WINDOW = 8
 MIN_REPOS = 3
 COPY_SHARE = 0.4
 MIN_SHARED = 4
+#: Tokens below which equal code is boilerplate rather than a copy.
+SHORT = 15
 REPEATED_SHARE = 0.5
 REPEATED_LINES = 8
 LITERAL_SHARE = 0.8
@@ -107,13 +110,15 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def fingerprints(code: str) -> np.ndarray:
-    """Winnowed hashes of all grams of the code; none if it is shorter than a gram."""
+    """Winnowed hashes of all grams of the code; one of the whole if it is shorter than a gram, none if it is trivial."""
     import xxhash
 
     words = TOKEN.findall(code)
     n = len(words)
-    if n < GRAM:
+    if n < SHORT:
         return np.zeros(0, np.int64)
+    if n < GRAM:
+        return np.array([xxhash.xxh3_64_intdigest("\0".join(words))], np.uint64).view(np.int64)
     number = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
     t = np.fromiter(map(number.__getitem__, words), np.uint64, n)
     sums = np.zeros(n + 1, np.uint64)
@@ -255,6 +260,6 @@ def not_handwritten(crawl: DataFrame, nodes: DataFrame) -> DataFrame:
         (yes("is_generated") | (no_text & path.rlike(TOOL_PATH))).alias("generated"),
         yes("is_minified").alias("minified"),
         yes("is_data").alias("data"),
-        (yes("is_notice") | path.rlike(THIRD_PARTY) | ((share >= COPY_SHARE) & (F.coalesce("n_shared", F.lit(0)) >= MIN_SHARED))).alias("vendored"),
+        (yes("is_notice") | path.rlike(THIRD_PARTY) | ((share >= COPY_SHARE) & (F.coalesce("n_shared", F.lit(0)) >= MIN_SHARED)) | (share >= 1.0)).alias("vendored"),
         F.round(share, 4).alias("copied_share"),
     )

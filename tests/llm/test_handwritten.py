@@ -92,3 +92,12 @@ def test_marks_count_on_comments_anywhere_but_not_in_strings_or_prose():
     for text in (f'{body}\nHEAD = "{mark}"\n', f'{body}\nHEAD = """\n{mark}\n"""\n', f"const t = `\n// {mark[2:]}\n`;\nuse(t);\n", f"cat > out.py <<'EOF'\n{mark}\nEOF\necho done\n", f"{body}\n# The ids here are automatically generated.\ndef ids():\n    return 1\n", f"def f():\n    {mark[:24]} the compiler 1.2\n    return 1\n"):
         assert not generated(text), text[-200:]
     assert not H.traits(f'{body}\nNOTICE = "copied from the zlib distribution"\n')[3]
+
+
+def test_short_copies_count_when_all_of_them_recurs(spark):
+    rng = random.Random(11)
+    tiny, short, own = code(rng, 2), code(rng, 4), code(rng, 2)
+    assert 15 <= len(H.TOKEN.findall(tiny)) < 60 < len(H.TOKEN.findall(short)) < 100 and 0 < len(H.fingerprints(short)) and len(H.fingerprints("x = 1")) == 0
+    files = [(3 * k + i, "abc"[i], f"f{k}.py", t) for k, t in enumerate((tiny, short, "import os\n")) for i in range(3)] + [(20, "a", "own.py", own), (21, "a", "g.py", tiny), (22, "d", "two.py", own)]
+    got = {i for i, r in run(spark, files).items() if r.vendored}
+    assert got == {0, 1, 2, 3, 4, 5, 21}
