@@ -1,18 +1,29 @@
 """Reading level of each document, by a Rasch-style latent difficulty model.
 
-Rasch's multiplicative model of reading tests: how often document ``d`` shows
-word ``w`` is a product of the document's weight at a level and the word's ease
-at that level, so that ``log P(w, level | d) = theta[d, level] - delta[w, level]``.
-``theta`` is the document's latent level, ``delta`` the word's occurrence
-difficulty (words are single words and pairs of neighbours of the prose).  The
-two are estimated in turn: with ``delta`` fixed every document's ``theta``
-follows from its own words, and with all ``theta`` fixed ``delta`` follows from
-sums over documents, formed per task before they are shuffled.  Raters' votes
-anchor ``theta`` of the documents they rated.
+Rasch's rating-scale model, with occurrences of words as responses: the log-odds
+that an occurrence of word ``w`` stands in prose written for level ``k`` rather
+than ``k - 1`` are ``delta[w] - tau[k]``, so
+
+    P(k | w)  ~  exp(k * delta[w] - T[k]),   T[k] = tau[1] + ... + tau[k].
+
+Every word (single words, and pairs of neighbours, of the prose) has one
+occurrence difficulty ``delta``; the thresholds ``tau`` are common to all words.
+How frequent a word is cancels out.  A document has one latent level ``theta``:
+the most probable of the levels its occurrences are spread over, given the
+difficulties of its words.
+
+The three are estimated in turn: with ``delta`` and ``tau`` fixed, each rated
+document's spread over the levels follows from its own words and its raters'
+votes; with the spreads fixed, ``delta`` and ``tau`` follow by Newton's method
+from sums per word and level, formed per batch before they are shuffled.  As a
+word has a single number, a document is scored from the histogram of its words'
+difficulties alone, for all documents of a batch at once.
 
 The model is fitted on at most ``MAX_LABELLED`` rated documents (those with the
-smallest hash of the id) and ``MAX_WORDS`` words (those in most of them), which
-bounds what is broadcast; every document is scored over its whole text.
+smallest hash of the id).  No word of them is left out: words are hashed to
+``BUCKETS`` numbers, which bounds what is broadcast, and words that meet in a
+bucket share its difficulty; ``MIN_DOCS`` documents must hold it.  Every
+document is scored over its whole text.
 
 Defined cases
 -------------
@@ -20,9 +31,8 @@ Defined cases
   the most frequent level of the ratings, and 3 where nothing is rated.
 * votes that are null or outside 1..5 don't count; repeated rows of a document
   and rater count as they come; a document's votes weigh by their share.
-* a text of several levels has the one of most of its sentences: weights of
-  words are divided by the level's usual words per sentence, which does not
-  depend on where this text's own marks stand.  Equal weights: the lower level.  Copies of a text get the same level.
+* a text of several levels has the one that most of its words speak for.  Equal
+  shares: the lower level.  Copies of a text get the same level.
 * code, tables, headings, list marks, speakers and addresses are no prose.
 * further columns are ignored.
 """
@@ -30,9 +40,9 @@ Defined cases
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,29 +54,37 @@ from engrama.staging import stage
 
 LEVELS = 5
 MAX_LABELLED = 50_000
-MAX_WORDS = 100_000
+BUCKETS = 1 << 21
 MIN_DOCS = 2
-ROUNDS = 6
+ROUNDS = 8
 SMOOTH = 0.02
 ANCHOR = 20.0
+PRIOR = 0.05
+#: Scoring reads difficulties to the nearest of these steps.
+GRID = np.linspace(-16, 16, 257)
+STEPS = np.arange(LEVELS) - 2.0
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 #: Headings and table rows as a whole; speakers and list marks at the beginning of a line.
 LINE_MARK = re.compile(r"^(?:#{1,6} [^\n]*|\|[^\n]*|[ \t]*(?:Q|A|user|agent|reviewer|assistant|system):|[ \t]*(?:[-*>+]|\d+[.)])[ \t]+)", re.M)
 SYMBOL = re.compile(r"[_/\\{}<>=|]")
-SENTENCE_END = re.compile(r"[.!?:;]+(?=\s|$)")
-VOTES = ", ".join(f"v{k} double" for k in range(1, LEVELS + 1))
-SUMS = ", ".join(f"n{k} double" for k in range(1, LEVELS + 1))
+VOTES = [f"v{k}" for k in range(1, LEVELS + 1)]
+SUMS = [f"n{k}" for k in range(1, LEVELS + 1)]
 LEVEL_SCHEMA = "doc_id long, reading_level int, mean_level double, n_words int"
 
 
 @dataclass(frozen=True)
 class Model:
-    words: dict[str, int]
-    ease: np.ndarray  # exp(-delta), one row per word, one column per level
-    pace: np.ndarray  # usual words per sentence of each level
+    delta: np.ndarray  # difficulty of each bucket, NaN where it is not known
+    sums: np.ndarray  # T, the summed thresholds
     usual: int
 
+    def level_odds(self, delta: np.ndarray) -> np.ndarray:
+        """P(level | word), one row per difficulty."""
+        z = delta[:, None] * STEPS - self.sums
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
 
 def prose(text: str) -> str:
     """The text without code, headings, tables, marks of lists and speakers, paths and addresses."""
@@ -78,33 +96,56 @@ def prose(text: str) -> str:
     return text
 
 
-def words_per_sentence(text: str) -> float:
-    """Words of the prose by the marks that end its sentences."""
-    text = prose(text)
-    return len(WORD.findall(text)) / max(1, len(SENTENCE_END.findall(text)))
+def prose_words(text: str) -> list[str]:
+    return WORD.findall(prose(text).lower())
+
+
+class _Hashes(dict):
+    """64-bit hash of each word, kept while a task meets it again."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
 
+_hashes = _Hashes()
 
-def prose_units(text: str) -> Counter:
-    """Words and pairs of neighbouring words of the prose, with their counts."""
-    text = prose(text)
-    w = WORD.findall(text.lower())
-    found = Counter(w)
-    found.update(map(" ".join, zip(w, w[1:])))
-    return found
 
+def prose_units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, bucket) of every word and every pair of neighbouring words."""
+    if len(_hashes) > 1_000_000:
+        _hashes.clear()
+    words = [prose_words(t) for t in texts]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(size.sum()))
+    at = np.repeat(np.arange(len(words)), size)
+    pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    same = at[1:] == at[:-1]
+    bucket = np.concatenate([h & np.uint64(BUCKETS - 1), (pairs[same] >> np.uint64(40)) & np.uint64(BUCKETS - 1)])
+    return np.concatenate([at, at[1:][same]]), bucket.astype(np.int64)
 
-def latent_level(ease: np.ndarray, n: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Weights exp(theta) of the levels, summing to one, for words with counts ``n``."""
-    q = np.full(LEVELS, 1.0 / LEVELS)
+
+def spread(n: np.ndarray, p: np.ndarray, weight: np.ndarray | float = SMOOTH, start: np.ndarray | None = None, rounds: int = 40) -> np.ndarray:
+    """Shares of the levels in each text, by EM; ``n`` counts its words per difficulty, ``p`` has P(level | word) per difficulty."""
+    q = np.full((len(n), LEVELS), 1.0 / LEVELS) if start is None else start
     for _ in range(rounds):
-        new = q * ((n / (ease @ q)) @ ease) + SMOOTH
-        new /= new.sum()
-        if np.abs(new - q).max() < 1e-4:
-            return new
+        new = q * ((n / (q @ p.T)) @ p) + weight
+        new /= new.sum(axis=1, keepdims=True)
+        done = np.abs(new - q).max(initial=0.0) < 1e-4
         q = new
+        if done:
+            break
     return q
 
 
+def histogram(at: np.ndarray, delta: np.ndarray, n: int) -> np.ndarray:
+    """How many words of each of ``n`` texts have each difficulty of ``GRID``."""
+    step = np.rint((np.clip(delta, GRID[0], GRID[-1]) - GRID[0]) / (GRID[1] - GRID[0])).astype(np.int64)
+    return np.bincount(at * len(GRID) + step, minlength=n * len(GRID)).reshape(n, len(GRID)).astype(float)
+
+
 def rated_sample(labels: DataFrame) -> DataFrame:
     """(doc_id, v1..v5): shares of the votes of at most ``MAX_LABELLED`` documents."""
     level = F.col("reading_level")
@@ -115,77 +156,82 @@ def rated_sample(labels: DataFrame) -> DataFrame:
 
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = [prose_units(t) for t in pdf["text"]]
-        paces = [words_per_sentence(t) for t in pdf["text"]]
-        yield pdf.drop(columns="text").assign(pace=paces, words=[list(c) for c in found], counts=[list(c.values()) for c in found])
+        at, bucket = prose_units(list(pdf["text"]))
+        order = np.argsort(at, kind="stable")
+        cut = np.searchsorted(at[order], np.arange(1, len(pdf)))
+        yield pdf[VOTES].assign(buckets=np.split(bucket[order].astype(np.int32), cut) if len(pdf) else [])
+
+
+def _responses(pdf: pd.DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, expected occurrences per level) of the known words of rated texts."""
+    size = np.fromiter(map(len, pdf["buckets"]), np.int64, len(pdf))
+    bucket = np.concatenate([*pdf["buckets"], np.zeros(0, np.int32)]).astype(np.int64)
+    at = np.repeat(np.arange(len(pdf)), size)
+    known = ~np.isnan(model.delta[bucket])
+    at, bucket = at[known], bucket[known]
+    delta = model.delta[bucket].astype(float)
+    anchor = pdf[VOTES].to_numpy(float) + SMOOTH
+    anchor /= anchor.sum(axis=1, keepdims=True)
+    n = histogram(at, delta, len(pdf))
+    q = spread(n, model.level_odds(GRID), anchor * np.maximum(ANCHOR, 0.5 * n.sum(axis=1, keepdims=True)), anchor, 3)
+    r = model.level_odds(delta) * q[at]
+    r /= r.sum(axis=1, keepdims=True)
+    seen, place = np.unique(bucket, return_inverse=True)
+    return seen, np.stack([np.bincount(place, r[:, k], len(seen)) for k in range(LEVELS)], axis=1)
+
+
+def _newton(model: Model, counts: pd.DataFrame) -> Model:
+    """Difficulties and thresholds that the expected occurrences make most likely; all levels weigh alike."""
+    at, c = counts["bucket"].to_numpy(), counts[SUMS].to_numpy(float)
+    per_level = c.sum(axis=0)
+    c *= np.where(per_level > 0, c.sum() / LEVELS / np.maximum(per_level, 1e-9), 0.0)
+    total, score = c.sum(axis=1), c @ STEPS
+    delta, sums = model.delta[at].astype(float), model.sums
+    seen = per_level > 0
+    for _ in range(6):
+        for _ in range(3):
+            p = Model(delta, sums, 0).level_odds(delta)
+            mean = p @ STEPS
+            slope = total * (p @ STEPS**2 - mean**2) + PRIOR
+            delta = delta + np.clip((score - total * mean - PRIOR * delta) / slope, -2, 2)
+        expected = total @ Model(delta, sums, 0).level_odds(delta)
+        sums = np.where(seen, sums - np.log(np.maximum(c.sum(axis=0), 1e-9) / np.maximum(expected, 1e-9)), 30.0)
+        sums = np.where(seen, sums - sums[seen].mean(), 30.0)  # a level without votes is never given
+    out = model.delta.copy()
+    out[at] = delta
+    return Model(out, sums, model.usual)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Estimate the words' difficulties from the rated documents."""
+    """Estimate difficulties and thresholds from the rated documents."""
     spark = docs.sparkSession
     bound_batches(spark)
-    votes = [f"v{k}" for k in range(1, LEVELS + 1)]
     rated = stage(rated_sample(labels), "rated")
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id")
-    sample = stage(texts.select("text", *votes).mapInPandas(_units, f"{VOTES}, pace double, words array<string>, counts array<int>"), "units")
-    paces = usual_paces(sample)
-    known = stage(
-        sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(MAX_WORDS),
-        "words",
-    )
-    words = {r["word"]: i for i, r in enumerate(known.orderBy(F.desc("n"), "word").collect())}
-    shares = rated.agg(*(F.sum(v) for v in votes)).first()
+    shares = rated.agg(*(F.sum(v) for v in VOTES)).first()
     usual = 3 if shares[0] is None else 1 + int(np.argmax(np.array(shares, float)))
-    ease = np.full((len(words), LEVELS), 1.0)
-    if not words:
-        return Model(words, ease, paces, usual)
-    numbers = spark.sparkContext.broadcast(words)
-
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = numbers.value
-        for pdf in batches:
-            kept = [[(number[w], n) for w, n in zip(ws, ns) if w in number] for ws, ns in zip(pdf["words"], pdf["counts"])]
-            yield pdf[votes].assign(words=[[w for w, _ in k] for k in kept], counts=[[n for _, n in k] for k in kept])
-
-    sample = stage(sample.select(*votes, "words", "counts").mapInPandas(numbered, f"{VOTES}, words array<int>, counts array<int>"), "numbered")
+    votes = ", ".join(f"{v} double" for v in VOTES)
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id")
+    sample = stage(texts.select("text", *VOTES).mapInPandas(_units, f"{votes}, buckets array<int>"), "units")
+    held = sample.select(F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    known = held.where(F.col("n") >= MIN_DOCS).select("bucket").toPandas()["bucket"].to_numpy()  # at most BUCKETS numbers
+    delta = np.full(BUCKETS, np.nan, np.float32)
+    delta[known] = 0.0
+    model = Model(delta, np.zeros(LEVELS), usual)
+    if not len(known):
+        return model
     for _ in range(ROUNDS):
-        now = spark.sparkContext.broadcast(ease)
+        now = spark.sparkContext.broadcast(model)
 
         def expected(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            ease = now.value
-            total = np.zeros_like(ease)
             for pdf in batches:
-                for v, j, n in zip(pdf[votes].to_numpy(), pdf["words"], pdf["counts"]):
-                    if not len(j):
-                        continue
-                    e, n = ease[j], n.astype(float)
-                    anchor = (v + SMOOTH) / (v + SMOOTH).sum()
-                    q = anchor
-                    weight = anchor * max(ANCHOR, 0.5 * n.sum())
-                    for _ in range(3):
-                        q = q * ((n / (e @ q)) @ e) + weight
-                        q /= q.sum()
-                    total[j] += e * q * (n / (e @ q))[:, None]
-            at = np.flatnonzero(total.any(axis=1))
-            yield pd.DataFrame(total[at], columns=[f"n{k}" for k in range(1, LEVELS + 1)]).assign(word=at)
-
-        sums = sample.mapInPandas(expected, f"{SUMS}, word long").groupBy("word").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(1, LEVELS + 1)))
-        counts = np.full_like(ease, SMOOTH)
-        for r in sums.collect():  # at most MAX_WORDS rows
-            counts[r["word"]] += r[1:]
-        ease = counts / counts.sum(axis=0)
-    return Model(words, ease, paces, usual)
-
-
-def usual_paces(sample: DataFrame) -> np.ndarray:
-    """Median words per sentence of the texts rated with each level; levels without any lie in between."""
-    votes = [f"v{k}" for k in range(1, LEVELS + 1)]
-    top = F.array_position(F.array(*votes), F.greatest(*votes)).cast("int")
-    rows = sample.where("pace > 0").groupBy(top.alias("level")).agg(F.percentile_approx("pace", 0.5).alias("pace")).collect()  # a row per level
-    known = {r["level"]: r["pace"] for r in rows}
-    at = sorted(known)
-    return np.interp(np.arange(1, LEVELS + 1), at, [known[k] for k in at]) if at else np.ones(LEVELS)
+                bucket, counts = _responses(pdf, now.value)
+                yield pd.DataFrame(counts, columns=SUMS).assign(bucket=bucket)
+
+        parts = sample.mapInPandas(expected, ", ".join(f"{s} double" for s in SUMS) + ", bucket int")
+        sums = parts.groupBy("bucket").agg(*(F.sum(s).alias(s) for s in SUMS)).toPandas()  # at most BUCKETS rows
+        model = _newton(model, sums.sort_values("bucket"))
+        now.unpersist()
+    return model
 
 
 def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,23 +241,17 @@ def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
-        steps = np.arange(1, LEVELS + 1)
+        odds = m.level_odds(GRID)
         for pdf in batches:
-            level, mean, size = [], [], []
-            for text in pdf["text"]:
-                units = prose_units(text)
-                known = [w for w in units if w in m.words]
-                if known:
-                    j = np.fromiter(map(m.words.__getitem__, known), np.int64, len(known))
-                    n = np.fromiter(map(units.__getitem__, known), np.float64, len(known))
-                    q = latent_level(m.ease[j], n) / m.pace
-                    q /= q.sum()
-                    level.append(1 + int(q.argmax()))
-                    mean.append(round(float(q @ steps), 3))
-                else:
-                    level.append(m.usual)
-                    mean.append(float(m.usual))
-                size.append(len(text.split()))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "reading_level": level, "mean_level": mean, "n_words": size})
+            texts = list(pdf["text"])
+            at, bucket = prose_units(texts)
+            delta = m.delta[bucket]
+            known = ~np.isnan(delta)
+            n = histogram(at[known], delta[known], len(texts))
+            q = spread(n, odds)
+            some = n.any(axis=1)
+            level = np.where(some, 1 + q.argmax(axis=1), m.usual)
+            mean = np.where(some, np.round(q @ np.arange(1, LEVELS + 1), 3), m.usual)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "reading_level": level, "mean_level": mean, "n_words": [len(t.split()) for t in texts]})
 
     return docs.where("text is not null").select("doc_id", "text").mapInPandas(score, LEVEL_SCHEMA)

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pandas as pd
+
 from engrama.llm import reading as R
 
 DOCS = "doc_id long, text string, reading_level string"
@@ -26,9 +29,53 @@ def test_held_out_levels_are_found(spark):
 
 
 def test_layout_is_no_prose():
-    plain = R.prose_units("The cat sat. It slept.")
-    laid_out = R.prose_units("# Head line\n\n- The cat\nsat.\n\n```\nx = code\n```\n| a | b |\nagent: It slept. https://x.org/y some_ident")
-    assert plain["cat"] == laid_out["cat"] == 1 and "code" not in laid_out and "head" not in laid_out and "some_ident" not in laid_out
+    plain = R.prose_words("The cat sat. It slept.")
+    laid_out = R.prose_words("# Head line\n\n- The cat\nsat.\n\n```\nx = code\n```\n| a | b |\nagent: It slept. https://x.org/y some_ident")
+    assert plain == ["the", "cat", "sat", "it", "slept"] and laid_out.count("cat") == 1 and not {"code", "head", "some_ident"} & set(laid_out)
+
+
+def test_units_are_words_and_pairs_within_a_text():
+    at, bucket = R.prose_units(["one two one two", "", "one", "two one"])
+    assert np.bincount(at, minlength=4).tolist() == [7, 0, 1, 3] and len(set(bucket[at == 0])) == 4
+    assert set(bucket[at == 2]) < set(bucket[at == 0]) and len(set(bucket[at == 3]) - set(bucket[at == 0])) == 0
+
+
+def test_spread_is_that_of_the_words_one_by_one():
+    rng = np.random.default_rng(3)
+    m = R.Model(np.zeros(0), np.array([2.0, -1.0, -2.0, -1.0, 2.0]), 3)
+    delta = rng.choice(R.GRID[60:200], 80)
+    q = np.full(5, 0.2)
+    for _ in range(40):
+        r = m.level_odds(delta) * q
+        new = (r / r.sum(axis=1, keepdims=True)).sum(axis=0) + R.SMOOTH
+        new /= new.sum()
+        done = np.abs(new - q).max() < 1e-4
+        q = new
+        if done:
+            break
+    got = R.spread(R.histogram(np.zeros(80, np.int64), delta, 1), m.level_odds(R.GRID))
+    assert np.allclose(got[0], q, atol=1e-9)
+
+
+def test_difficulties_and_thresholds_satisfy_their_equations():
+    rng = np.random.default_rng(5)
+    counts = pd.DataFrame(rng.gamma(0.5, 20, (300, 5)), columns=R.SUMS).assign(bucket=range(300))
+    m = R.Model(np.zeros(300, np.float32), np.zeros(5), 3)
+    for _ in range(6):
+        m = R._newton(m, counts)
+    c = counts[R.SUMS].to_numpy()
+    c = c * (c.sum() / 5 / c.sum(axis=0))
+    p = m.level_odds(m.delta.astype(float))
+    n = c.sum(axis=1)
+    assert np.abs(c @ R.STEPS - n * (p @ R.STEPS) - R.PRIOR * m.delta).max() < 0.05 and np.allclose(n @ p, c.sum(axis=0), rtol=1e-2)
+
+
+def test_no_word_is_left_out(spark):
+    words = [f"{a}{b}{c}q" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"]
+    docs = [(i, " ".join(words), None) for i in range(3)]
+    m = R.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, "a", 2) for i in range(3)], LABELS))
+    _, bucket = R.prose_units([" ".join(words)])
+    assert len(set(bucket)) > 1990 and not np.isnan(m.delta[bucket]).any()
 
 
 def test_operator_cases(spark):
