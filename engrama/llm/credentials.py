@@ -22,7 +22,8 @@ Defined cases
   one is no part of a value.
 * a secret over several lines counts by its first line; several on a line give
   one row.
-* with too few labelled candidates to fit, the weak labels decide alone.
+* with too few labelled candidates to fit, or to learn about a kind of place, the
+  weak labels decide there alone.
 * empty tables give an empty result; further columns are ignored.
 """
 
@@ -34,7 +35,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +48,7 @@ from engrama.staging import stage
 
 MAX_TRAIN = 40_000
 MIN_TRAIN = 40
+MIN_PLACE = 5
 THRESHOLD = 0.5
 MARK = "REDACTED"
 ALPHABET = 97
@@ -97,16 +99,19 @@ DEFAULT = re.compile(r"\$\{(\w+):?-([^}\s\"']{4,})\}")
 PLAIN = re.compile(r"""^[ \t>*\-]*(?:export[ \t]+|set[ \t]+|-[ \t]+|#define[ \t]+)?["']?([A-Za-z_/][\w.\-/:@]*?)["']?[ \t]*(?:=|:[ \t]+|:(?=[^\s/:]))[ \t]*([^\s"'`<>;,(){}]{4,})[ \t]*;?\r?$""")
 REGISTRY = re.compile(r"""_(?:authToken|auth|password)=([^\s"'$]{6,})""")
 XML = re.compile(r"""<([\w.\-]+)>([^<>\s]{4,})</\1>|key="([^"]*)"\s+value="([^"]{4,})\"""")
-LOGIN = re.compile(r"""\b[a-z][\w+.\-]*://([^\s/:@"'`]*):([^\s/"'`<>]{3,}?)@(?=[\w\[{$])""", re.I)
-PARAM = re.compile(rf"""[?&]((?:[\w.\-]*(?:{TOKEN_WORDS}|{PASSWORD_WORDS})[\w.\-]*))=([^&\s"'`<>]{{6,}})""", re.I)
+#: What follows the ``://`` of an address with a login.
+LOGIN = re.compile(r"""([^\s/:@"'`]*):([^\s/"'`<>]{3,}?)@(?=[\w\[{$])""")
+PARAM = re.compile(r"""[?&]([\w.\-]+)=([^&\s"'`<>]{6,})""")
 HEADER = re.compile(r"\b(Bearer|Basic|Token)[ \t]+([A-Za-z0-9+/=._~\-]{8,})", re.I)
 COMMAND = re.compile(r"""(?:^|\s)(?:-u[ \t]+\S+[ \t]+-p ?|--?(?:password|passwd|token|secret|pass|api-key)[= ]|-u[ \t]+\w+:[ \t]?)([^\s"'`]{4,})""")
 NAMED = re.compile(rf"""\b({PASSWORD_WORDS})[ \t]+["']?([^\s"'`;,()]{{4,}})["']?""", re.I)
 PROSE = re.compile(rf"\b(?:({PASSWORD_WORDS}|token|secret|key|chave|credentials?|cred|login|still works|run as|bearer|until rotation use)\b)", re.I)
 WORD_AFTER = re.compile(r"""[^\s"'`]{6,}""")
+LAST_KEY = re.compile(r"([\w.$\-]+)\s*[:=]+\s*[\(\[]?\s*\\?\r?$")
+#: Characters between a key and its value, so that a look back for the key goes on.
+BETWEEN = re.compile(r"""[\s()\[\]"'=:>!|?,\\fbr]*""")
 NO_WORD = re.compile(r"[(){}\[\]<>;|]|://|=")
 STATEMENT = re.compile(r"\w\([^()]*\)|\)[{;,.]|\{\w+:|[;}]\w+[.=(]")
-STOP = re.compile(r"""[\s"'`]""")
 JOIN = re.compile(r"""[ \t]*(?:\+|\\|\.|&)?[ \t]*\r?\n[ \t>]*(?:\+|\.|&)?[ \t]*[fbr]?(["'`])((?:(?!\1)[^\n\\]|\\.){1,})\1""")
 SHELL_JOIN = r"""\r?\n[ \t>]*{0}\+?=["']?\$\{{?{0}\}}?([^\s"']+)["']?"""
 
@@ -163,7 +168,7 @@ def candidates(text: str, path: str = "") -> list[Candidate]:
     blank = lambda m: re.sub(r"[^\n]", " ", m[0])
     for m in PEM.finditer(text):
         if "PRIVATE" in m[1]:
-            out.append(Candidate([(m.start(), m.end())], m[0][:80], "", _line_before(text, m.start()), "pem"))
+            out.append(Candidate([(m.start(), m.end())], next(iter(m[2].split()), m[0]), "", _line_before(text, m.start()), "pem"))
     if "-----BEGIN" in text:
         text = PEM.sub(blank, text)
     text = INERT.sub(blank, text)
@@ -172,18 +177,21 @@ def candidates(text: str, path: str = "") -> list[Candidate]:
             for p in PREFIXED.finditer(text, m.start(), m.end()):
                 out.append(Candidate([p.span()], p[0], "", _line_before(text, p.start()), "prefix"))
     for start, end in _hinted_lines(text):
-        if end - start <= 4000:
-            _line_candidates(text, start, end, out)
-        else:  # a long line is read in overlapping pieces, each to the end of its last literal
-            done = start
-            for a in range(start, end, 3000):
-                b = STOP.search(text, min(end, a + 4000), end)
-                if (b := b.end() if b else end) > done:
-                    _line_candidates(text, a, b, out)
-                    done = b
+        _line_candidates(text, start, end, out)
     return _distinct(out)
 
 
+def _search_back(pattern: re.Pattern, line: str, end: int) -> re.Match | None:
+    """``pattern.search(line, 0, end)`` of a pattern bound to the end, in time that the match, not the line, decides."""
+    reach = 128
+    while True:
+        low = max(0, end - reach)
+        m = pattern.search(line, low, end)
+        if low == 0 or (m and m.start() > low) or (not m and not BETWEEN.fullmatch(line, low, end)):
+            return m
+        reach *= 4
+
+
 def _lowered(text: str) -> str:
     """In lower case, but for the few letters that change their length."""
     low = text.lower()
@@ -222,16 +230,19 @@ def _line_candidates(text: str, start: int, end: int, out: list[Candidate]) -> N
         out.append(c)
         return c
 
-    if "://" in line:
-        for m in LOGIN.finditer(line):
+    at = line.find("://")
+    while at >= 0:
+        m = LOGIN.match(line, at + 3) if line[at - 1 : at].isalnum() else None
+        if m:
             add(m.span(2), "login", "login")
+        at = line.find("://", at + 3)
     for m in HEADER.finditer(line):
         add(m.span(2), m[1], "header")
+    tagged = line.find("<")
     for m in QUOTED.finditer(line):
-        prefix = line[: m.start()]
-        k = KEY_BEFORE.search(prefix) or DEFINED.search(prefix) or NAMED_BEFORE.search(prefix)
+        k = next(filter(None, (_search_back(p, line, m.start()) for p in (KEY_BEFORE, DEFINED, NAMED_BEFORE))), None)
         key, how = (k[1], k[2] if k.re is KEY_BEFORE else "=") if k else ("", "(")
-        if key in ("key", "name") and "<" in prefix:
+        if key in ("key", "name") and 0 <= tagged < m.start():
             continue  # the name of a setting, not its value
         context = "compare" if how in ("==", "===", "!=", "!==") else "call" if how in (",", "(") else "quoted"
         c = add(m.span(2), key, context)
@@ -243,7 +254,7 @@ def _line_candidates(text: str, start: int, end: int, out: list[Candidate]) -> N
                 c.value += n[1]
     for m in DEFAULT.finditer(line):
         add(m.span(2), m[1], "quoted")
-    tail = re.search(r"([\w.$\-]+)\s*[:=]+\s*[\(\[]?\s*\\?\r?$", line)
+    tail = _search_back(LAST_KEY, line, len(line))
     if tail:
         n = re.compile(r"""\s*(["'`])((?:(?!\1)[^\n\\]|\\.){4,})\1""").match(text, end)
         if n:
@@ -259,23 +270,34 @@ def _line_candidates(text: str, start: int, end: int, out: list[Candidate]) -> N
         for m in XML.finditer(line):
             add(m.span(2) if m[2] else m.span(4), m[1] or m[3], "xml")
     for m in PARAM.finditer(line):
-        add(m.span(2), m[1], "param")
+        if KEY_ANY.search(m[1]):
+            add(m.span(2), m[1], "param")
     for m in COMMAND.finditer(line):
         add(m.span(1), "password", "command")
     for m in NAMED.finditer(line):
         add(m.span(2), m[1], "named")
-    for m in PROSE.finditer(line) if not line.lstrip().startswith("<") and (len(line) < 1500 or " " in line[:200]) else ():
-        for k, w in enumerate(WORD_AFTER.finditer(line, m.end())):
-            a, b = w.span()
-            if a >= m.end() + 460:
-                break
+    if not line.lstrip().startswith("<"):
+        _prose_candidates(line, add)
+
+
+def _prose_candidates(line: str, add: Callable[[tuple[int, int], str, str], Candidate]) -> None:
+    """Words after a key word of prose, to the end of the line; of a word that holds one itself, also what follows it."""
+    marks = [(m.end(), m[1]) for m in PROSE.finditer(line)]
+    i, key = 0, ""
+    for w in WORD_AFTER.finditer(line, marks[0][0]) if marks else ():
+        a, end = w.span()
+        while i < len(marks) and marks[i][0] <= a:
+            key = marks[i][1]
+            i += 1
+        for a, key in ((a, key), marks[i]) if i < len(marks) and marks[i][0] < end else ((a, key),):
+            b = end
             eq = line.find("=", a, b)
             if 0 < eq < b - 6 and not STATEMENT.search(line, eq, b):
                 add((eq + 1, b), line[a:eq], "plain")
             while b > a and line[b - 1] in ".,;:)]}":
                 b -= 1
-            if k < 6 and b - a >= 6 and not looks_plain(line[a:b]) and not NO_WORD.search(line, a, b):
-                add((a, b), m[1], "prose")
+            if b - a >= 6 and not looks_plain(line[a:b]) and not NO_WORD.search(line, a, b):
+                add((a, b), key, "prose")
 
 
 def _follow_join(text: str, at: int, c: Candidate) -> None:
@@ -309,7 +331,7 @@ KEY_TOKEN = re.compile(rf"(?i)(?:{TOKEN_WORDS})")
 KEY_OTHER = re.compile(rf"(?i)(?:^|[_.\-\s]|(?<=[a-z]))(?:{OTHER_WORDS})s?\d*$|^(?:pub|icon|integrity|checksum)|sourceMap")
 BEFORE_SECRET = re.compile(rf"(?i)\b(?:{PASSWORD_WORDS}|token|secret|key|chave|cred\w*|login|still works|run as|rotation use|bearer|auth\w*)\b[^\n]{{0,48}}$")
 BEFORE_OTHER = re.compile(r"(?i)\b(?:commit|hash|sha\d*|checksum|revision|rev|blob|tree|uuid|id|version|release|see|build)\b[\s:=#('\"]*$")
-USERINFO = re.compile(r"^[^:\s]{1,64}:\S{3,}$")
+USERINFO = re.compile(r"^[^:\s]+:\S{3,}$")
 
 
 def _decoded(value: str) -> str:
@@ -371,6 +393,7 @@ def features(c: Candidate, extension: str, path: str) -> list[float]:
     return x
 
 
+PLACES = slice(8, 8 + len(CONTEXTS))
 SHAPED_AT = 8 + len(CONTEXTS) + 12
 N_FEATURES = 8 + len(CONTEXTS) + 18 + 1  # the last one is the likelihood
 
@@ -470,6 +493,7 @@ class Scorer:
     weights: np.ndarray | None
     slope: float
     shift: float
+    taught: np.ndarray | None = None  # kinds of places with enough labels to learn from
 
     def scores(self, x: np.ndarray, values: list[str]) -> np.ndarray:
         x = np.concatenate([x, [[-likelihood(self.chain, v) / 5] for v in values]], axis=1)
@@ -491,7 +515,7 @@ def fit(found: DataFrame, chain: np.ndarray) -> Scorer:
     w = fit_logistic(x[train], y[train])
     z = x[~train] @ w
     slope, shift = fit_logistic(np.stack([z, np.ones_like(z)], axis=1), y[~train], 0.01)
-    return Scorer(chain, w, max(float(slope), 1e-3), float(shift))
+    return Scorer(chain, w, max(float(slope), 1e-3), float(shift), x[:, PLACES].sum(axis=0) >= MIN_PLACE)
 
 
 def find_credentials(nodes: DataFrame) -> DataFrame:
@@ -509,9 +533,10 @@ def find_credentials(nodes: DataFrame) -> DataFrame:
             if s.weights is None or not len(pdf):
                 p = (pdf["label"] == 1).astype(float).to_numpy()
             else:
-                p = s.scores(np.array(pdf["features"].tolist(), float), list(pdf["value"]))
-                never = np.array([f[REFERENCE_AT] > 0 for f in pdf["features"]])
-                p[never] = 0.0
+                x = np.array(pdf["features"].tolist(), float)
+                p = s.scores(x, list(pdf["value"]))
+                p = np.where(x[:, PLACES] @ s.taught > 0, p, (pdf["label"] == 1).astype(float))
+                p[x[:, REFERENCE_AT] > 0] = 0.0
             yield pdf[["node_id", "line_no", "spans", "value"]].assign(score=p)
 
     scored = found.mapInPandas(score, "node_id long, line_no int, spans array<struct<start:int,end:int>>, value string, score double")

@@ -1,6 +1,7 @@
 import datetime
 import random
 import string
+import time
 
 from engrama.llm import credentials as C
 
@@ -96,3 +97,32 @@ def test_overlapping_spans_are_redacted_to_their_union():
     text = "Bearer " + "abcdefghij" * 90 + " end"
     assert C.redacted(text, [(7, 607), (7, 907)]) == "Bearer REDACTED end" == C.redacted(text, [(7, 607), (600, 907)])
     assert C.redacted("abcdef", [(0, 2), (2, 4)]) == "REDACTEDREDACTEDef"
+
+
+def test_length_of_a_line_decides_nothing():
+    rng = random.Random(6)
+    secret, tail = "Walnut-dorzan-77x", "then the next one follows here as usual. " * 60
+    for text in (f"the password is Granito-key-4417 {secret}", f"the staging login is admin / {secret} until friday", f'cfg = {{a: 1, password: "{secret}", b: 2}}', f"curl -u svc:{secret} https://x.example.org/", f"db://svc:{secret}@host/x", f'{"x" * 3000}&token={secret}'):
+        for line in (text, text + " " + tail, tail + text, "(" + "a,b," * 1500 + ") " + text, "q" * 5000 + " " + text):
+            assert any(secret in c.value for c in C.candidates(line, "a.md")), line[-120:]
+    long = made(rng, 1185)
+    assert long in {c.value for c in C.candidates(f"Authorization: Bearer {long}", "a.md")}
+
+
+def test_long_lines_take_time_in_proportion():
+    rng = random.Random(7)
+    for part in ("key " + made(rng, 60) + "+/", f'k="{made(rng, 8)}",', "token=", "key:", "?a" + made(rng, 30) + ".", "://a:b", "password ", "key: '"):
+        seconds = []
+        for n in (20_000, 160_000):
+            t = time.process_time()
+            C.candidates(part * (n // len(part)), "a.js")
+            seconds.append(time.process_time() - t)
+        assert seconds[1] < 20 * seconds[0] + 1, (part, seconds)
+
+
+def test_redaction_leaves_no_part_of_a_long_token(spark):
+    long = made(random.Random(9), 1185)
+    rows, _ = corpus(random.Random(2))
+    nodes = spark.createDataFrame([*rows, (900, "a.md", f"Authorization: Bearer {long}\nend", T, 0.0, 0)], NODES)
+    got = {r.node_id: r.content for r in C.redact(nodes, C.find_credentials(nodes)).collect()}[900]
+    assert not any(long[i : i + 12] in got for i in range(0, 1173, 12)) and got.endswith("\nend")
