@@ -63,26 +63,27 @@ TRAIT_SCHEMA = "node_id long, is_generated boolean, is_minified boolean, is_data
 THIRD_PARTY = r"(?i)(?:^|/)(?:vendor|vendored|third[_-]?party|thirdparty|external|externals|deps|libs/upstream|node_modules|bower_components|jspm_packages|site-packages|pods|carthage)/"
 #: File names and directories of tools, used where there is no text.
 TOOL_PATH = r"(?i)(?:^|/)(?:gen|generated|autogen|build/out|dist)/|_pb2(?:_grpc)?\.|\.pb\.|\.g\.|_gen\.|\.generated\.|[.-]min\.|\.bundle\.|\.prod\."
+# What tools and distributions usually write about a file.
 NOTICE = re.compile(
-    r"upstream: \S+, local copy|@licen[sc]e\b|copied from the \S+ (?:distribution|project|release)|\bvendored from\b|patches go upstream"
-    r"|copyright \(c\) \d{4}[^\n]{0,60}\bcontributors\b",
+    r"@licen[sc]e\b|\b(?:copied|taken|imported|vendored|bundled) (?:verbatim )?from\b|\bcopyright \(c\) \d{4}[^\n]*\bcontributors\b"
+    r"|\bupstream\b[^\n]*\b(?:copy|patch|patches|version|release|source)\b|\b(?:copy|patch|patches|version|release|source)\b[^\n]*\bupstream\b",
     re.I,
 )
 TOOL = re.compile(
     r"@generated\b|<auto-generated>|(?<!not )(?<!not-)\bauto-?generated (?:file|code|by|from)|\bautomatically generated\b|\b(?:machine|auto)-?(?:made|generated) (?:on|by|from|file)"
-    r"|\bcode generated by\b|\bgenerated by .{0,60}(?:do not edit|compiler|generator|\d+\.\d+)|\bproduced by the .{0,40}(?:compiler|generator|tool)\b"
-    r"|\bgerado automaticamente\b|\bgerado por\b.{0,40}n[aã]o (?:edite|editar)|\bmanual changes will be overwritten\b|\bchanges are lost on the next build\b",
+    r"|\bcode generated by\b|\bgenerated by [^\n]*(?:do not edit|compiler|generator|\d+\.\d+)|\bproduced by [^\n]*(?:compiler|generator|tool)\b"
+    r"|\bgerado automaticamente\b|\bgerado por\b[^\n]*n[aã]o (?:edite|editar)|\b(?:changes|edits|modifications)\b[^\n]*\b(?:lost|overwritten|discarded)\b",
     re.I,
 )
 #: What each alternative of ``TOOL`` and of ``NOTICE`` holds, for a first look.
-TOOL_WORDS = ("generated", "made", "produced", "gerado", "overwritten", "are lost")
-NOTICE_WORDS = ("upstream", "@licen", "copied from", "vendored", "copyright")
+TOOL_WORDS = ("generated", "made", "produced", "gerado", "overwritten", "lost", "discarded")
+NOTICE_WORDS = ("upstream", "@licen", "from", "copyright")
 STRING = re.compile(r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'""")
 #: Digits, and hex values that stand outside of strings.
 DIGITS = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|(?=[a-fA-F]*\d)[0-9a-fA-F]{6,})\b|\d+")
-DENIED = re.compile(r"\b(?:not|never|n[aã]o foi) (?:auto|machine|automatically|generated|gerado)|edit freely", re.I)
+DENIED = re.compile(r"\b(?:not|never|n[aã]o foi) (?:auto|machine|automatically|generated|gerado)", re.I)
 #: What tells that a comment among code speaks of the file, not of the code next to it.
-WHOLE_FILE = re.compile(r"\bdo not (?:edit|modify)|n[aã]o (?:edite|editar)|@generated\b|<auto-generated>|\b(?:this|auto-?generated|machine-?generated) (?:source )?(?:file|module)\b|\beste arquivo\b|\boverwritten\b|\bnext build\b", re.I)
+WHOLE_FILE = re.compile(r"\bdo not (?:edit|modify)|n[aã]o (?:edite|editar)|@generated\b|<auto-generated>|\b(?:this|auto-?generated|machine-?generated) (?:source )?(?:file|module)\b|\beste arquivo\b|\b(?:overwritten|lost|discarded)\b", re.I)
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
 COMMENT = re.compile(r'/\*.*?\*/|"""(?:.|\n)*?"""|\'\'\'(?:.|\n)*?\'\'\'|^[ \t]*(?://|#(?!include|define|if|endif|else|pragma)|--)[^\n]*$', re.S | re.M)
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]|[^\W\d_]+")
