@@ -75,15 +75,22 @@ LEVEL_SCHEMA = "doc_id long, reading_level int, mean_level double, n_words int"
 
 @dataclass(frozen=True)
 class Model:
-    delta: np.ndarray  # difficulty of each bucket, NaN where it is not known
+    known: np.ndarray  # buckets of the words whose difficulty is known
+    delta: np.ndarray  # and these difficulties
     sums: np.ndarray  # T, the summed thresholds
     usual: int
 
-    def level_odds(self, delta: np.ndarray) -> np.ndarray:
-        """P(level | word), one row per difficulty."""
-        z = delta[:, None] * STEPS - self.sums
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+    def table(self) -> np.ndarray:
+        """The difficulty of every bucket, NaN where it is not known."""
+        out = np.full(BUCKETS, np.nan, np.float32)
+        out[self.known] = self.delta
+        return out
+
+def level_odds(delta: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """P(level | word), one row per difficulty."""
+    z = delta[:, None] * STEPS - sums
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def prose(text: str) -> str:
@@ -162,19 +169,19 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[VOTES].assign(buckets=np.split(bucket[order].astype(np.int32), cut) if len(pdf) else [])
 
 
-def _responses(pdf: pd.DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def _responses(pdf: pd.DataFrame, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, expected occurrences per level) of the known words of rated texts."""
     size = np.fromiter(map(len, pdf["buckets"]), np.int64, len(pdf))
     bucket = np.concatenate([*pdf["buckets"], np.zeros(0, np.int32)]).astype(np.int64)
     at = np.repeat(np.arange(len(pdf)), size)
-    known = ~np.isnan(model.delta[bucket])
+    known = ~np.isnan(table[bucket])
     at, bucket = at[known], bucket[known]
-    delta = model.delta[bucket].astype(float)
+    delta = table[bucket].astype(float)
     anchor = pdf[VOTES].to_numpy(float) + SMOOTH
     anchor /= anchor.sum(axis=1, keepdims=True)
     n = histogram(at, delta, len(pdf))
-    q = spread(n, model.level_odds(GRID), anchor * np.maximum(ANCHOR, 0.5 * n.sum(axis=1, keepdims=True)), anchor, 3)
-    r = model.level_odds(delta) * q[at]
+    q = spread(n, level_odds(GRID, model.sums), anchor * np.maximum(ANCHOR, 0.5 * n.sum(axis=1, keepdims=True)), anchor, 3)
+    r = level_odds(delta, model.sums) * q[at]
     r /= r.sum(axis=1, keepdims=True)
     seen, place = np.unique(bucket, return_inverse=True)
     return seen, np.stack([np.bincount(place, r[:, k], len(seen)) for k in range(LEVELS)], axis=1)
@@ -182,7 +189,7 @@ def _responses(pdf: pd.DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]
 
 def _newton(model: Model, counts: pd.DataFrame) -> Model:
     """Difficulties and thresholds that the expected occurrences make most likely; all levels weigh alike."""
-    at, c = counts["bucket"].to_numpy(), counts[SUMS].to_numpy(float)
+    at, c = np.searchsorted(model.known, counts["bucket"].to_numpy()), counts[SUMS].to_numpy(float)
     per_level = c.sum(axis=0)
     c *= np.where(per_level > 0, c.sum() / LEVELS / np.maximum(per_level, 1e-9), 0.0)
     total, score = c.sum(axis=1), c @ STEPS
@@ -190,16 +197,16 @@ def _newton(model: Model, counts: pd.DataFrame) -> Model:
     seen = per_level > 0
     for _ in range(6):
         for _ in range(3):
-            p = Model(delta, sums, 0).level_odds(delta)
+            p = level_odds(delta, sums)
             mean = p @ STEPS
             slope = total * (p @ STEPS**2 - mean**2) + PRIOR
             delta = delta + np.clip((score - total * mean - PRIOR * delta) / slope, -2, 2)
-        expected = total @ Model(delta, sums, 0).level_odds(delta)
+        expected = total @ level_odds(delta, sums)
         sums = np.where(seen, sums - np.log(np.maximum(c.sum(axis=0), 1e-9) / np.maximum(expected, 1e-9)), 30.0)
         sums = np.where(seen, sums - sums[seen].mean(), 30.0)  # a level without votes is never given
     out = model.delta.copy()
     out[at] = delta
-    return Model(out, sums, model.usual)
+    return Model(model.known, out, sums, model.usual)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -213,18 +220,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id")
     sample = stage(texts.select("text", *VOTES).mapInPandas(_units, f"{votes}, buckets array<int>"), "units")
     held = sample.select(F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    known = held.where(F.col("n") >= MIN_DOCS).select("bucket").toPandas()["bucket"].to_numpy()  # at most BUCKETS numbers
-    delta = np.full(BUCKETS, np.nan, np.float32)
-    delta[known] = 0.0
-    model = Model(delta, np.zeros(LEVELS), usual)
+    known = np.sort(held.where(F.col("n") >= MIN_DOCS).select("bucket").toPandas()["bucket"].to_numpy())  # at most BUCKETS numbers
+    model = Model(known, np.zeros(len(known), np.float32), np.zeros(LEVELS), usual)
     if not len(known):
         return model
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
 
         def expected(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            table = now.value.table()
             for pdf in batches:
-                bucket, counts = _responses(pdf, now.value)
+                bucket, counts = _responses(pdf, now.value, table)
                 yield pd.DataFrame(counts, columns=SUMS).assign(bucket=bucket)
 
         parts = sample.mapInPandas(expected, ", ".join(f"{s} double" for s in SUMS) + ", bucket int")
@@ -241,11 +247,11 @@ def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
-        odds = m.level_odds(GRID)
+        odds, table = level_odds(GRID, m.sums), m.table()
         for pdf in batches:
             texts = list(pdf["text"])
             at, bucket = prose_units(texts)
-            delta = m.delta[bucket]
+            delta = table[bucket]
             known = ~np.isnan(delta)
             n = histogram(at[known], delta[known], len(texts))
             q = spread(n, odds)
