@@ -15,8 +15,9 @@ containers filled below ``REPACK_BELOW`` is packed once more across shards.
 Defined cases
 -------------
 * null text is no item; an empty or blank one counts as one token.
-* a text within all limits is never split; one beyond a limit is cut into parts
-  of the full capacity and one remainder, which is then packed like any item.
+* a text within the limit of tokens is never split, and one within that limit but
+  over that of loss-bearing tokens lies alone; a longer one is cut into parts of
+  the full capacity and one remainder, which is then packed like any item.
 * rows of one id are one item each (``part`` tells parts, not rows, apart);
   copies of a text are items of their own.
 * an empty table gives an empty result; further columns are ignored.
@@ -86,49 +87,49 @@ def token_sizes(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def cut_to_capacity(sizes: DataFrame, cap: Capacity) -> DataFrame:
-    """Items (doc_id, part, start_token, n_tokens, n_loss), each within the capacity."""
-    by_loss = F.floor(F.lit(cap.loss_tokens) * F.col("n_tokens") / F.greatest("n_loss", F.lit(1)))
-    step = F.least(F.lit(cap.tokens).cast("long"), F.greatest(F.lit(1).cast("long"), by_loss.cast("long")))
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / F.col("step")).cast("long")))
+    """Items (doc_id, part, start_token, n_tokens, n_loss), each within the limit of tokens."""
+    step = F.lit(cap.tokens).cast("long")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / step).cast("long")))
     share = lambda c: F.floor(c * F.col("n_loss") / F.col("total"))
     end = F.col("start_token") + F.col("n_tokens")
     return (
-        sizes.withColumn("step", step)
-        .withColumn("total", F.col("n_tokens"))
+        sizes.withColumn("total", F.col("n_tokens"))
         .withColumn("part", part)
-        .withColumn("start_token", F.col("part") * F.col("step"))
-        .withColumn("n_tokens", F.least("step", F.col("total") - F.col("start_token")))
-        .select(
-            "doc_id", F.col("part").cast("int").alias("part"), "start_token", "n_tokens",
-            F.least(share(end) - share(F.col("start_token")), F.lit(cap.loss_tokens)).cast("long").alias("n_loss"),
-        )
+        .withColumn("start_token", F.col("part") * step)
+        .withColumn("n_tokens", F.least(step, F.col("total") - F.col("start_token")))
+        .select("doc_id", F.col("part").cast("int").alias("part"), "start_token", "n_tokens", (share(end) - share(F.col("start_token"))).cast("long").alias("n_loss"))
     )
 
 
 def pack_sizes(tokens: np.ndarray, loss: np.ndarray, cap: Capacity) -> np.ndarray:
-    """Container number of each item, by the dot-product heuristic."""
+    """Container number of each item, by the dot-product heuristic.
+
+    Demands and free room are vectors of tokens, loss-bearing tokens and segments,
+    each in parts of its limit and weighed by how much of it all items ask for,
+    so the limit that is scarcest decides.
+    """
     order = np.lexsort((loss, tokens))
     keys = np.stack([tokens[order], loss[order]], axis=1)
     new = np.ones(len(order), bool)
     new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
     start = np.flatnonzero(new)
-    size = keys[start].astype(np.float64)
+    size = np.column_stack([keys[start], np.ones(len(start))]).astype(np.float64)
     left = np.diff(np.append(start, len(order)))
     taken = np.zeros(len(start), np.int64)
-    total = np.array([cap.tokens, cap.loss_tokens], np.float64)
-    weight = keys.mean(axis=0) / total if len(keys) else np.ones(2)
-    pull = size * (weight / total**2)
-    seg_pull = (1.0 / max(1, cap.segments)) / cap.segments
+    total = np.array([cap.tokens, cap.loss_tokens, cap.segments], np.float64)
+    asked = np.append(keys.sum(axis=0), len(keys)) / total
+    pull = size * (asked / max(1e-9, asked.max()) / total**2)
     out = np.empty(len(order), np.int64)
     box, remaining = 0, len(order)
     while remaining:
-        free, segments, last = total.copy(), cap.segments, len(start)
-        while segments:
+        free, last, opened = total.copy(), len(start), False
+        while free[2] >= 1:
             last = int(np.searchsorted(size[:last, 0], free[0], side="right"))
             if not last:
                 break
             score = pull[:last] @ free
-            score[(left[:last] == 0) | (size[:last, 1] > free[1])] = -1.0
+            fits = (left[:last] > 0) & ((size[:last, 1] <= free[1]) | (not opened))
+            score[~fits] = -1.0
             k = int(score.argmax())
             if score[k] < 0:
                 break
@@ -136,8 +137,10 @@ def pack_sizes(tokens: np.ndarray, loss: np.ndarray, cap: Capacity) -> np.ndarra
             taken[k] += 1
             left[k] -= 1
             free -= size[k]
-            segments -= 1
             remaining -= 1
+            opened = True
+            if free[1] < 0:  # a text over the limit of loss-bearing tokens stays alone
+                break
         box += 1
         if (left == 0).mean() > 0.5 and remaining:
             keep = left > 0

@@ -12,6 +12,8 @@ from engrama.tables import table
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Parameter: texts that one container may join.
 MAX_SEGMENTS = 64
+#: Parameter: loss-bearing tokens that a container may hold, as a share of its tokens.
+LOSS_SHARE = 31 / 32
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +67,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def _capacity(spark: SparkSession, d: str) -> packing.Capacity:
     row = table(spark, d, "size_limits").where("purpose = 'fill'").agg({"max_tokens": "min"}).first()
     tokens = int(row[0])
-    return packing.Capacity(tokens, MAX_SEGMENTS, tokens)
+    return packing.Capacity(tokens, MAX_SEGMENTS, int(tokens * LOSS_SHARE))
 
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -50,7 +50,27 @@ def test_operator_cases(spark):
     assert P.fill_report(P.pack_documents(docs.limit(0), cap, TOKENIZER), cap).first().n_containers == 0
 
 
-def test_a_text_over_the_loss_limit_is_cut(spark):
-    s = spark.createDataFrame([(1, 100, 100), (2, 10, 0)], "doc_id long, n_tokens long, n_loss long")
-    got = P.cut_to_capacity(s, P.Capacity(100, 8, 40)).collect()
-    assert sum(r.n_tokens for r in got) == 110 and max(r.n_loss for r in got) <= 40 and sum(r.doc_id == 1 for r in got) == 3
+def test_a_text_over_the_loss_limit_alone_lies_alone(spark):
+    s = spark.createDataFrame([(1, 100, 100), (2, 10, 0), (3, 250, 125)], "doc_id long, n_tokens long, n_loss long")
+    cap = P.Capacity(100, 8, 40)
+    got = sorted(P.cut_to_capacity(s, cap).collect())
+    assert [(r.doc_id, r.start_token, r.n_tokens, r.n_loss) for r in got] == [(1, 0, 100, 100), (2, 0, 10, 0), (3, 0, 100, 50), (3, 100, 100, 50), (3, 200, 50, 25)]
+    box = P.pack_sizes(np.array([90, 10, 50, 50]), np.array([90, 0, 30, 10]), cap)
+    assert len(set(box.tolist())) == 3 and box[2] == box[3] and (box == box[0]).sum() == 1
+
+
+def test_limits_that_tokens_alone_would_break():
+    """Pairs must mix both kinds: best fit by tokens would pair like with like and break the loss limit, or leave half of each container free."""
+    tokens = np.full(200, 50)
+    loss = np.array([50] * 100 + [10] * 100)
+    assert P.pack_sizes(tokens, loss, P.Capacity(100, 8, 60)).max() + 1 == 100
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(20, 700, 4000)
+    loss = np.where(rng.random(4000) < 0.3, tokens * rng.random(4000), tokens).astype(np.int64)
+    cap = P.Capacity(2048, 64, 1900)
+    box = P.pack_sizes(tokens, loss, cap)
+    alone = P.pack_sizes(tokens, np.zeros(4000, np.int64), cap)
+    assert np.bincount(box, loss).max() <= 1900 < np.bincount(alone, loss).max()
+    assert box.max() + 1 <= 1.03 * max(tokens.sum() / 2048, loss.sum() / 1900)
+    few = P.pack_sizes(np.full(300, 2), np.full(300, 2), P.Capacity(2048, 64, 1900))
+    assert few.max() + 1 == 5
