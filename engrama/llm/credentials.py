@@ -354,7 +354,7 @@ def is_reference(c: Candidate) -> bool:
 
 
 def features(c: Candidate, extension: str, path: str) -> list[float]:
-    """Numbers from the surroundings, the path and the value; its likelihood is added later."""
+    """Numbers from the surroundings, the path and the value, but for its likelihood."""
     v, n = c.value, max(1, len(c.value))
     digits, upper, lower = (sum(map(f, v)) / n for f in (str.isdigit, str.isupper, str.islower))
     hexlike = bool(HEX.match(v))
@@ -426,21 +426,27 @@ def weak_label(c: Candidate, x: list[float]) -> int:
     return -1
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for node_id, label, text in zip(pdf["node_id"], pdf["label"], pdf["content"]):
-            path = (label or "").replace("\\", "/").split("::")[0]
-            found = candidates(text, path)
-            if not found:
-                continue
-            breaks = [m.start() for m in re.finditer("\n", text)]
-            extension = _extension(path.rsplit("/", 1)[-1])
-            for c in found:
-                x = features(c, extension, path)
-                line = bisect_right(breaks, c.spans[0][0] - 1) + 1
-                rows.append((node_id, line, [{"start": a, "end": b} for a, b in c.spans], c.value, x, weak_label(c, x)))
-        yield pd.DataFrame(rows, columns=["node_id", "line_no", "spans", "value", "features", "label"])
+def _extractor(chain):
+    """Candidates of each text, with the Markov likelihood of their values as the last feature."""
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for node_id, label, text in zip(pdf["node_id"], pdf["label"], pdf["content"]):
+                path = (label or "").replace("\\", "/").split("::")[0]
+                found = candidates(text, path)
+                if not found:
+                    continue
+                breaks = [m.start() for m in re.finditer("\n", text)]
+                extension = _extension(path.rsplit("/", 1)[-1])
+                for c in found:
+                    x = features(c, extension, path)
+                    line = bisect_right(breaks, c.spans[0][0] - 1) + 1
+                    place = [{"start": a, "end": b} for a, b in c.spans]
+                    rows.append((node_id, line, place, c.value, [*x, -likelihood(chain.value, c.value) / 5], weak_label(c, x)))
+            yield pd.DataFrame(rows, columns=["node_id", "line_no", "spans", "value", "features", "label"])
+
+    return extract
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -489,33 +495,31 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int
 
 @dataclass(frozen=True)
 class Scorer:
-    chain: np.ndarray
     weights: np.ndarray | None
     slope: float
     shift: float
     taught: np.ndarray | None = None  # kinds of places with enough labels to learn from
 
-    def scores(self, x: np.ndarray, values: list[str]) -> np.ndarray:
-        x = np.concatenate([x, [[-likelihood(self.chain, v) / 5] for v in values]], axis=1)
+    def scores(self, x: np.ndarray) -> np.ndarray:
         z = self.slope * (x @ self.weights) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(found: DataFrame, chain: np.ndarray) -> Scorer:
-    """Train on half of the labelled sample and calibrate on the other half."""
-    labelled = found.where("label >= 0").select("features", "value", "label", F.xxhash64("node_id", "line_no", "value").alias("h"))
+def fit(found: DataFrame) -> Scorer:
+    """Train on half of the labelled sample and calibrate on the other half; values stay where they are."""
+    labelled = found.where("label >= 0").select("features", "label", F.xxhash64("node_id", "line_no", "value").alias("h"))
     total = labelled.count()
     low = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, MAX_TRAIN / max(1, total)))
     rows = labelled.where(low).orderBy("h").collect()
     y = np.array([r["label"] for r in rows], float)
     if len(rows) < MIN_TRAIN or not 0 < y.sum() < len(y):
-        return Scorer(chain, None, 1.0, 0.0)
-    x = np.array([[*r["features"], -likelihood(chain, r["value"]) / 5] for r in rows])
+        return Scorer(None, 1.0, 0.0)
+    x = np.array([r["features"] for r in rows], float)
     train = np.arange(len(rows)) % 2 == 0
     w = fit_logistic(x[train], y[train])
     z = x[~train] @ w
     slope, shift = fit_logistic(np.stack([z, np.ones_like(z)], axis=1), y[~train], 0.01)
-    return Scorer(chain, w, max(float(slope), 1e-3), float(shift), x[:, PLACES].sum(axis=0) >= MIN_PLACE)
+    return Scorer(w, max(float(slope), 1e-3), float(shift), x[:, PLACES].sum(axis=0) >= MIN_PLACE)
 
 
 def find_credentials(nodes: DataFrame) -> DataFrame:
@@ -523,9 +527,9 @@ def find_credentials(nodes: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     bound_batches(spark)
     texts = current_texts(nodes)
-    chain = markov(nodes.where("content is not null"))
-    found = stage(texts.select("node_id", "label", "content").mapInPandas(_extract, CANDIDATE_SCHEMA), "candidates")
-    held = spark.sparkContext.broadcast(fit(found, chain))
+    chain = spark.sparkContext.broadcast(markov(nodes.where("content is not null")))
+    found = stage(texts.select("node_id", "label", "content").mapInPandas(_extractor(chain), CANDIDATE_SCHEMA), "candidates")
+    held = spark.sparkContext.broadcast(fit(found))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = held.value
@@ -534,7 +538,7 @@ def find_credentials(nodes: DataFrame) -> DataFrame:
                 p = (pdf["label"] == 1).astype(float).to_numpy()
             else:
                 x = np.array(pdf["features"].tolist(), float)
-                p = s.scores(x, list(pdf["value"]))
+                p = s.scores(x)
                 p = np.where(x[:, PLACES] @ s.taught > 0, p, (pdf["label"] == 1).astype(float))
                 p[x[:, REFERENCE_AT] > 0] = 0.0
             yield pdf[["node_id", "line_no", "spans", "value"]].assign(score=p)
