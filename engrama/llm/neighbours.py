@@ -1,14 +1,19 @@
 """Most similar vectors for every vector.
 
-Vectors are routed to shards by centroids fitted on a bounded sample.  Every
-shard builds a robust-pruned directed graph (``vamana``) of its own vectors and
-answers, by beam search, the queries routed to it: those of its own vectors and
-those of vectors whose second- or third-nearest centroid it is by less than
-``MARGIN``.  The answers of all shards are merged per query.
+Vectors are routed to shards by centroids.  Every shard builds a robust-pruned
+directed graph (``vamana``) of its own vectors and answers, by beam search, the
+queries routed to it: those of its own vectors and those of vectors to which its
+centroid is among the ``PROBES`` nearest, and less similar than the nearest one by
+at most ``MARGIN``.  The answers of all shards are merged per query.
 
 A shard has about ``SHARD`` vectors whatever the collection, so the cost per
-vector does not grow with it; a shard that came out too large is cut by a hash
-into parts, each asked by all of the shard's queries, in blocks of bounded size.  Exact copies of a
+vector does not grow with it.  Centroids are fitted on two levels: as many cells
+as the root of the number of shards, on a sample of ``SAMPLE`` vectors, and the
+shards of each cell on a sample of as many vectors of that cell, so every shard's
+centroid rests on many vectors.  ``MAX_SHARDS`` bounds what is broadcast; beyond
+it, shards grow.  A shard that came out too large is cut by a hash into parts,
+each asked by all of the shard's queries, and the queries of any shard are put
+in blocks of bounded size, whoever asks.  Exact copies of a
 vector form one point of the graph: a third of all rows being one vector
 neither crowds a shard nor fills the beam, and its copies come back afterwards.
 
@@ -25,6 +30,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +45,12 @@ DIM = 384
 SHARD = 4096
 MAX_SHARD = 3 * SHARD
 SAMPLE = 8_192
-PROBES = 3
-MARGIN = 0.15
+MAX_SHARDS = 65_536
+BLOCK = 2 * SHARD
+#: Tasks that shards are spread over, about one each, for the time a task takes depends on its shards, not its bytes.
+MAX_TASKS = 20_000
+PROBES = 12
+MARGIN = 0.12
 SALTS = 16
 POINT_SCHEMA = "node_id long, copy_key string, vector binary"
 FOUND_SCHEMA = "node_id long, neighbour_id long, similarity double"
@@ -80,18 +90,9 @@ def usable_points(vectors: DataFrame) -> DataFrame:
     return latest.mapInArrow(_normalise, POINT_SCHEMA)
 
 
-def fit_centroids(points: DataFrame, n_shards: int) -> np.ndarray:
-    """Spherical k-means on about ``SAMPLE`` vectors, those of the smallest hashes.
-
-    It starts from sampled vectors, so dense regions get more centroids.
-    """
-    total = points.select("node_id").count()
-    low = F.pmod(F.xxhash64("node_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, total)))
-    rows = points.where(low).select("node_id", "vector").orderBy("node_id").collect()
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float32).reshape(-1, DIM)
-    if not len(x):
-        return np.zeros((1, DIM), np.float32)
-    centroids = x[np.random.default_rng(7).permutation(len(x))[:n_shards]].copy()
+def _k_means(x: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means; it starts from the vectors themselves, so dense regions get more centroids."""
+    centroids = x[np.random.default_rng(7).permutation(len(x))[:k]].copy()
     for _ in range(12):
         near = (x @ centroids.T).argmax(axis=1)
         sums = np.zeros_like(centroids)
@@ -101,29 +102,103 @@ def fit_centroids(points: DataFrame, n_shards: int) -> np.ndarray:
     return centroids
 
 
-def _router(centroids, pieces=None):
-    """Rows (shard, piece, own, asks, node_id, vector); without ``pieces`` only the own shard.
+def fit_centroids(points: DataFrame, n_shards: int, total: int) -> np.ndarray:
+    """Centroids of about ``n_shards`` shards, on samples of the smallest hashes."""
+    spark = points.sparkSession
+    low = F.pmod(F.xxhash64("node_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, total)))
+    rows = points.where(low).select("node_id", "vector").orderBy("node_id").collect()
+    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float32).reshape(-1, DIM)
+    if not len(x):
+        return np.zeros((1, DIM), np.float32)
+    cells = _k_means(x, math.isqrt(max(0, n_shards - 1)) + 1)
+    held = spark.sparkContext.broadcast(cells)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(held.value), np.int64)
+        for batch in batches:
+            n += np.bincount((_matrix(batch.column("vector")) @ held.value.T).argmax(axis=1), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], ["cell", "n"])
+
+    sizes = np.zeros(len(cells), np.int64)
+    for r in points.select("vector").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        sizes[r["cell"]] = r["n"]  # one row per cell
+    share = np.minimum(1.0, SAMPLE / np.maximum(1, sizes))
+    wanted = np.maximum(1, np.rint(n_shards * sizes / max(1, total))).astype(np.int64)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = (_matrix(batch.column("vector")) @ held.value.T).argmax(axis=1)
+            kept = batch.column("h").to_numpy() < share[cell] * (1 << 30)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[kept].astype(np.int32)), batch.column("h").filter(pa.array(kept)), batch.column("vector").filter(pa.array(kept))], ["cell", "h", "vector"])
+
+    def refine(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("h").to_numpy(), kind="stable")
+        fine = _k_means(_matrix(table.column("vector"))[order], int(wanted[table.column("cell")[0].as_py()]))
+        return pa.table({"vector": _packed(fine)})
+
+    h = F.pmod(F.xxhash64("node_id", F.lit(1)), F.lit(1 << 30)).alias("h")
+    fine = points.select(h, "vector").mapInArrow(sample, "cell int, h long, vector binary").groupBy("cell").applyInArrow(refine, "vector binary")
+    found = sorted(bytes(r[0]) for r in fine.collect())  # at most about MAX_SHARDS rows
+    return np.frombuffer(b"".join(found), np.float32).reshape(-1, DIM)
+
+
+def _asked(x: np.ndarray, centroids: np.ndarray, sizes: np.ndarray | None = None, enough: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, rank, shard) of every shard that a vector asks, its own with rank 0.
+
+    With ``sizes``, a vector whose shards hold fewer than ``enough`` others asks as
+    many more as it takes, the nearest first.
+    """
+    sims = x @ centroids.T
+    k = min(PROBES, len(centroids))
+    order = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    best = np.take_along_axis(sims, order, 1)
+    rank = np.argsort(-best, axis=1, kind="stable")
+    order, best = np.take_along_axis(order, rank, 1), np.take_along_axis(best, rank, 1)
+    row, rank = np.nonzero(best >= best[:, :1] - MARGIN)
+    shard = order[row, rank]
+    if sizes is None:
+        return row, rank, shard
+    few = np.flatnonzero(np.bincount(row, sizes[shard], len(x)) < enough)
+    if len(few):
+        order = np.argsort(-sims[few], axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1) - sizes[order]
+        more, more_rank = np.nonzero(held < enough)
+        kept = ~np.isin(row, few)
+        row, rank, shard = (np.concatenate(p) for p in ((row[kept], few[more]), (rank[kept], more_rank), (shard[kept], order[more, more_rank])))
+    return row, rank, shard
+
+
+def _counter(centroids):
+    """Rows (shard, own, asks): how many vectors it holds, and how many ask it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asks = np.zeros((2, len(centroids.value)), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                _, rank, shard = _asked(_matrix(batch.column("vector")), centroids.value)
+                asks += np.bincount(shard, minlength=len(asks))
+                own += np.bincount(shard[rank == 0], minlength=len(own))
+        at = np.flatnonzero(asks)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(own[at]), pa.array(asks[at])], ["shard", "own", "asks"])
+
+    return count
+
+
+def _router(centroids, pieces, enough: int):
+    """Rows (piece, own, asks, node_id, vector).
 
     A piece of a shard is one of its parts, whose vectors it holds (``own``), and
     one block of the queries that are put to it (``asks``).
     """
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centroids.value
+        parts, blocks, first, sizes = pieces.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("vector"))
             ids = batch.column("node_id").to_numpy()
-            sims = x @ c.T
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :PROBES]
-            if pieces is None:
-                yield pa.RecordBatch.from_arrays([pa.array(order[:, 0].astype(np.int32))], ["shard"])
-                continue
-            best = np.take_along_axis(sims, order, 1)
-            row, rank = np.nonzero(best >= best[:, :1] - MARGIN)
-            shard = order[row, rank]
-            n_parts, n_blocks = (v[shard] for v in pieces.value)
+            row, rank, shard = _asked(_matrix(batch.column("vector")), centroids.value, sizes, enough)
+            n_parts, n_blocks = parts[shard], blocks[shard]
             copies = n_parts * n_blocks
             at = np.repeat(np.arange(len(row)), copies)
             piece = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
@@ -131,10 +206,10 @@ def _router(centroids, pieces=None):
             own = (rank[at] == 0) & (mixed[at] % n_parts[at] == piece % n_parts[at])
             asks = mixed[at] // 97 % n_blocks[at] == piece // n_parts[at]
             kept = own | asks
-            row, shard, piece, own, asks = row[at][kept], shard[at][kept], piece[kept], own[kept], asks[kept]
+            row, piece, own, asks = row[at][kept], (first[shard[at]] + piece)[kept], own[kept], asks[kept]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(own), pa.array(asks), pa.array(ids[row]), batch.column("vector").take(pa.array(row))],
-                ["shard", "piece", "own", "asks", "node_id", "vector"],
+                [pa.array(piece.astype(np.int32)), pa.array(own), pa.array(asks), pa.array(ids[row]), batch.column("vector").take(pa.array(row))],
+                ["piece", "own", "asks", "node_id", "vector"],
             )
 
     return route
@@ -191,17 +266,19 @@ def nearest(vectors: DataFrame, k: int = 10) -> DataFrame:
         members = stage(points.select("node_id", "copy_key").join(copied, "copy_key").select("rep", F.col("node_id").alias("member")).distinct(), "members")
         unique = points.join(copied, "copy_key", "left").where("rep is null or rep = node_id").select("node_id", "vector")
 
-    n_shards = max(1, round(unique.select("node_id").count() / SHARD))
-    centroids = spark.sparkContext.broadcast(fit_centroids(unique, n_shards))
-    counts = np.zeros(n_shards, np.int64)
-    for r in unique.select("node_id", "vector").mapInArrow(_router(centroids), "shard int").groupBy("shard").count().collect():
-        counts[r["shard"]] = r["count"]  # one row per shard
-    large = counts > MAX_SHARD
-    parts = np.where(large, -(-counts // SHARD), 1)
-    blocks = np.where(large, -(-counts // (4 * SHARD)), 1)
-    pieces = spark.sparkContext.broadcast((parts, blocks))
-    routed = unique.select("node_id", "vector").mapInArrow(_router(centroids, pieces), "shard int, piece int, own boolean, asks boolean, node_id long, vector binary")
-    found = routed.groupBy("shard", "piece").applyInArrow(_shard_search(k), FOUND_SCHEMA)
+    total = unique.select("node_id").count()
+    centroids = spark.sparkContext.broadcast(fit_centroids(unique, min(MAX_SHARDS, max(1, round(total / SHARD))), total))
+    own, asks = np.zeros((2, len(centroids.value)), np.int64)
+    counted = unique.select("vector").mapInArrow(_counter(centroids), "shard int, own long, asks long").groupBy("shard").agg(F.sum("own"), F.sum("asks"))
+    for shard, n_own, n_asks in counted.collect():  # one row per shard
+        own[shard], asks[shard] = n_own, n_asks
+    parts = np.where(own > MAX_SHARD, -(-own // SHARD), 1)
+    blocks = np.maximum(1, -(-asks // BLOCK))
+    first = np.cumsum(parts * blocks) - parts * blocks
+    n_pieces = int((parts * blocks).sum())
+    pieces = spark.sparkContext.broadcast((parts, blocks, first, own))
+    routed = unique.select("node_id", "vector").mapInArrow(_router(centroids, pieces, k + 1), "piece int, own boolean, asks boolean, node_id long, vector binary")
+    found = routed.repartitionById(min(MAX_TASKS, n_pieces), F.col("piece") % min(MAX_TASKS, n_pieces)).groupBy("piece").applyInArrow(_shard_search(k), FOUND_SCHEMA)
     best = _best(found, k)
     return _with_copies(best, members, k) if has_copies else best
 

@@ -67,7 +67,7 @@ def test_shards_far_too_large_are_cut_into_parts_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "SHARD", 60)
     monkeypatch.setattr(N, "MAX_SHARD", 100)
     fitted = N.fit_centroids
-    monkeypatch.setattr(N, "fit_centroids", lambda points, n: np.concatenate([fitted(points, 2), np.zeros((n - 2, 384), np.float32)]))
+    monkeypatch.setattr(N, "fit_centroids", lambda points, n, total: np.concatenate([fitted(points, 2, total), np.zeros((n - 2, 384), np.float32)]))
     found = N.nearest(vectors(spark, [(i, v, T) for i, v in enumerate(x)]), 10).toPandas()
     got = found.groupby("node_id").neighbour_id.apply(set)
     assert len(got) == 1200 and (found.groupby("node_id").size() == 10).all()
@@ -75,6 +75,39 @@ def test_shards_far_too_large_are_cut_into_parts_and_blocks(spark, monkeypatch):
     assert sum(len(got[i] & set(truth[i])) for i in range(1200)) / 12000 > 0.95
 
 
+def test_recall_over_many_shards(spark, monkeypatch):
+    x = clustered(5000, 8)
+    monkeypatch.setattr(N, "SHARD", 32)
+    monkeypatch.setattr(N, "MAX_SHARD", 96)
+    found = N.nearest(vectors(spark, [(i, v, T) for i, v in enumerate(x)]), 10).where("node_id % 50 = 0").toPandas()
+    got = found.groupby("node_id").neighbour_id.apply(set)
+    truth = brute(x, 10)
+    assert len(got) == 100 and sum(len(got[i] & set(truth[i])) for i in got.index) / 1000 > 0.95
+
+
+def test_centroids_grow_with_the_collection(spark, monkeypatch):
+    monkeypatch.setattr(N, "SAMPLE", 300)  # far fewer than all centroids need
+    points = N.usable_points(vectors(spark, [(i, v, T) for i, v in enumerate(clustered(4000, 9))]))
+    c = N.fit_centroids(points, 100, 4000)
+    assert 80 <= len(c) <= 120 and len(np.unique(c, axis=0)) == len(c) and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-3)
+
+
+def test_many_askers_of_one_shard_come_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    hub = rng.normal(size=384)
+    own = hub + 0.1 * rng.normal(size=(80, 384))
+    others = hub + rng.normal(size=(900, 384)) * 1.3
+    x = np.concatenate([own, others]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(N, "SHARD", 80)
+    monkeypatch.setattr(N, "BLOCK", 100)
+    seen = {}
+    monkeypatch.setattr(N, "_router", lambda c, pieces, enough, inner=N._router: seen.update(zip(("parts", "blocks"), pieces.value)) or inner(c, pieces, enough))
+    got = N.nearest(vectors(spark, [(i, v, T) for i, v in enumerate(x)]), 5).toPandas()
+    assert (got.groupby("node_id").size() == 5).all() and got.node_id.nunique() == 980
+    assert seen["blocks"].max() > 1 and seen["blocks"].sum() >= 980 / 100
+
+
 def test_operator_cases(spark):
     e = np.eye(384)
     later = T + datetime.timedelta(1)
