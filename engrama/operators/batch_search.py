@@ -9,8 +9,6 @@ looked at only for phrases that could match it.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -20,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.functions import scoring
+from engrama.functions.text import phrase_words
 from engrama.operators.relational import in_degree
 from engrama.operators.search import mean_length, token_frame
 from engrama.staging import stage
@@ -30,11 +29,6 @@ BLOCK = 4096
 CELLS = 1 << 20
 
 
-def phrase_words(phrase: str | None) -> list[str]:
-    folded = "".join(c for c in unicodedata.normalize("NFKD", (phrase or "").lower()) if not unicodedata.combining(c))
-    return re.findall(r"[^\W_]+", folded)
-
-
 def vector_search_batch(vectors: DataFrame, queries: Iterable[tuple[int, list[float]]], top_k: int) -> DataFrame:
     """(query_id, node_id, vector_score): exact cosine, the best ``top_k`` nodes of each query."""
     spark = vectors.sparkSession

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,26 @@ def category(path: Column) -> Column:
     return F.coalesce(out, F.lit("unknown"))
 
 
+#: Files of ignore rules in a tree's root; later ones are added to earlier ones.
+IGNORE_FILES = (".gitignore", ".engramaignore")
+
+
+def rules_of(spark: SparkSession, root: str, rules: IgnoreRules | None = None, names: tuple[str, ...] = IGNORE_FILES) -> IgnoreRules:
+    """The given or built-in rules, and those of the ignore files in ``root``."""
+    rules = copy.deepcopy(rules) if rules else IgnoreRules()
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path) and fs.getFileStatus(path).isFile():
+            stream = fs.open(path)
+            try:
+                rules.add(bytes(stream.readAllBytes()).decode("utf-8", "replace").splitlines())
+            finally:
+                stream.close()
+    return rules
+
+
 def files_of(spark: SparkSession, root: str, rules: IgnoreRules | None = None, with_content: bool = False) -> DataFrame:
     """One row per file under ``root`` that the rules let pass, empty and large ones left out.
 
@@ -58,7 +80,7 @@ def _escape(text: str) -> str:
 
 def crawl(spark: SparkSession, root: str, project: str, nodes: DataFrame, rules: IgnoreRules | None = None, with_content: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files with is_new, nodes of deleted files, a report of one row) of one project."""
-    files = files_of(spark, root, rules, with_content).withColumn("project_uuid", F.lit(project))
+    files = files_of(spark, root, rules_of(spark, root, rules), with_content).withColumn("project_uuid", F.lit(project))
     mine = nodes.where(F.col("project_uuid") == project)
     seen = delta.file_delta(files, mine)
     gone = delta.deleted_file_nodes(mine, files.withColumnRenamed("relative_path", "path"))

@@ -52,7 +52,7 @@ def rule_regex(pattern: str) -> str:
 
 def _segment(pattern: str) -> str:
     """The glob within one part of a path."""
-    return _glob(pattern).replace(".*", "[^/]*").replace("(?>[^/]*?", "(?>[^/]*?").replace(".", ".") if "*" in pattern or "?" in pattern else _glob(pattern)
+    return _glob(pattern).replace(".*", "[^/]*")
 
 
 @dataclass

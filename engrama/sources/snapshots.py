@@ -1,7 +1,11 @@
 """Tables at rest: versioned Parquet snapshots with one writer and many readers.
 
-A write goes to a new version folder; then a small pointer file is swapped.  A
-reader keeps the version it has opened, and no job reads what it overwrites.
+A write goes to a new data folder; then a manifest with the next number, which
+lists the data folders of the version, is put in place by one rename.  The
+manifest with the greatest number counts, so there is never a moment without
+one, and a crash leaves the version before.  An append only adds a folder to the
+list; after ``COMPACT_AFTER`` of them the table is written anew.  A reader keeps
+the version it has opened, and no job reads what it overwrites.
 """
 
 from __future__ import annotations
@@ -11,7 +15,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engrama.schemas import SCHEMAS, conform, is_valid
+from engrama.schemas import SCHEMAS, conform, split_valid
+from engrama.staging import stage
+
+COMPACT_AFTER = 32
+#: Tables in which a later row of a key replaces the earlier ones.
+KEYS = {"files": "path", "communities": "id"}
 
 
 class SnapshotStore:
@@ -21,47 +30,81 @@ class SnapshotStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/CURRENT"
-
-    def version(self, table: str) -> str | None:
-        p = self._path(self._pointer(table))
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
+    def _manifests(self, table: str) -> list[int]:
+        folder = self._path(f"{self.root}/{table}/manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = (s.getPath().getName() for s in self._fs.listStatus(folder))
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def version(self, table: str) -> int | None:
+        """Number of the current version; None before the first write."""
+        return max(self._manifests(table), default=None)
+
+    def _folders(self, table: str, version: int | None) -> list[str]:
+        if version is None:
+            return []
+        stream = self._fs.open(self._path(f"{self.root}/{table}/manifests/{version}"))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode().split()
         finally:
             stream.close()
 
-    def read(self, table: str) -> DataFrame:
-        """The current version; an empty table with the fixed schema before the first write."""
-        v = self.version(table)
-        if v is None:
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The current version, or a given one; an empty table with the fixed schema before the first write."""
+        version = self.version(table) if version is None else version
+        folders = self._folders(table, version)
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}/{v}")
-
-    def write(self, table: str, df: DataFrame, partition_by: str | None = None) -> str:
-        v = uuid.uuid4().hex
-        writer = df.write
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{table}/{v}")
-        temporary = self._path(f"{self._pointer(table)}.{v}")
+        parts = [self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}/{f}") for f in folders]
+        key = KEYS.get(table)
+        if key and len(parts) > 1:
+            parts = [part.withColumn("_folder", F.lit(i)) for i, part in enumerate(parts)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        if key and len(parts) > 1:
+            latest = Window.partitionBy(key).orderBy(F.desc("_folder"))
+            out = out.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank", "_folder")
+        return out
+
+    def _put(self, table: str, folders: list[str], after: int | None) -> int:
+        number = 1 if after is None else after + 1
+        temporary = self._path(f"{self.root}/{table}/manifests/.{uuid.uuid4().hex}")
         stream = self._fs.create(temporary, True)
-        stream.write(bytearray(v.encode()))
+        stream.write(bytearray("\n".join(folders).encode()))
         stream.close()
-        self._fs.delete(self._path(self._pointer(table)), False)
-        self._fs.rename(temporary, self._path(self._pointer(table)))
-        return v
+        if not self._fs.rename(temporary, self._path(f"{self.root}/{table}/manifests/{number}")):
+            raise RuntimeError(f"version {number} of {table} was written by someone else")
+        return number
 
-    def reset(self, table: str) -> str:
+    def _data(self, table: str, df: DataFrame, partition_by: str | None = None) -> str:
+        folder = uuid.uuid4().hex
+        writer = df.write
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{table}/{folder}")
+        return folder
+
+    def write(self, table: str, df: DataFrame, partition_by: str | None = None) -> int:
+        return self._put(table, [self._data(table, df, partition_by)], self.version(table))
+
+    def reset(self, table: str) -> int:
         return self.write(table, self.spark.createDataFrame([], SCHEMAS[table]))
 
-    def append(self, table: str, rows: DataFrame, strict: bool = True) -> str:
-        """Add rows that keep the table's constraints; with ``strict`` others are an error."""
-        rows = conform(rows, table)
-        if strict and not rows.where(~is_valid(table)).isEmpty():
+    def append(self, table: str, rows: DataFrame, strict: bool = True) -> DataFrame:
+        """Add the rows that keep the table's constraints; returns the others.
+
+        With ``strict`` there may be no others: they are an error, and nothing is added.
+        """
+        good, bad = split_valid(conform(rows, table), table)
+        good = stage(good, "rows")
+        if strict and not bad.isEmpty():
             raise ValueError(f"rows break the constraints of {table}")
-        return self.write(table, self.read(table).unionByName(rows.where(is_valid(table)), allowMissingColumns=True))
+        now = self.version(table)
+        folders = [*self._folders(table, now), self._data(table, good)]
+        self._put(table, folders, now)
+        if len(folders) > COMPACT_AFTER:
+            self.write(table, self.read(table))
+        return bad
 
 
 def with_ids(rows: DataFrame, existing: DataFrame, order: list[str], column: str = "id") -> DataFrame:
@@ -73,8 +116,6 @@ def with_ids(rows: DataFrame, existing: DataFrame, order: list[str], column: str
     top = int(existing.agg(F.coalesce(F.max(column), F.lit(0))).first()[0])
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     w = Window.partitionBy("_part").orderBy(*order)
-    from engrama.staging import stage
-
     numbered = stage(sorted_rows.withColumn("_n", F.row_number().over(w)), "ids")
     sizes = {r["_part"]: r["count"] for r in numbered.groupBy("_part").count().collect()}  # one row per partition
     offsets, total = {}, top

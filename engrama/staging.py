@@ -9,8 +9,10 @@ small sides are broadcast only after their size is known.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,18 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def staged_within(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, all tables that are staged inside; results must have been written or collected by then."""
+    first = len(_staged)
+    try:
+        yield
+    finally:
+        for owner, path in _staged[first:]:
+            _delete(owner, path)
+        del _staged[first:]
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files behind a staged table that is no longer read."""
     for f in df.inputFiles()[:1]:

@@ -27,16 +27,25 @@ def change_stream(spark: SparkSession, log_dir: str, rules: IgnoreRules | None =
 
 
 def apply_changes(store: SnapshotStore, batch: DataFrame) -> DataFrame:
-    """Bring the tables files and communities up to date with one batch; the changed files."""
+    """Bring the tables files and communities up to date with one batch; the files it names.
+
+    Only rows of these files and their communities are written, as later rows of their keys.
+    """
     from engrama.functions.text import parent_dir
     from engrama.staging import stage
 
     last = current(batch, ["path"], [F.desc("seq")]).select("path", "content", parent_dir(F.col("path"), "root").alias("community_id"))
-    files = stage(changed_files(store.read("files"), last), "files")
-    communities = stage(community_states(store.read("communities"), files).drop("n_dirty"), "communities")
-    store.write("files", files.drop("changed"))
-    store.write("communities", communities)
-    return files.where("changed is not null").select("path", "changed")
+    last = stage(last, "last")
+    before = store.read("files")
+    files = stage(changed_files(before.join(last.select("path"), "path", "left_semi"), last), "files")
+    near = files.select("community_id").where("community_id is not null").distinct()
+    others = before.join(near, "community_id", "left_semi").join(files.select("path"), "path", "left_anti")
+    states = others.select("path", "community_id", "is_dirty").unionByName(files.select("path", "community_id", "is_dirty"))
+    known = store.read("communities").join(near.withColumnRenamed("community_id", "id"), "id", "left_semi")
+    communities = stage(community_states(known, states).drop("n_dirty"), "communities")
+    store.append("files", files.drop("changed"))
+    store.append("communities", communities)
+    return files.select("path", "changed")
 
 
 def watch(changes: DataFrame, store: SnapshotStore, checkpoint: str, callback: Callable[[DataFrame], None] | None = None, available_now: bool = True) -> StreamingQuery:
