@@ -9,8 +9,8 @@ at most ``MARGIN``.  The answers of all shards are merged per query.
 A shard has about ``SHARD`` vectors whatever the collection, so the cost per
 vector does not grow with it.  Centroids are fitted on two levels: as many cells
 as the root of the number of shards, on a sample of ``SAMPLE`` vectors, and the
-shards of each cell on a sample of as many vectors of that cell, so every shard's
-centroid rests on many vectors.  ``MAX_SHARDS`` bounds what is broadcast; beyond
+shards of each cell on a sample of ``PER_SHARD`` vectors a shard of that cell, so
+every shard's centroid rests on as many vectors.  ``MAX_SHARDS`` bounds what is broadcast; beyond
 it, shards grow.  A shard that came out too large is cut by a hash into parts,
 each asked by all of the shard's queries, and the queries of any shard are put
 in blocks of bounded size, whoever asks.  Exact copies of a
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ DIM = 384
 SHARD = 4096
 MAX_SHARD = 3 * SHARD
 SAMPLE = 8_192
+PER_SHARD = 128
 MAX_SHARDS = 65_536
 BLOCK = 2 * SHARD
 #: Tasks that shards are spread over, about one each, for the time a task takes depends on its shards, not its bytes.
@@ -122,8 +124,8 @@ def fit_centroids(points: DataFrame, n_shards: int, total: int) -> np.ndarray:
     sizes = np.zeros(len(cells), np.int64)
     for r in points.select("vector").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         sizes[r["cell"]] = r["n"]  # one row per cell
-    share = np.minimum(1.0, SAMPLE / np.maximum(1, sizes))
     wanted = np.maximum(1, np.rint(n_shards * sizes / max(1, total))).astype(np.int64)
+    share = np.minimum(1.0, PER_SHARD * wanted / np.maximum(1, sizes))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,6 +245,21 @@ def _shard_search(k: int):
     return search
 
 
+def _piece_search(k: int):
+    """The search of all pieces of a task; most tasks have one."""
+    search = _shard_search(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        for piece in pc.unique(table.column("piece")):
+            yield from search(table.filter(pc.equal(table.column("piece"), piece))).to_batches()
+
+    return run
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k best neighbours per node; a node has at most k rows per shard it asked."""
     ranked = F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("d"), F.col("neighbour_id").alias("id"))))
@@ -278,7 +295,8 @@ def nearest(vectors: DataFrame, k: int = 10) -> DataFrame:
     n_pieces = int((parts * blocks).sum())
     pieces = spark.sparkContext.broadcast((parts, blocks, first, own))
     routed = unique.select("node_id", "vector").mapInArrow(_router(centroids, pieces, k + 1), "piece int, own boolean, asks boolean, node_id long, vector binary")
-    found = routed.repartitionById(min(MAX_TASKS, n_pieces), F.col("piece") % min(MAX_TASKS, n_pieces)).groupBy("piece").applyInArrow(_shard_search(k), FOUND_SCHEMA)
+    n_tasks = max(1, min(MAX_TASKS, n_pieces))
+    found = routed.repartitionById(n_tasks, F.col("piece") % n_tasks).mapInArrow(_piece_search(k), FOUND_SCHEMA)
     best = _best(found, k)
     return _with_copies(best, members, k) if has_copies else best
 
