@@ -46,9 +46,9 @@ DIM = 384
 SHARD = 4096
 MAX_SHARD = 3 * SHARD
 SAMPLE = 8_192
-PER_SHARD = 128
+PER_SHARD = 512
 MAX_SHARDS = 65_536
-BLOCK = 2 * SHARD
+BLOCK = 4 * SHARD
 #: Tasks that shards are spread over, about one each, for the time a task takes depends on its shards, not its bytes.
 MAX_TASKS = 20_000
 PROBES = 12
