@@ -9,6 +9,11 @@ markup, escapes and look-alike characters don't matter.
 
 The index is built from blocks of items of at most ``BLOCK_WORDS`` words, so what
 a task holds is bounded however many items there are; each block is one pass.
+Items of equal words are one entry.  A text is looked up as an array of hashed
+windows first; only what hits is read with its places.  A window that more than
+``HOT`` entries hold (an instruction that many items open with) is followed only
+for entries that another window of the text names, or that such windows alone
+could cover; no other entry can leak by it.
 
 Defined cases
 -------------
@@ -26,6 +31,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,6 +43,7 @@ from engrama.llm.batches import bound_batches
 RUN_WORDS = 5
 SHARE = 0.5
 BLOCK_WORDS = 2_000_000
+HOT = 32
 HIT_SCHEMA = "doc_id long, item_id long, covered int, item_words int, spans array<struct<start:int,end:int>>"
 
 #: Letters of other scripts that look like Latin ones.
@@ -50,7 +57,7 @@ LOOK_ALIKES = str.maketrans(
         "’": "'", "‘": "'", "ʼ": "'", "`": "'",
     }
 )
-TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>|<!--|-->|\]\([^)\s]*\)|\{#[^}\n]*\}")
+TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--|-->|\]\([^)\s]*\)|\{#[^}\n]*\}")
 PREFIX = re.compile(
     r"^(?:[ \t]*(?:[>#*+|;%•·–—-]+|//+|/\*+|--+|\.\.|\$|\d{1,6}[.:)|]|\[[\d:.\- TZ/]{3,30}\]|\d{4}-\d\d-\d\d[T ][\d:.]+Z?|\d\d:\d\d(?::\d\d)?|(?:INFO|DEBUG|WARN|WARNING|ERROR|TRACE)\b:?|(?:user|agent|assistant|reviewer|system|human)[ \t]*:|rem\b|dnl\b|L\d+:?)(?=[ \t]|\b|$))+",
     re.I | re.M,
@@ -122,24 +129,52 @@ def chunks_with_offsets(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: A line that may end within a word.
+OPEN_END = re.compile(r"[^\W\d_][-\u00ad\u2010][^\S\n]*\n")
+
+
+def _window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """One number for every ``n`` consecutive ids."""
+    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(out)].astype(np.uint64)
+    return out
+
+
 class ItemIndex:
     """Word numbers and the positions of every run-long gram of the items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.number: dict[str, int] = {}
-        self.length: dict[int, int] = {}
-        self.grams: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         self.cache: dict[str, tuple[int, ...]] = {}
+        entries: dict[tuple[int, ...], list[int]] = {}
         for item_id, text in items:
             words = [w for s, _, _ in chunks_with_offsets(text) for w in plain_words(s)]
-            if not words:
-                continue
-            ids = [self.number.setdefault(w, len(self.number)) for w in words]
+            if words:
+                ids = tuple(self.number.setdefault(w, len(self.number)) for w in words)
+                entries.setdefault(ids, []).append(item_id)
+        self.items = list(entries.values())
+        self.length = [len(ids) for ids in entries]
+        grams: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for entry, ids in enumerate(entries):
             n = min(RUN_WORDS, len(ids))
-            self.length[item_id] = len(ids)
             for k in range(len(ids) - n + 1):
-                self.grams[n][tuple(ids[k : k + n])].append((item_id, k))
-        self.grams = {n: dict(g) for n, g in self.grams.items()}
+                grams[n][ids[k : k + n]].append((entry, k))
+        self.grams = {n: dict(g) for n, g in grams.items()}
+        self.hashes = {n: np.unique(_window_hashes(np.array(list(g), np.int64).ravel(), n)[::n]) for n, g in self.grams.items()}
+        #: Of hot grams: the positions by entry, and the entries that hot grams alone could cover.
+        self.hot: dict[tuple[int, ...], dict[int, list[int]]] = {}
+        covered: dict[int, set[int]] = defaultdict(set)
+        for n, g in self.grams.items():
+            for gram, places in g.items():
+                if len(places) > HOT:
+                    by_entry: dict[int, list[int]] = defaultdict(list)
+                    for entry, k in places:
+                        by_entry[entry].append(k)
+                        covered[entry].update(range(k, k + n))
+                    self.hot[gram] = dict(by_entry)
+        coverable = {e for e, w in covered.items() if len(w) >= SHARE * self.length[e]}
+        self.alone = {gram: coverable & by_entry.keys() for gram, by_entry in self.hot.items()}
 
     def word_numbers(self, chunk: str) -> tuple[int, ...]:
         got = self.cache.get(chunk)
@@ -149,47 +184,72 @@ class ItemIndex:
             got = self.cache[chunk] = tuple(self.number.get(w, -1) for w in plain_words(chunk))
         return got
 
+    def _windows(self, ids: np.ndarray, n: int) -> np.ndarray:
+        """Places where ``n`` known words may be a gram of the items."""
+        if len(ids) < n:
+            return np.zeros(0, np.int64)
+        known = np.cumsum(np.concatenate([[0], ids >= 0]))
+        at = np.flatnonzero(known[n:] - known[:-n] == n)
+        h = _window_hashes(ids, n)[at]
+        place = np.minimum(np.searchsorted(self.hashes[n], h), len(self.hashes[n]) - 1)
+        return at[self.hashes[n][place] == h]
+
+    def may_hold(self, text: str) -> bool:
+        """Whether some window of the text may be a gram; its places are not needed for that."""
+        text = PREFIX.sub(_blank, TAG.sub(_blank, text))
+        if OPEN_END.search(text):
+            return True
+        chunks = text.split()
+        ids = np.fromiter(chain.from_iterable(map(self.word_numbers, chunks)), np.int64)
+        return any(len(self._windows(ids, n)) for n in self.grams)
+
     def find(self, text: str) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
         """(item, words covered, words of the item, spans) of every item that leaked."""
+        if not self.may_hold(text):
+            return []
         ids: list[int] = []
         place: list[tuple[int, int]] = []
         for chunk, a, b in chunks_with_offsets(text):
             got = self.word_numbers(chunk)
             ids.extend(got)
             place.extend([(a, b)] * len(got))
+        array = np.array(ids, np.int64)
         runs: dict[int, list[list[int]]] = defaultdict(list)
         for n, grams in self.grams.items():
+            hits = [(int(at), gram) for at in self._windows(array, n) if (gram := tuple(ids[at : at + n])) in grams]
+            named = {e for _, gram in hits for e in (self.alone[gram] if gram in self.hot else [e for e, _ in grams[gram]])}
             open_runs: dict[tuple[int, int], list[int]] = {}
-            gap = -1
-            for i, w in enumerate(ids):
-                if w < 0:
-                    gap = i
-                    continue
-                at = i - n + 1
-                if at <= gap:
-                    continue
-                hits = grams.get(tuple(ids[at : i + 1]))
-                if not hits:
-                    continue
-                for item, pos in hits:
-                    run = open_runs.pop((item, pos - at), None)
+            for at, gram in hits:
+                for entry, pos in self._places(grams, gram, named):
+                    run = open_runs.pop((entry, pos - at), None)
                     if run is not None and run[1] + run[2] == at + n - 1:
                         run[2] += 1
                     else:
                         run = [pos, at, n]
-                        runs[item].append(run)
-                    open_runs[item, pos - at] = run
+                        runs[entry].append(run)
+                    open_runs[entry, pos - at] = run
         out = []
-        for item, found in runs.items():
-            n = self.length[item]
+        for entry, found in runs.items():
+            n = self.length[entry]
             if len({p + k for p, _, m in found for k in range(m)}) < SHARE * n:
                 continue
             covered = covered_words(found, n, min(RUN_WORDS, n))
             if covered >= SHARE * n:
                 spans = sorted({(place[a][0], place[a + m - 1][1]) for _, a, m in found})
-                out.append((item, covered, n, spans))
+                out += [(item, covered, n, spans) for item in self.items[entry]]
         return out
 
+    def _places(self, grams: dict, gram: tuple[int, ...], named: set[int]) -> Iterator[tuple[int, int]]:
+        """Positions of a gram in the entries that can leak."""
+        by_entry = self.hot.get(gram)
+        if by_entry is None:
+            yield from grams[gram]
+            return
+        for entry in named if len(named) < len(by_entry) else by_entry:
+            if entry in named:
+                for pos in by_entry.get(entry, ()):
+                    yield entry, pos
+
 
 def covered_words(runs: list[list[int]], n: int, least: int) -> int:
     """Most words of an item of ``n`` words covered by runs of at least ``least``, in the order of both sides.
@@ -282,3 +342,8 @@ def without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "n_removed": counts})
 
     return docs.select("doc_id", "text").join(spans, "doc_id").mapInPandas(cut, "doc_id long, text string, n_removed long")
+
+
+def without_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents that hold no test passage, with all their columns; rows of a null id stay."""
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

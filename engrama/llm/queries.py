@@ -95,6 +95,12 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_spans(docs, p8_leaks(spark, d))
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold no test passage."""
+    docs = table(spark, d, "documents")
+    return leakage.without_documents(docs.select("doc_id", "text"), p8_leaks(spark, d)).select("doc_id")
+
+
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     """Reading level of every text."""
     docs = table(spark, d, "documents")
@@ -108,7 +114,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p5_found, p5_credentials, p5_redacted, p6_found, p6_files, p7_pack, p7_fill, p8_found, p8_leaks, p8_clean, p9_found, p9_levels)
+    for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p5_found, p5_credentials, p5_redacted, p6_found, p6_files, p7_pack, p7_fill, p8_found, p8_leaks, p8_clean, p8_kept, p9_found, p9_levels)
 }
 
 SQL = {

@@ -70,3 +70,28 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     whole = sorted(r.item_id for r in L.leaks(docs, items).collect())
     monkeypatch.setattr(L, "BLOCK_WORDS", 40)
     assert sorted(r.item_id for r in L.leaks(docs, items).collect()) == whole == list(range(8))
+
+
+def test_windows_of_many_items_change_nothing(monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    head = "answer the question below in one short sentence"
+    items = [(i, f"{head} {' '.join(rng.choice(words) for _ in range(rng.randrange(2, 22)))}") for i in range(60)] + [(100, head), (101, head), (102, f"{head} please")]
+    plain = L.ItemIndex(items)
+    monkeypatch.setattr(L, "HOT", 2)
+    hot = L.ItemIndex(items)
+    assert len(hot.hot) >= 4 and not plain.hot or len(plain.hot) < len(hot.hot)
+    for k in range(200):
+        i = rng.randrange(60)
+        own = items[i][1].split()
+        text = " ".join([rng.choice(words) for _ in range(9)] + (own if k % 3 == 0 else own[rng.randrange(6) :] if k % 3 == 1 else head.split()) + [rng.choice(words) for _ in range(9)])
+        assert sorted(plain.find(text)) == sorted(hot.find(text)), text
+    monkeypatch.setattr(L, "HOT", 10**9)
+    none = L.ItemIndex(items)
+    assert sorted(none.find(head)) == sorted(hot.find(head)) and {100, 101, 102} <= {i for i, *_ in hot.find(head)}
+
+
+def test_documents_can_be_removed(spark):
+    docs = spark.createDataFrame([(1, f"x {ITEM} y", 7, 7), (2, None, 7, 7), (3, "other", 7, 7), (None, "z", 1, 1)], DOCS)
+    got = L.leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.covered) for r in L.without_documents(docs, got).collect()) == [(0, 1), (2, 7), (3, 7)]
