@@ -46,6 +46,15 @@ def embedded(rows: DataFrame, text: str, function: Callable[[str], list[float] |
     return rows.mapInPandas(run, schema)
 
 
+def fact_vectors(facts: DataFrame, function: Callable[[str], list[float] | None] = hashed_embedding) -> DataFrame:
+    """Episodic rows (doc_id ``fact_<id>``, embedding, metadata) of facts."""
+    meta = F.create_map(
+        F.lit("scope_type"), F.col("scope_type"), F.lit("scope_id"), F.col("scope_id"), F.lit("timestamp"), F.col("t_valid").cast("string"), F.lit("utility_alpha"), F.col("utility_alpha").cast("string"), F.lit("utility_beta"), F.col("utility_beta").cast("string"),
+    )
+    rows = facts.select(F.concat(F.lit("fact_"), F.col("id").cast("string")).alias("doc_id"), "fact_statement", meta.alias("metadata"))
+    return embedded(rows, "fact_statement", function).where("embedding is not null").select("doc_id", "embedding", "metadata")
+
+
 def vectors_of(nodes: DataFrame, function: Callable[[str], list[float] | None] = hashed_embedding) -> DataFrame:
     """Vector rows (doc_id, embedding, node_id, project_uuid) of nodes with content."""
     n = nodes.where("content is not null and content <> ''").select(F.concat(F.lit("node_"), F.col("id").cast("string")).alias("doc_id"), F.col("id").alias("node_id"), "project_uuid", "content")

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engrama.operators import audit, chunking, delta, embed, facts, graph, relational, search
+from engrama.functions.text import detected_tags
+from engrama.operators import audit, chunking, delta, embed, facts, graph, relational, search, summarise
 from engrama.sources import crawl as crawling
 from engrama.sources import snapshots
 from engrama.sources.ignore import IgnoreRules
@@ -56,7 +57,7 @@ def status(projects: DataFrame, nodes: DataFrame, edges: DataFrame, commits: Dat
 def wake_up(projects: DataFrame, nodes: DataFrame, edges: DataFrame, commits: DataFrame, wings: DataFrame, fact_rows: DataFrame) -> DataFrame:
     """Per project: status, resume, the last five commits and the active facts of its folder name."""
     st = stage(status(projects, nodes, edges, commits, wings), "status")
-    five = recent(commits).groupBy("project_uuid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phase", "technical_changes"))), lambda x: F.struct(x["phase"].alias("phase"), x["technical_changes"].alias("changes"))).alias("commits"))
+    five = recent(commits).groupBy("project_uuid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phase", "technical_changes"))), lambda x: F.struct(x["phase"].alias("phase"), x["technical_changes"].alias("changes"))).alias("last_commits"))
     f = facts.active_facts(fact_rows).where("scope_type = 'user'").groupBy(F.col("scope_id").alias("folder_name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "fact_statement"))), lambda x: x["fact_statement"]).alias("facts"))
     return st.join(resume(projects, st), "project_uuid").join(five, "project_uuid", "left").join(f, "folder_name", "left")
 
@@ -100,11 +101,16 @@ def remove_wing(wings: DataFrame, project: str, wing: str) -> DataFrame:
     return wings.where(~((F.col("project_uuid") == project) & (F.col("wing_name") == wing)))
 
 
-def mine(spark: SparkSession, root: str, project: str, tables: dict[str, DataFrame], now: Column, rules: IgnoreRules | None = None, embedder: Callable = embed.hashed_embedding) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Ingest a source tree: crawl, chunk, reuse, number, link, embed, collect garbage.
+def mine(
+    spark: SparkSession, root: str, project: str, tables: dict[str, DataFrame], now: Column, rules: IgnoreRules | None = None, embedder: Callable = embed.hashed_embedding,
+    call: Callable[[str], str] | None = None, auto_tag: bool = True,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Ingest a source tree: crawl, chunk, reuse, summarise, number, link, embed, collect garbage.
 
     Returns the tables ``nodes``, ``edges`` and ``vectors`` after it, and the crawl's
-    report.  Nothing is parsed that has not changed.
+    report.  Nothing is parsed or summarised that has not changed; without a function
+    ``call`` a summary is an extract.  With ``auto_tag`` nodes get the tags found in
+    their text, and those the function gives.
     """
     nodes, edges, vectors = tables["nodes"], tables["edges"], tables["vectors"]
     files, gone, report = crawling.crawl(spark, root, project, nodes, rules, with_content=True)
@@ -127,6 +133,10 @@ def mine(spark: SparkSession, root: str, project: str, tables: dict[str, DataFra
     )
     new = new.withColumn("node_type", F.when(F.col("kind").isin("CLASS", "FUNCTION", "METHOD"), F.col("kind")).otherwise("MODULE")).withColumn("status", F.lit("ACTIVE")).drop("kind")
     new = new.withColumn("type", F.when(F.col("label") == F.col("source_file"), F.lit("file")).otherwise(F.col("type")))
+    told = cached.where("not cached").select(F.concat_ws("\n", "label", F.coalesce("symbol_name", F.lit(""))).alias("source_label"), F.coalesce("content", F.lit("")).alias("content"), F.when(F.lit(auto_tag), detected_tags(F.coalesce("content", F.lit("")), F.col("category"))).otherwise(F.array().cast("array<string>")).alias("detected_tags"))
+    told = summarise.summarise_chunks(told, call).groupBy("source_label").agg(F.min(F.struct("summary", "detected_tags")).alias("s"))
+    told = stage(told.select(F.col("source_label").alias("_key"), "s.summary", F.when(F.lit(auto_tag), F.to_json("s.detected_tags")).alias("tags")), "summaries")
+    new = new.withColumn("_key", F.concat_ws("\n", "label", F.coalesce("symbol_name", F.lit("")))).join(told, "_key", "left").drop("_key")
     numbered = stage(snapshots.with_ids(new, tables["nodes"], ["label", "symbol_name"]), "numbered")
     all_nodes = stage(tables["nodes"].unionByName(numbered.drop("calls", "source_file", "symbol_name"), allowMissingColumns=True), "nodes")
     symbols = all_nodes.where(F.col("project_uuid") == project).where(F.col("label").contains("::")).select(F.col("id").alias("node_id"), F.split("label", "::", 2)[0].alias("path"), F.split("label", "::", 2)[1].alias("name"))
@@ -155,9 +165,28 @@ def on_execution(results: DataFrame, nodes: DataFrame, max_results: int = 5) ->
 
 
 def on_done(draft: dict, commits: DataFrame, nodes: DataFrame, project: str, now: Column, generate: Callable[[str], dict] | None = None, judge: Callable[[dict], dict] | None = None) -> tuple[DataFrame, DataFrame, dict]:
-    """Audit a draft and, once approved, commit it with its audit flags."""
+    """Audit a draft and, once approved, commit it with its audit flags; see ``learned`` for an error in it."""
     verdict = audit.audit_with_retry(draft, generate, judge)
     if verdict["approved"]:
         commits, nodes = commit_memory(commits, nodes, project, draft["phase"], draft["technical_changes"], draft["updated_pointers"], now, draft.get("node_ids"), True, verdict["partial_audit"])
     return commits, nodes, verdict
 
+
+def learned(trajectories: DataFrame, project: str, draft: dict, now: Column) -> DataFrame:
+    """The trajectories with what a finished draft tells of an error and its solution, if it tells of one."""
+    if not (draft.get("error") or "").strip():
+        return trajectories
+    row = trajectories.sparkSession.createDataFrame(
+        [(project, draft.get("prompt") or draft["phase"], draft["technical_changes"], draft["error"], draft.get("solution"))], "project_uuid string, prompt_origem string, tentativa_execucao string, erro_encontrado string, solucao_aplicada string"
+    )
+    row = snapshots.with_ids(row, trajectories, ["project_uuid"]).withColumn("status", F.lit("ACTIVE")).withColumn("created_at", now)
+    return trajectories.unionByName(row, allowMissingColumns=True)
+
+
+def trajectories_of(trajectories: DataFrame, project: str | None = None, status: str | None = None) -> DataFrame:
+    """Trajectories, of one project or status, newest first."""
+    for column, value in (("project_uuid", project), ("status", status)):
+        if value is not None:
+            trajectories = trajectories.where(F.col(column) == value)
+    return trajectories.orderBy(F.desc("created_at"), F.desc("id"))
+

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engrama.staging import stage, unstage
+from engrama.staging import Levels, stage
 
 SCHEMA = "node_id long, root_id long, depth int, path array<long>"
 
@@ -48,37 +48,31 @@ def containment_links(edges: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(links: DataFrame) -> DataFrame:
+def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
     """One row per id of ``links(holder, item)``: node_id, root_id, depth, path.
 
-    ``path`` lists the ids from the root to the node itself.
+    ``path`` lists the ids from the root to the node itself; without ``with_path`` it
+    is left null, and its bytes, which grow with the sum of all depths, unwritten.
+    All levels are parts of one table, so the result is a single scan however deep
+    the trees are, and the number of rows written tells when to end.
     """
     spark = links.sparkSession
     degree = links.groupBy("item").agg(F.count(F.lit(1)).alias("n_holders"))
     linked = stage(links.select("holder", "item").join(degree, "item").select("holder", "item", "n_holders"), "links")
     several = not linked.where("n_holders > 1").isEmpty()
+    levels = Levels(spark, SCHEMA)
 
     roots = linked.select("holder").distinct().join(linked.select(F.col("item").alias("holder")), "holder", "left_anti")
-    frontier = stage(
-        roots.select(
-            F.col("holder").alias("node_id"),
-            F.col("holder").alias("root_id"),
-            F.lit(0).alias("depth"),
-            F.array("holder").alias("path"),
-        ),
-        "level",
-    )
-    levels, waiting = [frontier], None
-    while not frontier.isEmpty():
+    path = F.array("holder") if with_path else F.lit(None).cast("array<long>")
+    levels.add(roots.select(F.col("holder").alias("node_id"), F.col("holder").alias("root_id"), F.lit(0).alias("depth"), path.alias("path")))
+    waiting = None
+    while levels.last_rows:
+        frontier = levels.last()
+        longer = F.concat("path", F.array("item")) if with_path else F.lit(None).cast("array<long>")
         reached = linked.join(frontier, linked["holder"] == frontier["node_id"]).select(
             F.col("item").alias("node_id"),
             "n_holders",
-            F.struct(
-                (F.col("depth") + 1).alias("depth"),
-                "root_id",
-                F.col("holder"),
-                F.concat("path", F.array("item")).alias("path"),
-            ).alias("best"),
+            F.struct((F.col("depth") + 1).alias("depth"), "root_id", F.col("holder"), longer.alias("path")).alias("best"),
         )
         new = reached.where("n_holders = 1") if several else reached
         new = new.select("node_id", "best.root_id", "best.depth", "best.path")
@@ -93,17 +87,12 @@ def hierarchy(links: DataFrame) -> DataFrame:
             new = new.unionByName(
                 held.where("got = n_holders").select("node_id", "best.root_id", "best.depth", "best.path")
             )
-        frontier = stage(new, "level")
-        levels.append(frontier)
+        levels.add(new)
 
-    done = levels[0]
-    for level in levels[1:-1]:
-        done = done.unionByName(level)
+    done = levels.all()
     open_links = stage(linked.join(done.select(F.col("node_id").alias("item")), "item", "left_anti").select("holder", "item"), "open")
     looped = open_links.join(open_links.select(F.col("item").alias("holder")).distinct(), "holder", "left_semi")
     pointers = stage(looped.groupBy(F.col("item").alias("node_id")).agg(F.min("holder").alias("next")), "loops")
-    if len(levels) > 1:
-        unstage(levels[-1])  # the empty one
     if pointers.isEmpty():
         return done
     bad = loop_minimum(pointers).select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import typing
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +14,9 @@ from engrama.functions import scoring
 from engrama.functions.text import n_tokens, normal, phrase_hits
 from engrama.operators.relational import in_degree
 
+if typing.TYPE_CHECKING:
+    from engrama.operators.text_index import TextIndex
+
 SYMBOL_ORDER = ("class", "function", "method")
 
 
@@ -119,13 +125,16 @@ def hybrid_search(
     scope: DataFrame | None = None,
     node_type: str | None = None,
     top_k: int = 10,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """The flagship query: vectors and phrase, recency and centrality in one ranking.
 
     Text is limited to the anchor project, vectors to the whole scope.  Without
     a query vector or a collection it is a text search with vector scores of 0.
+    With a stored ``index`` no text is read.
     """
-    text = text_search(token_frame(nodes), phrase, text_project, node_type).select(F.col("id").alias("node_id"), F.col("bm25_score").alias("text_score"))
+    found = index.search(phrase, text_project, node_type) if index else text_search(token_frame(nodes), phrase, text_project, node_type)
+    text = found.select(F.col("id").alias("node_id"), F.col("bm25_score").alias("text_score"))
     if vectors is None or query is None:
         merged = text.select("node_id", F.lit(0.0).alias("vector_score"), "text_score")
     else:
@@ -151,6 +160,15 @@ def rerank(results: DataFrame, max_results: int = 5, share: float = 0.30) -> Dat
     return first.withColumn("_best", best).where((F.col("score_final") >= share * F.col("_best")) | (F.col("score_final") == F.col("_best"))).drop("_best")
 
 
+def rerank_judged(results: DataFrame, judge: Callable[[int], float], max_results: int = 5, least: float = 0.5) -> DataFrame:
+    """The first ``max_results``, then those an injected function finds relevant enough, most relevant first; never none."""
+    first = results.orderBy(F.desc("score_final"), F.asc("node_id")).limit(max_results)
+    udf = F.pandas_udf(lambda s: s.map(lambda i: float(judge(int(i)))), "double")
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("relevance"), F.desc("score_final"), F.asc("node_id"))  # at most ``max_results`` rows
+    ranked = first.withColumn("relevance", udf("node_id")).withColumn("_r", F.row_number().over(w))
+    return ranked.where((F.col("relevance") >= least) | (F.col("_r") == 1)).drop("_r").orderBy(F.desc("relevance"), F.desc("score_final"), F.asc("node_id"))
+
+
 def self_healed(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Hits (id, score) whose file still exists, in order; the limit came before."""
     return hits.join(files.select(F.col("path").alias("id")).distinct(), "id", "left_semi").orderBy(F.desc("score"), "id")

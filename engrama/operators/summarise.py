@@ -9,17 +9,58 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engrama.functions.text import extractive_summary
+from engrama.functions.text import extractive_summary, parent_dir
 from engrama.operators.facts import parse_decision
-from engrama.operators.relational import clusters, relevance
+from engrama.operators.relational import consolidated_tags, parsed_tags, relevance
+from engrama.staging import stage
 
 MAX_TRIES = 3
 L0_TOKENS = 1000
 PRUNE_BELOW = 0.15
 GROUP_SIZE, GROUP_TOKENS = 5, 50
+#: Texts that one call of an injected function gets at most; more are summarised in steps.
+FAN = 500
 L0_SCHEMA = "source_label string, summary string, detected_tags array<string>, relevance_score double, source_chunks int, is_dumb_summary boolean"
 
 
+def tree_texts(rows: DataFrame, keys: list[str], order: str, call: Callable[[str], str] | None = None, fan: int = FAN) -> DataFrame:
+    """(keys, text): the lines ``text`` of each key, in order, as one text or as the function's summary of it.
+
+    A key with more than ``fan`` lines is cut into parts of consecutive lines; each
+    part becomes one text, and the texts of the parts are joined, or summarised, in
+    turn, so no task ever holds a key as a whole while a function shortens it.
+    """
+    level = stage(rows.select(*keys, F.col(order).alias("_at"), "text").where("text is not null"), "lines")
+    done = None
+    while True:
+        large = stage(level.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fan).select(*keys), "large")
+        more = not large.isEmpty()
+        small = level.join(large, keys, "left_anti") if more else level
+        texts = _joined(small, keys, call)
+        done = texts if done is None else done.unionByName(texts)
+        if not more:
+            return done
+        parts = _parts(level.join(large, keys, "left_semi"), keys, fan)
+        level = stage(_joined(parts, [*keys, "_part"], call).withColumnRenamed("_part", "_at"), "lines")
+
+
+def _joined(level: DataFrame, keys: list[str], call: Callable[[str], str] | None) -> DataFrame:
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"])
+    out = level.groupBy(*keys).agg(F.array_join(lines, "\n").alias("text"))
+    return out if call is None else out.withColumn("text", F.pandas_udf(lambda s: s.map(call), "string")("text"))
+
+
+def _parts(level: DataFrame, keys: list[str], fan: int) -> DataFrame:
+    """Lines with the number of their part, ``fan`` consecutive ones of a key in each; counts per range of the order come first."""
+    ranged = stage(level.repartitionByRange(*keys, "_at").sortWithinPartitions(*keys, "_at").withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    within = Window.partitionBy(*keys, "_range").orderBy("_at", "text")
+    place = F.row_number().over(within) - 1 + F.col("_before")
+    return ranged.join(sizes.drop("_n"), [*keys, "_range"]).withColumn("_part", F.floor(place / fan).cast("long")).drop("_range", "_before")
+
+
 def summarise_chunks(chunks: DataFrame, call: Callable[[str], str] | None = None) -> DataFrame:
     """``L0_SCHEMA`` of chunks (source_label, content, detected_tags).
 
@@ -84,14 +125,23 @@ def summarise_grouped(chunks: DataFrame, call: Callable[[str], str]) -> DataFram
     return chunks.select("source_label", "content").where("content is not null").mapInPandas(run, "source_label string, summary string")
 
 
-def summarise_directories(l0: DataFrame, call: Callable[[str], str] | None = None) -> DataFrame:
-    """One summary per parent directory with its tags and relevance."""
-    c = clusters(l0)
-    text = F.array_join("summaries", "\n")
-    if call is not None:
-        text = F.pandas_udf(lambda s: s.map(call), "string")(text)
-    score = relevance(F.col("source_chunks"), F.col("tags"), F.col("any_dumb"))
-    return c.select(F.col("cluster").alias("source_label"), text.alias("summary"), F.col("tags").alias("detected_tags"), score.alias("relevance_score"), "source_chunks", F.col("any_dumb").alias("is_dumb_summary"))
+def summarise_directories(l0: DataFrame, call: Callable[[str], str] | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """One summary per parent directory (of each ``within``) with its tags and relevance."""
+    keys = [*within, "cluster"]
+    d = l0.withColumn("cluster", parent_dir(F.col("source_label"), "<root>"))
+    texts = tree_texts(d.select(*keys, "source_label", F.col("summary").alias("text")), keys, "source_label", call)
+    tags = consolidated_tags(d, keys)
+    sizes = d.groupBy(*keys).agg(F.sum("source_chunks").alias("source_chunks"), F.bool_or("is_dumb_summary").alias("is_dumb_summary"))
+    out = sizes.join(texts, keys, "left").join(tags, keys, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    score = relevance(F.col("source_chunks"), F.col("tags"), F.col("is_dumb_summary"))
+    return out.select(*within, F.col("cluster").alias("source_label"), F.coalesce("text", F.lit("")).alias("summary"), F.col("tags").alias("detected_tags"), score.alias("relevance_score"), "source_chunks", "is_dumb_summary")
+
+
+def pruned_within(summaries: DataFrame, key: str, threshold: float = PRUNE_BELOW) -> DataFrame:
+    """Per key the summaries of at least the threshold, or else its best one (ties: the first by label)."""
+    best = summaries.groupBy(key).agg(F.min(F.struct((-F.col("relevance_score")).alias("s"), F.col("source_label").alias("l"))).alias("_best"))
+    j = summaries.join(best, key)
+    return j.where((F.col("relevance_score") >= threshold) | ((F.col("_best.l") == F.col("source_label")) & (-F.col("_best.s") < threshold))).drop("_best")
 
 
 def pruned(summaries: DataFrame, threshold: float = PRUNE_BELOW) -> DataFrame:
@@ -102,23 +152,46 @@ def pruned(summaries: DataFrame, threshold: float = PRUNE_BELOW) -> DataFrame:
     return kept.unionByName(top.where(F.col("relevance_score") < threshold))
 
 
-def summarise_project(l1: DataFrame, call: Callable[[str], str] | None = None) -> str:
-    """One text for a project out of its directories' summaries."""
-    rows = pruned(l1).orderBy("source_label").select("source_label", "summary").collect()  # one row per directory of a project
-    text = "\n".join(f"{r['source_label']}: {r['summary']}" for r in rows)
-    return call(text) if call else text
+def summarise_projects(l1: DataFrame, call: Callable[[str], str] | None = None) -> DataFrame:
+    """(project_uuid, summary, tags, n_modules) out of the directories' summaries of each project, the irrelevant ones left out."""
+    kept = stage(pruned_within(l1, "project_uuid"), "modules")
+    line = F.format_string("- [%s] (relevance=%.2f): %s", "source_label", "relevance_score", "summary")
+    texts = tree_texts(kept.select("project_uuid", "source_label", line.alias("text")), ["project_uuid"], "source_label", call)
+    counts = kept.groupBy("project_uuid").agg(F.count(F.lit(1)).alias("n_modules"))
+    out = texts.withColumnRenamed("text", "summary").join(counts, "project_uuid")
+    return out.join(consolidated_tags(kept, ["project_uuid"]), "project_uuid", "left").select("project_uuid", "summary", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "n_modules")
+
+
+def project_contexts(projects: DataFrame, nodes: DataFrame, call: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Summaries of directories and of projects out of the stored summaries of their nodes.
+
+    Returns the projects with their summary replaced where there is a new one, and a
+    report (project_uuid, l1_count, n_modules, l2_summary, l2_tags).  Nodes that stand
+    for directories, clusters or projects, or have no summary, say nothing.
+    """
+    told = nodes.where(~F.coalesce("type", F.lit("")).isin("directory", "cluster", "project") & (F.coalesce("summary", F.lit("")) != "") & F.col("label").isNotNull())
+    l0 = told.select("project_uuid", F.col("label").alias("source_label"), "summary", F.coalesce(parsed_tags(F.col("tags")), F.array().cast("array<string>")).alias("detected_tags"), F.lit(1).cast("long").alias("source_chunks"), F.lit(False).alias("is_dumb_summary"))
+    l1 = stage(summarise_directories(l0.where("project_uuid is not null"), call, ("project_uuid",)), "l1")
+    l2 = stage(summarise_projects(l1, call), "l2")
+    report = l1.groupBy("project_uuid").agg(F.count(F.lit(1)).alias("l1_count")).join(l2, "project_uuid", "left")
+    new = l2.select(F.col("project_uuid").alias("uuid"), F.col("summary").alias("_summary"))
+    stored = projects.join(new, "uuid", "left").withColumn("summary", F.coalesce("_summary", "summary")).select(*projects.columns)
+    return stored, report.select("project_uuid", "l1_count", "n_modules", F.col("summary").alias("l2_summary"), F.col("tags").alias("l2_tags"))
 
 
 def community_text(files: DataFrame) -> DataFrame:
     """(id, text): contents of a community's files, joined in the order of their paths."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda x: x["content"])
-    return files.where("community_id is not null").groupBy(F.col("community_id").alias("id")).agg(F.array_join(parts, "\n").alias("text"))
+    rows = files.where("community_id is not null").select(F.col("community_id").alias("id"), "path", F.col("content").alias("text"))
+    return tree_texts(rows, ["id"], "path")
 
 
 def refreshed_communities(communities: DataFrame, files: DataFrame, call: Callable[[str], str]) -> DataFrame:
     """Communities with a new summary where they are dirty or have none; the others keep theirs, unasked."""
     stale = F.col("is_dirty") | F.col("summary_text").isNull() | (F.col("summary_text") == "")
-    need = communities.where(stale).select("id").join(community_text(files), "id", "left")
-    udf = F.pandas_udf(lambda s: s.map(lambda t: call(t or "")), "string")
-    new = need.select("id", udf("text").alias("_new"))
+    need = stage(communities.where(stale).select("id"), "need")
+    mine = files.withColumnRenamed("community_id", "id").join(need, "id", "left_semi").select("id", "path", F.col("content").alias("text"))
+    texts = tree_texts(mine, ["id"], "path", call)
+    none = F.pandas_udf(lambda s: s.map(lambda _: call("")), "string")
+    bare = need.join(texts, "id", "left_anti").select("id", none("id").alias("text"))
+    new = texts.unionByName(bare).withColumnRenamed("text", "_new")
     return communities.join(new, "id", "left").select("id", F.coalesce("_new", "summary_text").alias("summary_text"), F.when(stale, F.lit(False)).otherwise(F.col("is_dirty")).alias("is_dirty"))

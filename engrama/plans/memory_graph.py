@@ -408,9 +408,10 @@ def cached_chunks(spark: SparkSession, d: str) -> DataFrame:
     return delta.cached_chunks(c, B.nodes(spark, d)).select("chunk_id", "cached")
 
 
-@query("SELECT doc_id, node_id FROM cv WHERE node_id IS NULL OR node_id NOT IN (SELECT id FROM cn)", CN, CV)
+@query("SELECT doc_id, node_id FROM cv WHERE node_id IS NULL OR node_id NOT IN (SELECT id FROM cn WHERE id % 13 <> 0)", CN, CV)
 def orphan_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return delta.orphan_vectors(B.vectors(spark, d), B.nodes(spark, d))
+    """Vectors that are orphans once every thirteenth node is gone."""
+    return delta.orphan_vectors(B.vectors(spark, d), B.nodes(spark, d).where("id % 13 <> 0"))
 
 
 @query("SELECT id, project_uuid, label FROM cn WHERE status = 'ACTIVE' AND content <> '' AND id NOT IN (SELECT node_id FROM cv WHERE node_id IS NOT NULL)", CN, CV)
@@ -431,10 +432,9 @@ def signature_hashes(spark: SparkSession, d: str) -> DataFrame:
     return B.nodes(spark, d).where("content is not null").select("id", text.signature_hash(F.col("content")).alias("ssh"))
 
 
-@query("SELECT id, 'community_' || split_part(label, '::', 1) AS community, nullif(split_part(label, '::', 2), '') AS symbol FROM cn WHERE type = 'function'", CN)
+@query("SELECT id, 'community_' || split_part(label, '::', 1) AS community, nullif(split_part(label, '::', 2), '') AS symbol FROM cn", CN)
 def label_parts(spark: SparkSession, d: str) -> DataFrame:
-    n = B.nodes(spark, d).where("type = 'function'")
-    return n.select("id", F.concat(F.lit("community_"), text.label_path(F.col("label"))).alias("community"), text.label_symbol(F.col("label")).alias("symbol"))
+    return B.nodes(spark, d).select("id", F.concat(F.lit("community_"), text.label_path(F.col("label"))).alias("community"), text.label_symbol(F.col("label")).alias("symbol"))
 
 
 @query("SELECT id, CAST(greatest(1, length(content) // 4) AS INTEGER) AS tokens FROM cn WHERE content IS NOT NULL", CN)
@@ -562,10 +562,10 @@ def privacy_flows(spark: SparkSession, d: str) -> DataFrame:
     return e.select("source_id", "target_id", audit.is_safe_flow(F.col("a"), F.col("b")).alias("safe"))
 
 
-@query("SELECT id, status AS old_status, 'ARCHIVED' AS new_status, status IN ('ACTIVE', 'STALE') AS allowed FROM cn", CN)
+@query("SELECT id, status AS old_status, to_ AS new_status, (status, to_) IN (('ACTIVE', 'STALE'), ('ACTIVE', 'ARCHIVED'), ('STALE', 'ACTIVE'), ('STALE', 'ARCHIVED')) AS allowed FROM cn, (VALUES ('ACTIVE'), ('STALE'), ('ARCHIVED'), ('GONE')) AS v(to_)", CN)
 def status_changes(spark: SparkSession, d: str) -> DataFrame:
     n = B.nodes(spark, d)
-    return audit.status_changes(n, n.select("id", F.lit("ARCHIVED").alias("new_status")))
+    return audit.status_changes(n, n.select("id", F.explode(F.array(*map(F.lit, ("ACTIVE", "STALE", "ARCHIVED", "GONE")))).alias("new_status")))
 
 
 @query(
@@ -589,18 +589,6 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return watch.sessions(table(spark, d, "events"), "30 minutes", "1 hour", "user_id").drop("session_end")
 
 
-@query()
-def community_insights(spark: SparkSession, d: str) -> DataFrame:
-    n = B.nodes(spark, d)
-    return maintenance.community_summaries(n, stage(graph.communities(n, B.edges(spark, d)), "communities"))
-
-
-@query()
-def maintenance_report(spark: SparkSession, d: str) -> DataFrame:
-    t = {"nodes": B.nodes(spark, d), "edges": B.edges(spark, d), "vectors": B.vectors(spark, d)}
-    return maintenance.run_maintenance(t, B.now())[1]
-
-
 # --- writes, sources and composites ---------------------------------------------------
 
 
@@ -658,11 +646,12 @@ def numbered_rows(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.with_ids(table(spark, d, "documents").select("doc_id"), B.nodes(spark, d).select("id"), ["doc_id"])
 
 
-@query("SELECT doc_id, CAST(len(embedding) AS INTEGER) AS dim FROM cv WHERE embedding IS NOT NULL UNION ALL SELECT 'vec_' || vec_id, CAST(len(embedding) AS INTEGER) FROM embeddings", CV)
+@query("SELECT doc_id, CAST(len(embedding) AS INTEGER) AS dim, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM (SELECT doc_id, embedding FROM cv WHERE embedding IS NOT NULL UNION ALL SELECT 'vec_' || vec_id, embedding FROM embeddings)", CV)
 def vectors_after_upsert(spark: SparkSession, d: str) -> DataFrame:
     new = table(spark, d, "embeddings").select(F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("doc_id"), "embedding")
     old = B.vectors(spark, d).select("doc_id", "embedding").where("embedding is not null")
-    return snapshots.upsert_vectors(old, new).select("doc_id", F.size("embedding").alias("dim"))
+    ends = [F.try_element_at("embedding", F.lit(i)).cast("double").alias(name) for i, name in ((1, "first"), (-1, "last"))]
+    return snapshots.upsert_vectors(old, new).select("doc_id", F.size("embedding").alias("dim"), *ends)
 
 
 @query()

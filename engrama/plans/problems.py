@@ -11,13 +11,13 @@ from engrama.staging import stage
 from engrama.tables import table
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(H.containment_links(table(spark, d, "edges")))
+def _tree(spark: SparkSession, d: str, with_path: bool = True) -> DataFrame:
+    return H.hierarchy(H.containment_links(table(spark, d, "edges")), with_path)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Depth and root of every id in a containment edge; -1 on or below a loop."""
-    return _tree(spark, d).select("node_id", "root_id", "depth")
+    return _tree(spark, d, with_path=False).select("node_id", "root_id", "depth")
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:

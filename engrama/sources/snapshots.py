@@ -11,6 +11,7 @@ the version it has opened, and no job reads what it overwrites.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,10 @@ class SnapshotStore:
     def write(self, table: str, df: DataFrame, partition_by: str | None = None) -> int:
         return self._put(table, [self._data(table, df, partition_by)], self.version(table))
 
+    def transform(self, table: str, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Write what a function makes of the current version; readers see the old one until then."""
+        return self.write(table, change(self.read(table)))
+
     def reset(self, table: str) -> int:
         return self.write(table, self.spark.createDataFrame([], SCHEMAS[table]))
 

@@ -14,7 +14,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_root: str | None = None
 _staged: list[tuple[SparkSession, str]] = []
@@ -59,10 +60,29 @@ def staged_within(spark: SparkSession) -> Iterator[None]:
         del _staged[first:]
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files behind a staged table that is no longer read."""
-    for f in df.inputFiles()[:1]:
-        _delete(df.sparkSession, f.rsplit("/", 1)[0])
+class Levels:
+    """A staged table that grows by a level at a time, each a folder of it."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self._spark, self._schema = spark, schema
+        self._path = f"{shared_root(spark)}/levels-{uuid.uuid4().hex}"
+        self._n = self.last_rows = 0
+        _staged.append((spark, self._path))
+
+    def add(self, df: DataFrame) -> None:
+        """Write one more level; ``last_rows`` is the number of its rows, counted as they are written."""
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        counted.write.option("compression", "zstd").parquet(f"{self._path}/level={self._n:06d}")
+        self._n += 1
+        self.last_rows = int(seen.get.get("n") or 0)
+
+    def last(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(f"{self._path}/level={self._n - 1:06d}")
+
+    def all(self) -> DataFrame:
+        """All levels in one scan."""
+        return self._spark.read.schema(self._schema).parquet(self._path).drop("level")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

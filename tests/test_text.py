@@ -123,7 +123,17 @@ def test_summaries_with_and_without_a_function(spark):
     group = lambda t: json.dumps({"summaries": [{"index": 0, "summary": "g"}]}) if t.startswith("[") else '{"summary": "own"}'
     assert sorted(r.summary for r in summarise.summarise_grouped(c.coalesce(1), group).collect()) == ["g", "own"]
     l1 = summarise.summarise_directories(summarise.summarise_chunks(c))
-    assert summarise.pruned(l1, 0.9).count() == 1 and summarise.summarise_project(l1)
+    assert summarise.pruned(l1, 0.9).count() == 1
+    l2 = summarise.summarise_projects(l1.withColumn("project_uuid", F.lit("p"))).collect()
+    assert len(l2) == 1 and l2[0].n_modules == 1 and l2[0].summary.startswith("- [<root>] (relevance=0.04): ")
+
+
+def test_large_keys_are_summarised_in_steps(spark):
+    rows = spark.createDataFrame([("a", i, f"a{i}") for i in range(50)] + [("b", i, f"b{i}") for i in range(3)] + [("c", 1, None)], "k string, n long, text string")
+    got = {r.k: r.text for r in summarise.tree_texts(rows, ["k"], "n", fan=7).collect()}
+    assert got == {"a": "\n".join(f"a{i}" for i in range(50)), "b": "b0\nb1\nb2"}
+    sizes = {r.k: r.text for r in summarise.tree_texts(rows, ["k"], "n", lambda t: str(t.count("\n") + 1), fan=7).collect()}
+    assert int(sizes["b"]) == 3 and int(sizes["a"]) <= 7
 
 
 def test_community_summary_is_asked_only_when_needed(spark):
@@ -174,3 +184,23 @@ def test_checkpoints_and_memory(spark):
     m = facts.seeded_memory(spark.createDataFrame([(1, "user", "u", "b", "old", t(0))], SCHEMAS["user_core_memory"]), {("user", "u", "b"): "new", ("org", "o", "c"): "x"}, F.lit(t(5)))
     assert rows(facts.core_memory(m), "block_label", "content") == [("b", "new"), ("c", "x")]
     assert facts.memory_blocks(facts.core_memory(m), "user", "u", "b").first().content == "new"
+
+
+def test_phrases_and_texts_are_folded_alike(spark):
+    from engrama.operators import search
+
+    n = spark.createDataFrame([(1, "Ștefan és főnök", None, None), (2, "ștefan Çağ", None, None), (3, "μέθοδος Ёлка", None, None)], "id long, label string, tags string, summary string")
+    t = search.token_frame(n)
+    hits = lambda p: rows(search.phrase_matches(t, p), "id")
+    assert hits("ştefan") == hits("stefan") == [(1,), (2,)] and hits("főnök") == hits("FONOK") == [(1,)] and hits("cag") == [(2,)] and hits("μεθοδος елка") == hits("Μέθοδος ёлка") == [(3,)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab./*?", min_size=1, max_size=6), st.text(alphabet="ab./", min_size=1, max_size=6))
+def test_rules_within_a_name_match_as_globs(pattern, name):
+    import fnmatch
+
+    if "/" in pattern or "/" in name or "**" in pattern or pattern.strip(".") == "":
+        return
+    rules = IgnoreRules(general=[pattern])
+    assert rules.matches(name) == fnmatch.fnmatchcase(name, pattern)
