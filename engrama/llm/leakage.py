@@ -130,7 +130,7 @@ def chunks_with_offsets(text: str) -> list[tuple[str, int, int]]:
 
 
 #: A line that may end within a word.
-OPEN_END = re.compile(r"[^\W\d_][-\u00ad\u2010][^\S\n]*\n")
+OPEN_END = re.compile(r"[-\u00ad\u2010](?<=[^\W\d_].)[^\S\n]*\n")
 
 
 def _window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -194,19 +194,22 @@ class ItemIndex:
         place = np.minimum(np.searchsorted(self.hashes[n], h), len(self.hashes[n]) - 1)
         return at[self.hashes[n][place] == h]
 
-    def may_hold(self, text: str) -> bool:
-        """Whether some window of the text may be a gram; its places are not needed for that."""
-        text = PREFIX.sub(_blank, TAG.sub(_blank, text))
-        if OPEN_END.search(text):
-            return True
-        chunks = text.split()
-        ids = np.fromiter(chain.from_iterable(map(self.word_numbers, chunks)), np.int64)
-        return any(len(self._windows(ids, n)) for n in self.grams)
+    def may_hold(self, texts: list[str]) -> np.ndarray:
+        """Which of the texts have a window that may be a gram; all are looked up as one array."""
+        sure, ids, ends = [], [], []
+        for text in texts:
+            text = PREFIX.sub(_blank, TAG.sub(_blank, text))
+            sure.append(OPEN_END.search(text) is not None)
+            ids.extend(chain.from_iterable(map(self.word_numbers, text.split())))
+            ids.append(-1)
+            ends.append(len(ids))
+        array, out = np.array(ids, np.int64), np.array(sure, bool)
+        for n in self.grams:
+            out[np.searchsorted(ends, self._windows(array, n), side="right")] = True
+        return out
 
     def find(self, text: str) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
         """(item, words covered, words of the item, spans) of every item that leaked."""
-        if not self.may_hold(text):
-            return []
         ids: list[int] = []
         place: list[tuple[int, int]] = []
         for chunk, a, b in chunks_with_offsets(text):
@@ -316,7 +319,8 @@ def _scanner(held):
         index = _indexes[key]
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            some = index.may_hold(list(pdf["text"]))
+            for doc_id, text in zip(pdf["doc_id"][some], pdf["text"][some]):
                 rows += [(doc_id, item, c, n, [{"start": a, "end": b} for a, b in spans]) for item, c, n, spans in index.find(text)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "covered", "item_words", "spans"])
 
