@@ -46,18 +46,44 @@ def call_chain(ast_edges: DataFrame, start: str, depth_limit: int = 5) -> DataFr
     return seen.where(F.col("node") != start)
 
 
-def communities(nodes: DataFrame, edges: DataFrame, threshold: int = 10, max_hops: int = 5) -> DataFrame:
-    """(anchor_id, member_id): per super-node what it reaches, in either direction, over active nodes of its project.
-
-    All anchors advance together, keyed by (anchor, node).
-    """
+def _anchors_and_steps(nodes: DataFrame, edges: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The super-nodes, and the links in either direction onto active nodes with the project of these."""
     anchors = super_nodes(nodes, edges, threshold).select(F.col("id").alias("anchor_id"), F.col("id").alias("member_id"), "project_uuid")
     active = nodes.where("status = 'ACTIVE'").select(F.col("id").alias("_to"), F.col("project_uuid").alias("_project"))
     both = edges.select(F.col("source_id").alias("_from"), F.col("target_id").alias("_to")).unionByName(
         edges.select(F.col("target_id").alias("_from"), F.col("source_id").alias("_to"))
     )
-    step = stage(both.where("_from <> _to").distinct().join(active, "_to"), "steps")
-    seen = stage(anchors, "members")
+    return stage(anchors, "members"), stage(both.where("_from <> _to").distinct().join(active, "_to"), "steps")
+
+
+def nearest_communities(nodes: DataFrame, edges: DataFrame, threshold: int = 10, max_hops: int = 5) -> DataFrame:
+    """(member_id, anchor_id, hops): every reached node once, with its nearest super-node (ties: the smallest id).
+
+    As ``communities``, but linear in the nodes: a node is settled when it is first
+    reached, so super-nodes that reach the same nodes don't multiply them.
+    """
+    anchors, step = _anchors_and_steps(nodes, edges, threshold)
+    frontier = seen = stage(anchors.select("anchor_id", "member_id", "project_uuid", F.lit(0).alias("hops")), "nearest")
+    for hop in range(1, max_hops + 1):
+        nxt = (
+            frontier.join(step, (F.col("member_id") == F.col("_from")) & (F.col("project_uuid") == F.col("_project")))
+            .groupBy(F.col("_to").alias("member_id"), "project_uuid").agg(F.min("anchor_id").alias("anchor_id"))
+        )
+        nxt = nxt.join(seen.select("member_id"), "member_id", "left_anti")
+        frontier = stage(nxt.select("anchor_id", "member_id", "project_uuid", F.lit(hop).alias("hops")), "nearest")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.select("member_id", "anchor_id", "hops")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, threshold: int = 10, max_hops: int = 5) -> DataFrame:
+    """(anchor_id, member_id): per super-node what it reaches, in either direction, over active nodes of its project.
+
+    All anchors advance together, keyed by (anchor, node).  The rows are those asked
+    for, one per super-node and node; ``nearest_communities`` has each node once.
+    """
+    seen, step = _anchors_and_steps(nodes, edges, threshold)
     frontier = seen
     for _ in range(max_hops):
         nxt = (

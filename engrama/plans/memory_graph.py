@@ -452,7 +452,11 @@ def armored_contents(spark: SparkSession, d: str) -> DataFrame:
     return B.nodes(spark, d).where("content is not null").select("id", text.armored(F.col("content")).alias("armored"))
 
 
-@query()
+@query(
+    r"""SELECT id, '[DUMB] ' || CASE WHEN length(t) > 200 THEN regexp_replace(substring(t, 1, 200), ' [^ ]*$', '') || '...' ELSE t END AS summary
+FROM (SELECT id, array_to_string(list_filter(string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(x) <> ''), chr(10)) AS t FROM cn WHERE content IS NOT NULL)""",
+    CN,
+)
 def extractive_summaries(spark: SparkSession, d: str) -> DataFrame:
     return B.nodes(spark, d).where("content is not null").select("id", text.extractive_summary(F.col("content"), 50).alias("summary"))
 
@@ -654,11 +658,20 @@ def vectors_after_upsert(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.upsert_vectors(old, new).select("doc_id", F.size("embedding").alias("dim"), *ends)
 
 
-@query()
+@query(
+    """SELECT p.uuid AS project_uuid, CAST(coalesce(n.n, 0) AS BIGINT) AS nodes, n.t AS by_type, CAST(coalesce(e.n, 0) AS BIGINT) AS edges, CAST(1 AS BIGINT) AS commits, p.primary_wing AS wings, p.privacy_level AS phase
+FROM cp p LEFT JOIN (SELECT project_uuid, sum(k) AS n, string_agg(node_type || ':' || k, ',' ORDER BY node_type) AS t FROM (SELECT project_uuid, node_type, count(*) AS k FROM cn GROUP BY ALL) GROUP BY 1) n ON n.project_uuid = p.uuid
+LEFT JOIN (SELECT s.project_uuid, count(*) AS n FROM ce JOIN cn s ON s.id = ce.source_id GROUP BY 1) e ON e.project_uuid = p.uuid""",
+    CN, CE, CP,
+)
 def project_status(spark: SparkSession, d: str) -> DataFrame:
-    commits = _commits(spark, d).withColumn("project_uuid", F.col("project_uuid").cast("string"))
-    wings = B.projects(spark, d).select(F.col("uuid").alias("project_uuid"), F.col("primary_wing").alias("wing_name"))
-    return facade.status(B.projects(spark, d), B.nodes(spark, d), B.edges(spark, d), commits, wings)
+    """Projects stand for their own commit and wing."""
+    p = B.projects(spark, d)
+    commits = p.select(F.xxhash64("uuid").alias("id"), F.col("uuid").alias("project_uuid"), F.col("privacy_level").alias("phase"), "created_at")
+    wings = p.select(F.col("uuid").alias("project_uuid"), F.col("primary_wing").alias("wing_name"))
+    s = facade.status(p, B.nodes(spark, d), B.edges(spark, d), commits, wings)
+    types = F.array_join(F.transform(F.map_entries("by_type"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return s.select("project_uuid", "nodes", types.alias("by_type"), "edges", "commits", F.array_join("wings", ",").alias("wings"), "phase")
 
 
 @query(
@@ -690,7 +703,19 @@ def query_set(spark: SparkSession, d: str) -> Iterator[tuple[int, str, list[floa
         yield r["node_id"], " ".join(batch_search.phrase_words(r["t"])[:2]), list(r["embedding"])
 
 
-@query()
+_BATCH = f"""qs AS (SELECT v.node_id AS query_id, CAST(v.embedding AS DOUBLE[]) AS e, list_filter(string_split_regex(strip_accents(lower(coalesce(n.summary, n.label, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')[1:2] AS w
+  FROM cv v LEFT JOIN cn n ON n.id = v.node_id WHERE v.node_id % {QUERY_STEP} = 0 AND len(v.embedding) = 384 AND list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) > 0),
+bv AS (SELECT query_id, node_id, max(s) AS v FROM (SELECT q.query_id, v.node_id, round(greatest(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), q.e), 0.0), 4) AS s FROM qs q, cv v WHERE len(v.embedding) = 384 AND list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) > 0) GROUP BY query_id, node_id
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, node_id) <= 30),
+bh AS (SELECT query_id, id, dl, {' + '.join(f"len(list_filter(range(1, len({c}) + 1), lambda i: {c}[i] = w[1] AND (len(w) = 1 OR {c}[i + 1] = w[2])))" for c in ('tl', 'tt', 'ts'))} AS f FROM qs, (SELECT id, tl, tt, ts, len(tl) + len(tt) + len(ts) AS dl FROM tk) WHERE len(w) > 0),
+br AS (SELECT query_id, id, f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(len(tl) + len(tt) + len(ts)) FROM tk))) AS raw FROM bh WHERE f > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) <= 20),
+bt AS (SELECT query_id, id AS node_id, round(CAST(raw / max(raw) OVER (PARTITION BY query_id) AS DOUBLE), 4) AS t FROM br),
+bm AS (SELECT query_id, node_id, coalesce(v, 0.0) AS v, coalesce(t, 0.0) AS t FROM bv FULL JOIN bt USING (query_id, node_id)),
+bs AS (SELECT m.query_id, m.node_id, round(0.5 * m.v + 0.25 * m.t + 0.25 * greatest({_recency_sql('n.last_commit_at')}, CAST(least(coalesce(g.n, 0) / 10.0, 1.0) AS DOUBLE)) + 1e-9, 4) AS score_final
+  FROM bm m LEFT JOIN cn n ON n.id = m.node_id LEFT JOIN (SELECT target_id, count(*) AS n FROM ce GROUP BY 1) g ON g.target_id = m.node_id)"""
+
+
+@query("SELECT query_id, node_id, score_final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score_final DESC, node_id) AS INTEGER) AS rank FROM bs QUALIFY rank <= 10", CN, CE, CV, _TOKENS, _BATCH)
 def hybrid_search_batch(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid queries of a whole query set in one plan."""
     return batch_search.hybrid_search_batch(B.nodes(spark, d), B.edges(spark, d), B.vectors(spark, d), query_set(spark, d), B.now())

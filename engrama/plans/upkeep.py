@@ -366,6 +366,11 @@ def community_insights(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("tags", F.array_join("tags", ","))
 
 
+@query("SELECT member_id, best.anchor AS anchor_id, CAST(best.hop AS INTEGER) AS hops FROM (SELECT member_id, min({'hop': hop, 'anchor': anchor_id}) AS best FROM m GROUP BY 1)", CN, CE, _COMMUNITIES, recursive=True)
+def nearest_communities(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nearest_communities(B.nodes(spark, d), B.edges(spark, d))
+
+
 @query("SELECT anchor_id AS target_id, count(*) || ' members' AS summary, CAST(1 AS BIGINT) AS n_edges FROM co GROUP BY 1", CN, CE, _COMMUNITIES, recursive=True)
 def community_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges from the insights, which a function made of all their members, to the super-nodes."""
