@@ -25,6 +25,12 @@ BRACED = {
 BRACED |= {"h": BRACED["c"], "cpp": BRACED["c"], "hpp": BRACED["c"], "cs": BRACED["java"], "kt": BRACED["java"]}
 CALL = re.compile(r"\b([A-Za-z_][\w.]*)\s*\(")
 DECLARED = re.compile(r"^(?:export\s+(?:default\s+)?)?(?:(class)\s+(\w+)|(?:async\s+)?function\s*\*?\s*(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>)", re.M)
+QUOTED_OR_REMARK = re.compile(r"""//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`""", re.S)
+#: Single quotes hold strings in scripts, but one character elsewhere, where they also begin names.
+SCRIPT_QUOTED = re.compile(r"'(?:\\.|[^'\\\n])*'|" + QUOTED_OR_REMARK.pattern, re.S)
+BRACE = re.compile(r"[{}]")
+#: Words before a parenthesis that call nothing.
+NO_CALLS = {"if", "for", "while", "switch", "return", "func", "function", "match", "catch", "typeof", "await", "new", "super", "constructor"}
 
 
 def estimate(text: str) -> int:
@@ -104,44 +110,52 @@ def script_chunks(text: str, max_tokens: int) -> list[tuple] | None:
         return None
     out: list[tuple] = []
     head = text[: found[0].start()].strip()
+    code = masked(text, SCRIPT_QUOTED)
+    ends = brace_ends(code)
     for m in found:
-        end, depth, opened = m.end(), 0, False
-        for i in range(m.start(), len(text)):
-            ch = text[i]
-            if ch == "{":
-                depth, opened = depth + 1, True
-            elif ch == "}":
-                depth -= 1
-                if opened and depth <= 0:
-                    end = i + 1
-                    break
-            elif ch == ";" and not opened and i >= m.end():
-                end = i + 1
-                break
+        opened, stop = code.find("{", m.start()), code.find(";", m.end())
+        if stop >= 0 and (opened < 0 or stop < opened):
+            end = stop + 1
         else:
-            end = len(text)
+            end = ends.get(opened, len(text))
         start_line = text.count("\n", 0, m.start()) + 1
         body = text[m.start() : end]
-        out += sized("class" if m[1] else "function", m[2] or m[3] or m[4], start_line, start_line + body.count("\n"), body, [], max_tokens)
+        calls = [] if m[1] else called_names(code[m.end() : end])
+        out += sized("class" if m[1] else "function", m[2] or m[3] or m[4], start_line, start_line + body.count("\n"), body, calls, max_tokens)
     if head:
         out.append(("module", "<module>", 1, head.count("\n") + 1, head, []))
     return out
 
 
-def closing(text: str, start: int, after: int) -> int:
-    """Where the declaration at ``start`` ends: behind its closing brace, or its line if it has none."""
+def masked(text: str, marks: re.Pattern = QUOTED_OR_REMARK) -> str:
+    """The text with strings and comments blanked, so that braces and calls in them don't count."""
+    return marks.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def brace_ends(code: str) -> dict[int, int]:
+    """Of every opening brace that is closed: the place behind its closing one."""
+    out, held = {}, []
+    for m in BRACE.finditer(code):
+        if m[0] == "{":
+            held.append(m.start())
+        elif held:
+            out[held.pop()] = m.end()
+    return out
+
+
+def called_names(code: str) -> list[str]:
+    return sorted({c for c in CALL.findall(code) if c not in NO_CALLS})
+
+
+def closing(text: str, ends: dict[int, int], after: int) -> int:
+    """Where a declaration ends: behind its closing brace, or its line if it has none."""
     opened = text.find("{", after)
     line = text.find("\n", after)
     line = len(text) if line < 0 else line
     stop = text.find(";", after, line)
     if opened < 0 or (opened > line and text[after:opened].strip()) or (0 <= stop < opened):
         return line
-    depth = 0
-    for i in range(opened, len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
-        if depth == 0:
-            return i + 1
-    return len(text)
+    return ends.get(opened, len(text))
 
 
 def braced_chunks(text: str, pattern: re.Pattern, max_tokens: int) -> list[tuple] | None:
@@ -149,10 +163,12 @@ def braced_chunks(text: str, pattern: re.Pattern, max_tokens: int) -> list[tuple
     found = list(pattern.finditer(text))
     if not found:
         return None
+    code = masked(text)
+    ends = brace_ends(code)
     out: list[tuple] = []
     outside, last, owner = [], 0, ("", 0)
     for m in found:
-        end = closing(text, m.start(), m.end())
+        end = closing(code, ends, m.end())
         g = m.groupdict()
         name, kind = (g["c"], "class") if g.get("c") else (g["f"], "function")
         if name in ("if", "for", "while", "switch", "return", "else", "catch"):
@@ -164,7 +180,7 @@ def braced_chunks(text: str, pattern: re.Pattern, max_tokens: int) -> list[tuple
             name, kind = f"{holder}.{name}", "method"
         first = text.count("\n", 0, m.start()) + 1
         body = text[m.start() : end]
-        calls = sorted({c for c in CALL.findall(body[len(m[0]) :]) if c not in ("if", "for", "while", "switch", "return", "func", "match")}) if kind != "class" else []
+        calls = called_names(code[m.end() : end]) if kind != "class" else []
         out += sized(kind, name, first, first + body.count("\n"), body, calls, max_tokens)
         if m.start() >= last:
             outside.append(text[last : m.start()])

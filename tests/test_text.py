@@ -204,3 +204,13 @@ def test_rules_within_a_name_match_as_globs(pattern, name):
         return
     rules = IgnoreRules(general=[pattern])
     assert rules.matches(name) == fnmatch.fnmatchcase(name, pattern)
+
+
+def test_scripts_give_calls_and_whole_bodies():
+    source = "import { a } from './a';\nexport function one(x) {\n  const s = 'a } b' + `}`;\n  // } not the end\n  return two(x) + lib.three(x);\n}\nconst four = (y) => one(y);\nclass K {\n  m() { return one(1); }\n}\n"
+    got = {n: (kind, body, calls) for kind, n, _, _, body, calls in chunking.script_chunks(source, 512)}
+    assert got["one"][1].endswith("lib.three(x);\n}") and set(got["one"][2]) >= {"two", "lib.three"} and got["four"][2] == ["one"] and got["K"][0] == "class"
+    go = 'package p\n\nfunc Run(x int) {\n\tprint("}")\n\tother(x)\n}\n\nfunc Next() {\n\tRun(1)\n}\n'
+    names = {n: calls for _, n, _, _, _, calls in chunking.chunk_text("a.go", go)}
+    assert "other" in names["Run"] and names["Next"] == ["Run"]
+    assert len(chunking.script_chunks("function f() {\n" * 300 + "}" * 300, 10**9)) == 300
