@@ -27,6 +27,7 @@ SCHEMAS = {
     "user_core_memory": "id long, scope_type string, scope_id string, block_label string, content string, updated_at timestamp",
     "semantic_facts": "id long, scope_type string, scope_id string, fact_statement string, t_valid timestamp, t_invalid timestamp, utility_alpha double, utility_beta double, created_at timestamp",
     "agent_checkpoints": "agent_id string, session_id string, checkpoint_id string, state_blob string, created_at timestamp, seq long",
+    "maintenance_reports": "skipped_idle_lock boolean, decayed long, archived long, orphan_vectors long, embedded_vectors long, communities long, contexts long, finished_at timestamp",
     "files": "path string, content string, ssh_hash string, is_dirty boolean, community_id string",
     "communities": "id string, summary_text string, is_dirty boolean",
     "vectors": "doc_id string, embedding array<float>, node_id long, project_uuid string, metadata map<string,string>",

@@ -60,10 +60,23 @@ def watch(changes: DataFrame, store: SnapshotStore, checkpoint: str, callback: C
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
-def maintenance_loop(spark: SparkSession, job: Callable[[], DataFrame], checkpoint: str, seconds: int = 300) -> StreamingQuery:
-    """Call a maintenance job every ``seconds``; its report is what it returns."""
+def maintenance_loop(spark: SparkSession, job: Callable[[], DataFrame], checkpoint: str, seconds: int = 300, history: SnapshotStore | None = None, stopped: Callable[[], bool] = lambda: False) -> StreamingQuery:
+    """Call a maintenance job every ``seconds``, until the query is stopped; nothing is done while ``stopped`` says so.
+
+    The report that the job returns is added to the table ``maintenance_reports`` of ``history``.
+    """
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return ticks.writeStream.foreachBatch(lambda batch, i: job().collect()).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).start()
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if stopped():
+            return
+        report = job()
+        if history is None:
+            report.collect()
+        else:
+            history.append("maintenance_reports", report.withColumn("finished_at", F.current_timestamp()))
+
+    return ticks.writeStream.foreachBatch(run).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).start()
 
 
 def windowed_counts(events: DataFrame, window: str, late: str, keys: list[str], ts: str = "ts") -> DataFrame:

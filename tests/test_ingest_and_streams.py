@@ -1,5 +1,6 @@
 import datetime
 import json
+import time
 
 from helpers import rows
 from pyspark.sql import functions as F
@@ -79,3 +80,37 @@ def test_windows_and_sessions(spark):
     assert rows(watch.sessions(e, "30 minutes", "1 hour", "user_id"), "user_id", "n_events") == [(1, 1), (1, 2), (2, 1)]
     i = spark.createDataFrame([(t(0), False), (t(0), True)], "s timestamp, f boolean").select(watch.idle(F.col("s"), F.col("f"), F.lit(t(1))).alias("v"), watch.idle(F.col("s"), F.col("f"), F.lit(t(50))).alias("w"))
     assert rows(i) == [(False, True), (True, True)]
+
+
+def test_maintenance_reports_are_kept(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    job = lambda: spark.createDataFrame([(False, 1, 2)], "skipped_idle_lock boolean, decayed long, archived long")
+    stop = []
+    q = watch.maintenance_loop(spark, job, f"file://{tmp_path}/ck", 1, store, lambda: bool(stop))
+    end = time.time() + 60
+    while store.read("maintenance_reports").count() < 2 and time.time() < end:
+        time.sleep(0.5)
+    stop.append(1)
+    q.stop()
+    got = store.read("maintenance_reports").collect()
+    assert len(got) >= 2 and {(r.decayed, r.archived, r.contexts) for r in got} == {(1, 2, None)} and all(r.finished_at for r in got)
+
+
+def test_ignore_files_of_a_tree_are_obeyed(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    for name in ("src/a.py", "src/b.tmpx", "src/keep.tmpx", "c.mdx"):
+        (tmp_path / name).write_text("x = 1")
+    (tmp_path / ".gitignore").write_text("*.tmpx\n!keep.tmpx\n")
+    (tmp_path / ".engramaignore").write_text("c.mdx\n")
+    files, _, _ = crawl.crawl(spark, str(tmp_path), "p", spark.createDataFrame([], SCHEMAS["nodes"]))
+    assert sorted(r.relative_path for r in files.collect()) == ["src/a.py", "src/keep.tmpx"]
+
+
+def test_ingest_stores_summaries_and_tags(spark, tmp_path):
+    (tmp_path / "a.py").write_text("import fastapi\n\ndef f():\n    return 1\n")
+    empty = {"nodes": spark.createDataFrame([], SCHEMAS["nodes"]), "edges": spark.createDataFrame([], SCHEMAS["edges"]), "vectors": spark.createDataFrame([], "doc_id string, embedding array<float>, node_id long, project_uuid string")}
+    out, _ = facade.mine(spark, str(tmp_path), "p", empty, NOW, call=lambda t: json.dumps({"summary": f"{len(t)} long", "tags": ["told"]}))
+    got = {r.label: (r.summary, r.tags) for r in out["nodes"].collect()}
+    assert got["a.py::f"] == ("21 long", '["told"]') and "fastapi" in json.loads(got["a.py"][1]) and got["a.py"][0] == "14 long"
+    plain, _ = facade.mine(spark, str(tmp_path), "p", empty, NOW, auto_tag=False)
+    assert all(r.summary.startswith("[DUMB] ") and r.tags is None for r in plain["nodes"].collect())
