@@ -77,7 +77,7 @@ TOOL = re.compile(
 )
 #: What each alternative of ``TOOL`` and of ``NOTICE`` holds, for a first look.
 TOOL_WORDS = ("generated", "made", "produced", "gerado", "overwritten", "lost", "discarded")
-NOTICE_WORDS = ("upstream", "@licen", "from", "copyright")
+NOTICE_WORDS = ("upstream", "@licen", "copied", "taken", "imported", "vendored", "bundled", "copyright")
 STRING = re.compile(r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'""")
 #: Digits, and hex values that stand outside of strings.
 DIGITS = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|(?=[a-fA-F]*\d)[0-9a-fA-F]{6,})\b|\d+")
@@ -151,8 +151,8 @@ def marked(text: str, low: str, words: tuple[str, ...], mark: re.Pattern, whole_
     return False
 
 
-def is_generated(text: str, lines: list[str]) -> bool:
-    if marked(text, text.lower(), TOOL_WORDS, TOOL, WHOLE_FILE, DENIED):
+def is_generated(text: str, lines: list[str], low: str | None = None) -> bool:
+    if marked(text, text.lower() if low is None else low, TOOL_WORDS, TOOL, WHOLE_FILE, DENIED):
         return True
     if len(lines) < REPEATED_LINES:
         return False
@@ -192,11 +192,8 @@ def traits(text: str) -> tuple[bool, bool, bool, bool, np.ndarray]:
     """(generated, minified, data, notice of a distribution, fingerprints)."""
     code = COMMENT.sub(" ", PEM.sub(" ", text) if "-----BEGIN" in text else text)
     lines = [x for x in (y.strip() for y in code.splitlines()) if x]
-    return is_generated(text, lines), is_minified(code, lines), is_data(code), is_notice(text), fingerprints(code)
-
-
-def is_notice(text: str) -> bool:
-    return marked(text, text.lower(), NOTICE_WORDS, NOTICE)
+    low = text.lower()
+    return is_generated(text, lines, low), is_minified(code, lines), is_data(code), marked(text, low, NOTICE_WORDS, NOTICE), fingerprints(code)
 
 
 def _trait_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
