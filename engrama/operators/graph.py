@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engrama.functions.text import label_path, parent_dir
+from engrama.operators.communities import Graph, pairs
 from engrama.operators.relational import super_nodes
 from engrama.staging import stage
 
@@ -80,22 +81,10 @@ def nearest_communities(nodes: DataFrame, edges: DataFrame, threshold: int = 10,
 def communities(nodes: DataFrame, edges: DataFrame, threshold: int = 10, max_hops: int = 5) -> DataFrame:
     """(anchor_id, member_id): per super-node what it reaches, in either direction, over active nodes of its project.
 
-    All anchors advance together, keyed by (anchor, node).  The rows are those asked
-    for, one per super-node and node; ``nearest_communities`` has each node once.
+    The rows are those asked for, one per super-node and node, made by the last step
+    (see ``communities.Graph``); ``nearest_communities`` has each node once.
     """
-    seen, step = _anchors_and_steps(nodes, edges, threshold)
-    frontier = seen
-    for _ in range(max_hops):
-        nxt = (
-            frontier.join(step, (F.col("member_id") == F.col("_from")) & (F.col("project_uuid") == F.col("_project")))
-            .select("anchor_id", F.col("_to").alias("member_id"), "project_uuid")
-            .distinct()
-        )
-        frontier = stage(nxt.join(seen.select("anchor_id", "member_id"), ["anchor_id", "member_id"], "left_anti"), "members")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen.select("anchor_id", "member_id")
+    return pairs(Graph(nodes, edges, threshold), max_hops)
 
 
 def natural_communities(files: DataFrame, path: str = "path") -> DataFrame:
