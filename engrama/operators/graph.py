@@ -87,6 +87,28 @@ def communities(nodes: DataFrame, edges: DataFrame, threshold: int = 10, max_hop
     return pairs(Graph(nodes, edges, threshold), max_hops)
 
 
+def greatest_communities(nodes: DataFrame, edges: DataFrame, threshold: int = 10, max_hops: int = 5) -> DataFrame:
+    """(member_id, anchor_id): every node that a super-node reaches once, with the greatest of these.
+
+    As the greatest ``anchor_id`` of ``communities`` per node, but linear in the nodes:
+    a node passes on the greatest super-node that it knows whenever it learns a greater one.
+    """
+    anchors, step = _anchors_and_steps(nodes, edges, threshold)
+    frontier = best = anchors
+    for _ in range(max_hops):
+        nxt = (
+            frontier.join(step, (F.col("member_id") == F.col("_from")) & (F.col("project_uuid") == F.col("_project")))
+            .groupBy(F.col("_to").alias("member_id"), "project_uuid").agg(F.max("anchor_id").alias("anchor_id"))
+        )
+        known = best.groupBy("member_id").agg(F.max("anchor_id").alias("_known"))
+        nxt = nxt.join(known, "member_id", "left").where("_known is null or anchor_id > _known")
+        frontier = stage(nxt.select("anchor_id", "member_id", "project_uuid"), "greatest")
+        if frontier.isEmpty():
+            break
+        best = best.unionByName(frontier)
+    return best.groupBy("member_id").agg(F.max("anchor_id").alias("anchor_id"))
+
+
 def natural_communities(files: DataFrame, path: str = "path") -> DataFrame:
     """Files with the directory that is their community; ``root`` without one."""
     return files.withColumn("community_id", parent_dir(F.col(path), "root"))

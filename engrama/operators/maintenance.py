@@ -85,7 +85,10 @@ def insight_edges(edges: DataFrame, nodes: DataFrame, summaries: DataFrame) -> D
 
 
 def with_community_ids(vectors: DataFrame, members: DataFrame) -> DataFrame:
-    """Vectors with ``community_id`` in their metadata; of several communities the one with the greatest anchor, as the last one written."""
+    """Vectors with ``community_id`` in their metadata; of several communities the one with the greatest anchor, as the last one written.
+
+    ``members`` may be all pairs or those of ``graph.greatest_communities``.
+    """
     of = members.groupBy(F.col("member_id").alias("node_id")).agg(F.max("anchor_id").cast("string").alias("_community"))
     old = F.col("metadata") if "metadata" in vectors.columns else F.lit(None).cast("map<string,string>")
     old = F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, v: k != "community_id")

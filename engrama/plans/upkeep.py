@@ -384,8 +384,8 @@ def community_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT v.doc_id, CAST(max(co.anchor_id) AS VARCHAR) AS community_id FROM cv v LEFT JOIN co ON co.member_id = v.node_id GROUP BY 1", CN, CE, CV, _COMMUNITIES, recursive=True)
 def vector_communities(spark: SparkSession, d: str) -> DataFrame:
-    members = stage(graph.communities(B.nodes(spark, d), B.edges(spark, d)), "communities")
-    return maintenance.with_community_ids(B.vectors(spark, d), members).select("doc_id", F.try_element_at("metadata", F.lit("community_id")).alias("community_id"))
+    greatest = graph.greatest_communities(B.nodes(spark, d), B.edges(spark, d))
+    return maintenance.with_community_ids(B.vectors(spark, d), greatest).select("doc_id", F.try_element_at("metadata", F.lit("community_id")).alias("community_id"))
 
 
 _OLD = "status = 'ACTIVE' AND last_accessed IS NOT NULL AND epoch_us(TIMESTAMPTZ '" + B.NOW + "+00') - epoch_us(last_accessed) > 60 * 8.64e10"

@@ -56,3 +56,12 @@ def test_no_staged_table_holds_the_pairs(spark):
     first = len(staging._staged)
     assert graph.communities(n, e).count() == 60 * 70
     assert max(spark.read.parquet(path).count() for _, path in staging._staged[first:]) <= 600
+
+
+def test_greatest_communities_are_found_without_the_pairs(spark):
+    n, e, found = odd_graph(spark)
+    want = {m: max(a for a, seen in found.items() if m in seen) for m in set().union(*found.values())}
+    first = len(staging._staged)
+    got = graph.greatest_communities(n, e).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert max(spark.read.parquet(path).count() for _, path in staging._staged[first:]) <= 2 * e.count()
