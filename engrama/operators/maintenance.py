@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.functions.scoring import days_between
-from engrama.operators import delta, graph
+from engrama.operators import communities, delta, graph
 from engrama.operators.embed import hashed_embedding, vectors_of
 from engrama.operators.relational import consolidated_tags, parsed_tags
 from engrama.operators.summarise import project_contexts, tree_texts
@@ -47,9 +47,7 @@ def community_summaries(nodes: DataFrame, members: DataFrame, summarise: Callabl
     sizes = named.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n_members"))
     tags = consolidated_tags(named.withColumn("detected_tags", parsed_tags(F.col("tags"))), ["anchor_id"])
     out = sizes.join(heads, "anchor_id").join(tags.withColumnRenamed("tags", "_tags"), "anchor_id", "left")
-    labels = F.array_join(F.transform("first", lambda x: F.coalesce(x["label"], F.lit(""))), ", ")
-    more = F.when(F.col("n_members") > 5, F.concat(F.lit(" and "), (F.col("n_members") - 5).cast("string"), F.lit(" more"))).otherwise("")
-    text = F.concat(F.lit("Community of "), labels, more)
+    text = _labels_text()
     if summarise is not None:
         line = F.format_string("- [%s] (%s/%s): %s", F.coalesce("label", F.lit("")), F.coalesce("node_type", F.lit("")), F.coalesce("type", F.lit("")), F.coalesce("summary", F.lit("no summary")))
         told = tree_texts(named.select("anchor_id", "member_id", line.alias("text")), ["anchor_id"], "member_id", summarise)
@@ -58,6 +56,28 @@ def community_summaries(nodes: DataFrame, members: DataFrame, summarise: Callabl
     return out.select("anchor_id", "n_members", text.alias("summary"), F.coalesce("_tags", F.array().cast("array<string>")).alias("tags"))
 
 
+def _labels_text() -> Column:
+    """Of the columns ``first``, with the first five labels, and ``n_members``."""
+    labels = F.array_join(F.transform("first", lambda x: F.coalesce(x["label"], F.lit(""))), ", ")
+    more = F.when(F.col("n_members") > 5, F.concat(F.lit(" and "), (F.col("n_members") - 5).cast("string"), F.lit(" more"))).otherwise("")
+    return F.concat(F.lit("Community of "), labels, more)
+
+
+def label_summaries(nodes: DataFrame, edges: DataFrame, threshold: int = 10, max_hops: int = 5) -> DataFrame:
+    """As ``community_summaries`` of all communities without a function, but without their pairs.
+
+    Sizes, first members and tags are taken where the communities are found.
+    """
+    of = communities.Graph(nodes, edges, threshold)
+    found = stage(communities.digests(of, nodes, max_hops, 5), "digests")
+    ids = found.select("anchor_id", F.explode("first").alias("id")).join(nodes.select("id", "label"), "id")
+    heads = ids.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("member_id"), "label"))).alias("first"))
+    out = found.drop("first").join(heads, "anchor_id").select("anchor_id", "n_members", _labels_text().alias("summary"), F.array_sort("tags").alias("tags"))
+    if of.has_large():
+        out = out.unionByName(community_summaries(nodes, stage(communities.large_pairs(of, max_hops), "communities")))
+    return out
+
+
 def _insight_label() -> Column:
     return F.concat(F.lit("community_"), F.col("anchor_id").cast("string"), F.lit("_summary"))
 

@@ -361,8 +361,7 @@ _INSIGHTS = """SELECT anchor_id, CAST(count(*) AS BIGINT) AS n_members, 'Communi
 
 @query(_INSIGHTS, CN, CE, _COMMUNITIES, recursive=True)
 def community_insights(spark: SparkSession, d: str) -> DataFrame:
-    n = B.nodes(spark, d)
-    s = maintenance.community_summaries(n, stage(graph.communities(n, B.edges(spark, d)), "communities"))
+    s = maintenance.label_summaries(B.nodes(spark, d), B.edges(spark, d))
     return s.withColumn("tags", F.array_join("tags", ","))
 
 

@@ -4,7 +4,7 @@ import random
 
 from engrama import staging
 from engrama.operators import communities as C
-from engrama.operators import graph
+from engrama.operators import graph, maintenance
 
 NODES = "id long, project_uuid string, label string, summary string, node_type string, type string, tags string, status string"
 EDGES = "source_id long, target_id long"
@@ -65,3 +65,15 @@ def test_greatest_communities_are_found_without_the_pairs(spark):
     got = graph.greatest_communities(n, e).collect()
     assert len(got) == len(want) and dict(map(tuple, got)) == want
     assert max(spark.read.parquet(path).count() for _, path in staging._staged[first:]) <= 2 * e.count()
+
+
+def test_label_summaries_equal_those_of_all_pairs(spark, monkeypatch):
+    n, e, found = odd_graph(spark)
+    n = n.selectExpr("id", "project_uuid", "nullif(label, 'n3') as label", "summary", "node_type", "type", "case id % 5 when 0 then null when 1 then '[\"é\",\"a\",null]' when 2 then 'no json' else concat('[\"t', id % 11, '\",\"a\"]') end as tags", "status")
+    want = sorted(map(tuple, maintenance.community_summaries(n, graph.communities(n, e)).collect()))
+    assert len(want) == len(found) and any(len(tags) > 5 for *_, tags in want)
+    first = len(staging._staged)
+    assert sorted(map(tuple, maintenance.label_summaries(n, e).collect())) == want
+    assert max(spark.read.parquet(path).count() for _, path in staging._staged[first:]) <= e.count()
+    monkeypatch.setattr(C, "MAX_LINKS", 100)
+    assert sorted(map(tuple, maintenance.label_summaries(n, e).collect())) == want
