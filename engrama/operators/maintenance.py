@@ -159,13 +159,17 @@ def run_maintenance(
         out["vectors"] = stage(kept, "vectors")
     if busy():
         return finished(True)
-    members = stage(graph.communities(out["nodes"], tables["edges"]), "communities")
-    summaries = stage(community_summaries(out["nodes"], members, summarise), "summaries")
+    if summarise is None:
+        told = label_summaries(out["nodes"], tables["edges"])
+    else:
+        told = community_summaries(out["nodes"], stage(graph.communities(out["nodes"], tables["edges"]), "communities"), summarise)
+    summaries = stage(told, "summaries")
     report["communities"] = summaries.count()
+    greatest = graph.greatest_communities(out["nodes"], tables["edges"]) if "vectors" in out else None
     out["nodes"] = stage(insight_nodes(out["nodes"], summaries), "nodes")
     out["edges"] = insight_edges(tables["edges"], out["nodes"], summaries)
     if "vectors" in out:
-        out["vectors"] = with_community_ids(out["vectors"], members)
+        out["vectors"] = with_community_ids(out["vectors"], greatest)
     if busy():
         return finished(True)
     if "projects" in tables:

@@ -77,3 +77,13 @@ def test_label_summaries_equal_those_of_all_pairs(spark, monkeypatch):
     assert max(spark.read.parquet(path).count() for _, path in staging._staged[first:]) <= e.count()
     monkeypatch.setattr(C, "MAX_LINKS", 100)
     assert sorted(map(tuple, maintenance.label_summaries(n, e).collect())) == want
+
+
+def test_maintenance_without_a_function_stores_no_pairs(spark, monkeypatch):
+    n, e = made(spark, range(70), [(a, b) for a in range(10) for b in range(10, 70)])
+    n = n.selectExpr("*", "cast(null as string) content", "cast(null as timestamp) last_accessed")
+    v = spark.createDataFrame([("node_3", 3), ("node_69", 69)], "doc_id string, node_id long")
+    first = len(staging._staged)
+    out, report = maintenance.run_maintenance({"nodes": n, "edges": e.selectExpr("*", "'calls' relation_type", "1.0D weight"), "vectors": v}, staging.F.current_timestamp(), embedder=None)
+    assert report.first().communities == 60 and {r.metadata["community_id"] for r in out["vectors"].collect()} == {"69"}
+    assert max(spark.read.parquet(path).count() for _, path in staging._staged[first:]) <= 1200
